@@ -389,3 +389,17 @@ def label_aware_merge(
     gap = F.struct(F.abs(F.col("label") - F.col("energy")).alias("gap"), "rank", "y_id")
     owned = claims.groupBy(*POINT).agg(F.min(gap)["y_id"].alias("y_id"))
     return owned.select("cloud_id", "y_id", "point_id"), lineage
+
+
+def summary(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per cloud: points, undirected edges, degree range, isolated points, components, largest component."""
+    from pointweave.operators.neighbors import degrees
+
+    d = degrees(points, edges).groupBy("cloud_id").agg(
+        F.count(F.lit(1)).alias("points"), (F.sum("degree") / 2).cast("long").alias("edges"),
+        F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"),
+        F.count_if(F.col("degree") == 0).alias("isolated"),
+    )
+    sizes = component_sizes(components(points, edges))
+    c = sizes.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+    return d.join(c, "cloud_id")

@@ -198,3 +198,57 @@ def degrees(points: DataFrame, edges: DataFrame) -> DataFrame:
     return points.select("cloud_id", "point_id").join(d, ["cloud_id", "point_id"], "left").select(
         "cloud_id", "point_id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), "mean_dist"
     )
+
+
+def seed_graph(points: DataFrame, seeds: DataFrame, k: int = 8, scale_k: int = 6, factor: float = 1.6) -> DataFrame:
+    """Edges among seeds: mutual within the k nearest of all points, no longer than
+    ``factor`` times the geometric mean of the two local scales (median of the
+    first ``scale_k`` positive distances)."""
+    ask = points.join(seeds.select("cloud_id", "point_id"), ["cloud_id", "point_id"], "left_semi")
+    wide = cut(knn_join(points, max(k, scale_k), queries=ask, skip_same_id=True), "seedknn")
+    nth = F.row_number().over(Window.partitionBy("cloud_id", "src").orderBy("rank"))
+    scale = wide.where(F.col("dist") > 0).withColumn("nth", nth).where(F.col("nth") <= scale_k)
+    scale = scale.groupBy("cloud_id", "src").agg(F.percentile("dist", F.lit(0.5)).alias("scale"))
+    both = mutual(wide.where(F.col("rank") <= k).drop("rank"))
+    both = both.join(scale.withColumnRenamed("scale", "s0"), ["cloud_id", "src"])
+    both = both.join(scale.withColumnsRenamed({"src": "dst", "scale": "s1"}), ["cloud_id", "dst"])
+    pair = F.sqrt(F.col("s0") * F.col("s1"))
+    keep = (pair > 0) & (F.col("dist") <= pair * factor)
+    return both.where(keep).select("cloud_id", "src", "dst", "dist")
+
+
+def baseline_distance(rows: DataFrame, baseline: DataFrame, values: list[str]) -> DataFrame:
+    """Squared distance of every row to its nearest baseline row, features z-scored by the baseline.
+
+    One to three features, as the score views have; all rows meet all baseline
+    rows, so the clouds are one for this search.
+    """
+    stats = baseline.agg(
+        *[F.avg(v).alias("m_" + v) for v in values], *[F.stddev_pop(v).alias("s_" + v) for v in values]
+    ).first()  # one row of 2 * len(values) numbers
+
+    def scaled(df):
+        axes = []
+        for a, v in zip("xyz", [*values, None, None]):
+            if v is None:
+                axes.append(F.lit(0.0).alias(a))
+                continue
+            std = stats["s_" + v]
+            std = 1.0 if std is None or std < 1e-12 else std
+            axes.append(((F.col(v) - F.lit(stats["m_" + v])) / F.lit(std)).alias(a))
+        return df.select(
+            F.lit("all").alias("cloud_id"), F.xxhash64("cloud_id", "point_id").alias("key"),
+            F.col("cloud_id").alias("own_cloud"), F.col("point_id").alias("own_id"), *axes,
+        ).withColumnRenamed("key", "point_id")
+
+    ask = cut(scaled(rows), "ask")
+    base = scaled(baseline).select("cloud_id", "point_id", "x", "y", "z")
+    # equal coordinates get one search key, so equal hashes of different rows cannot mix answers
+    spots = ask.groupBy("cloud_id", "x", "y", "z").agg(F.min(F.struct("own_cloud", "own_id")).alias("k"))
+    spots = cut(spots.select("cloud_id", "x", "y", "z", F.monotonically_increasing_id().alias("point_id")), "spots")
+    near = knn_join(base, 1, queries=spots, skip_same_id=False)
+    found = spots.join(near.select("cloud_id", F.col("src").alias("point_id"), "dist"), ["cloud_id", "point_id"])
+    found = found.select("cloud_id", "x", "y", "z", (F.col("dist") * F.col("dist")).alias("score"))
+    return ask.join(found, ["cloud_id", "x", "y", "z"]).select(
+        F.col("own_cloud").alias("cloud_id"), F.col("own_id").alias("point_id"), "score"
+    )

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import sq_dist
 from pointweave.session import cut
 
 CELL = ["cx", "cy", "cz"]
@@ -173,7 +172,3 @@ def covering_cells(queries: DataFrame, index: CellIndex, radius: Column) -> Data
 
         out = out.withColumn(name, F.explode(F.sequence(slot(q - F.col("reach")), slot(q + F.col("reach")))))
     return out
-
-
-def box_distance_sq(index_point: str = "") -> Column:
-    return sq_dist(F.col("x"), F.col("y"), F.col("z"), F.col("qx"), F.col("qy"), F.col("qz"))
