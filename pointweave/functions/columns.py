@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,62 +41,66 @@ def half_even_round(value: Column, decimals: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def sym3_eigenvalues(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column):
-    """Eigenvalues (low, mid, high) of [[a,b,c],[b,d,e],[c,e,f]] in closed form.
+def add_eigenvalues(df: DataFrame, entries: Sequence[str], out: Sequence[str] = ("low", "mid", "high")) -> DataFrame:
+    """Eigenvalues of the symmetric matrix [[a,b,c],[b,d,e],[c,e,f]] given by six columns.
 
     Trigonometric solution of the characteristic cubic, then one Newton step on
-    the smallest root, where the cosine form loses digits.
+    the smallest root, where the cosine form loses digits. Each stage is its own
+    projection: the intermediate values are used many times and must not be
+    inlined into one expression.
     """
-    off = b * b + c * c + e * e
-    mean = (a + d + f) / 3.0
-    p2 = (a - mean) * (a - mean) + (d - mean) * (d - mean) + (f - mean) * (f - mean) + off * 2.0
-    p = F.sqrt(p2 / 6.0)
-    det_shift = (
+    a, b, c, d, e, f = (F.col(n) for n in entries)
+    mean, p2, p, low0 = F.col("_mean"), F.col("_p2"), F.col("_p"), F.col("_low0")
+    out_low, out_mid, out_high = out
+    df = df.withColumn("_mean", (a + d + f) / 3.0)
+    df = df.withColumn(
+        "_p2",
+        (a - mean) * (a - mean) + (d - mean) * (d - mean) + (f - mean) * (f - mean) + (b * b + c * c + e * e) * 2.0,
+    ).withColumn("_p", F.sqrt(p2 / 6.0))
+    shifted = (
         (a - mean) * ((d - mean) * (f - mean) - e * e)
         - b * (b * (f - mean) - e * c)
         + c * (b * e - (d - mean) * c)
     )
-    r = clip(det_shift / (p * p * p) / 2.0, -1.0, 1.0)
-    phi = F.acos(r) / 3.0
-    high = mean + p * 2.0 * F.cos(phi)
-    low0 = mean + p * 2.0 * F.cos(phi + 2.0 * math.pi / 3.0)
-    trace = a + d + f
+    df = df.withColumn("_phi", F.when(p2 > 0, F.acos(clip(shifted / F.nullif(p * p * p, F.lit(0.0)) / 2.0, -1.0, 1.0)) / 3.0).otherwise(0.0))
+    df = df.withColumn(out_high, F.when(p2 > 0, mean + p * 2.0 * F.cos("_phi")).otherwise(mean))
+    df = df.withColumn("_low0", mean + p * 2.0 * F.cos(F.col("_phi") + 2.0 * math.pi / 3.0))
+    trace = mean * 3.0
     minors = (a * d - b * b) + (a * f - c * c) + (d * f - e * e)
     det = a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)
-    poly = ((low0 - trace) * low0 + minors) * low0 - det
-    slope = (low0 * 3.0 - trace * 2.0) * low0 + minors
-    step = poly / slope
-    low1 = F.when((F.abs(slope) > p2 * 1e-9) & (p2 > 0), low0 - step).otherwise(low0)
-    flat = p2 <= 0
-    low = F.when(flat, mean).otherwise(low1)
-    top = F.when(flat, mean).otherwise(high)
-    return low, trace - low - top, top
+    df = df.withColumn("_poly", ((low0 - trace) * low0 + minors) * low0 - det)
+    df = df.withColumn("_slope", (low0 * 3.0 - trace * 2.0) * low0 + minors)
+    safe = (p2 > 0) & (F.abs("_slope") > p2 * 1e-9)
+    df = df.withColumn(
+        out_low, F.when(safe, low0 - F.col("_poly") / F.nullif(F.col("_slope"), F.lit(0.0))).when(p2 > 0, low0).otherwise(mean)
+    )
+    df = df.withColumn(out_mid, trace - F.col(out_low) - F.col(out_high))
+    return df.drop("_mean", "_p2", "_p", "_phi", "_low0", "_poly", "_slope")
 
 
-def sym3_low_vector(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column, low: Column) -> Column:
-    """Unit eigenvector (struct nx, ny, nz) of the smallest eigenvalue; null if it is not defined.
+def add_low_vector(df: DataFrame, entries: Sequence[str], low: str) -> DataFrame:
+    """Unit eigenvector (nx, ny, nz) of the eigenvalue ``low``; null where it is not defined.
 
     The vector is the longest cross product of two rows of ``A - low * I``.
     """
-    r0, r1, r2 = (a - low, b, c), (b, d - low, e), (c, e, f - low)
+    a, b, c, d, e, f = (F.col(n) for n in entries)
+    v = F.col(low)
+    r0, r1, r2 = (a - v, b, c), (b, d - v, e), (c, e, f - v)
 
-    def cross(u, v):
-        return (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    def cross(s, t):
+        x, y, z = s[1] * t[2] - s[2] * t[1], s[2] * t[0] - s[0] * t[2], s[0] * t[1] - s[1] * t[0]
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
-    options = [cross(r0, r1), cross(r0, r2), cross(r1, r2)]
-    structs = [
+    for i, (s, t) in enumerate([(r0, r1), (r0, r2), (r1, r2)]):
+        df = df.withColumn(f"_c{i}", cross(s, t))
+    ranked = [
         F.struct(
-            (x * x + y * y + z * z).alias("n2"), x.alias("x"), y.alias("y"), z.alias("z")
+            (F.col(f"_c{i}.x") * F.col(f"_c{i}.x") + F.col(f"_c{i}.y") * F.col(f"_c{i}.y") + F.col(f"_c{i}.z") * F.col(f"_c{i}.z")).alias("n2"),
+            F.col(f"_c{i}").alias("v"),
         )
-        for x, y, z in options
+        for i in range(3)
     ]
-    best = F.greatest(*structs)
-    length = F.sqrt(best["n2"])
-    return F.when(
-        best["n2"] > 0,
-        F.struct(
-            (best["x"] / length).alias("nx"),
-            (best["y"] / length).alias("ny"),
-            (best["z"] / length).alias("nz"),
-        ),
-    )
+    df = df.withColumn("_best", F.greatest(*ranked)).withColumn("_len", F.nullif(F.sqrt("_best.n2"), F.lit(0.0)))
+    for n in "xyz":
+        df = df.withColumn("n" + n, F.col("_best.v." + n) / F.col("_len"))
+    return df.drop("_c0", "_c1", "_c2", "_best", "_len")

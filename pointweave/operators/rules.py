@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import ratio_or_zero, safe_ratio
+from pointweave.functions.columns import add_eigenvalues, ratio_or_zero, safe_ratio
 from pointweave.functions.order_stats import percentiles
 
 # Integer thresholds of the scale-consistency rules.
@@ -159,16 +159,14 @@ def elongation_filter(
 
     Elongation is the ratio of the two largest eigenvalues of the covariance (divided by n).
     """
-    from pointweave.functions.columns import sym3_eigenvalues
-
     rows = components.join(points, ["cloud_id", "point_id"]).join(energy, ["cloud_id", "point_id"])
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     stats = rows.groupBy("cloud_id", label).agg(
         F.count(F.lit(1)).alias("size"), F.avg("energy").alias("mean_energy"),
         *[F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in pairs],
     )
-    _, mid, high = sym3_eigenvalues(*[F.col(f"c_{a}{b}") for a, b in pairs])
-    long = F.when(mid > 1e-12, high / mid).otherwise(F.lit(float("inf")))
+    stats = add_eigenvalues(stats, [f"c_{a}{b}" for a, b in pairs])
+    long = F.when(F.col("mid") > 1e-12, F.col("high") / F.nullif("mid", F.lit(0.0))).otherwise(F.lit(float("inf")))
     stats = stats.withColumn("elongation", long).join(threshold, "cloud_id")
     bar = F.when(F.col("elongation") > max_elongation, F.col("bar") * factor).otherwise(F.col("bar"))
     return stats.where((F.col("size") >= min_points) & (F.col("mean_energy") >= bar))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import sym3_eigenvalues, sym3_low_vector
+from pointweave.functions.columns import add_eigenvalues, add_low_vector
 
 POINT = ["cloud_id", "point_id"]
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
@@ -55,10 +55,16 @@ def surface_variation(points: DataFrame, knn: DataFrame, scales: Sequence[int] =
     aggs = [a for k in scales for a in scatter_aggs(F.col("rank") <= k, f"_{k}")]
     moments = rows.groupBy("cloud_id", F.col("src").alias("point_id")).agg(*aggs)
     shares = []
+    entries = ["m" + a + b for a, b in _PAIRS]
     for k in scales:
-        m = [e / F.greatest(F.col(f"n_{k}") - 1, F.lit(1)) for e in scatter_matrix(f"_{k}")]
-        low, mid, high = [F.greatest(v, F.lit(0.0)) for v in sym3_eigenvalues(*m)]
-        shares.append(F.when(F.col(f"n_{k}") < 3, 0.0).otherwise(low / (low + mid + high + 1e-8)))
+        for name, e in zip(entries, scatter_matrix(f"_{k}")):
+            moments = moments.withColumn(name, e / F.greatest(F.col(f"n_{k}") - 1, F.lit(1)))
+        moments = add_eigenvalues(moments, entries)
+        parts = [F.greatest(F.col(v), F.lit(0.0)) for v in ("low", "mid", "high")]
+        share = parts[0] / (parts[0] + parts[1] + parts[2] + 1e-8)
+        moments = moments.withColumn(f"share_{k}", F.when(F.col(f"n_{k}") < 3, 0.0).otherwise(share))
+        moments = moments.drop(*entries, "low", "mid", "high")
+        shares.append(F.col(f"share_{k}"))
     if fusion == "max":
         fused = F.greatest(*shares) if len(shares) > 1 else shares[0]
     elif fusion == "mean":
@@ -78,20 +84,22 @@ def pca_features(points: DataFrame, pairs: DataFrame, min_neighbors: int = 3, di
     moments = offsets(points, pairs).groupBy("cloud_id", F.col("src").alias("point_id")).agg(*scatter_aggs())
     moments = moments.where(F.col("n") >= min_neighbors)
     count = F.col("n") if divisor == "k" else F.greatest(F.col("n") - 1, F.lit(1))
-    m = [e / count for e in scatter_matrix()]
-    low, mid, high = sym3_eigenvalues(*m)
-    low0 = F.greatest(low, F.lit(0.0))
-    total = low0 + F.greatest(mid, F.lit(0.0)) + F.greatest(high, F.lit(0.0))
-    out = moments.select(
+    entries = ["m" + a + b for a, b in _PAIRS]
+    for name, e in zip(entries, scatter_matrix()):
+        moments = moments.withColumn(name, e / count)
+    moments = add_low_vector(add_eigenvalues(moments, entries), entries, "low")
+    moments = moments.withColumn("low0", F.greatest("low", F.lit(0.0))).withColumn(
+        "total", F.col("low0") + F.greatest("mid", F.lit(0.0)) + F.greatest("high", F.lit(0.0))
+    )
+    return moments.select(
         *POINT,
         F.col("n").alias("neighbors"),
-        sym3_low_vector(*m, low).alias("normal"),
-        F.when(total > 1e-15, low0 / total).alias("curvature"),
+        "nx",
+        "ny",
+        "nz",
+        F.when(F.col("total") > 1e-15, F.col("low0") / F.nullif("total", F.lit(0.0))).alias("curvature"),
         *[(F.col("s" + a) / F.col("n")).alias("m" + a) for a in "xyz"],
     )
-    return out.select(
-        *POINT, "neighbors", "normal.nx", "normal.ny", "normal.nz", "curvature", "mx", "my", "mz"
-    )
 
 
 def plane_smooth(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -105,18 +113,22 @@ def plane_smooth(points: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def tangent_basis(nx, ny, nz):
-    """Two unit vectors spanning the plane of a normal; the reference axis is that of the smallest component."""
+def add_tangent_basis(df: DataFrame) -> DataFrame:
+    """Two unit vectors (ux..uz, vx..vz) spanning the plane of the normal nx, ny, nz.
+
+    The reference axis is that of the smallest normal component (the first on a tie).
+    """
+    nx, ny, nz = F.col("nx"), F.col("ny"), F.col("nz")
     ax, ay, az = F.abs(nx), F.abs(ny), F.abs(nz)
-    first = (ax <= ay) & (ax <= az)
-    second = ~first & (ay <= az)
-    rx = F.when(first, 1.0).otherwise(0.0)
-    ry = F.when(second, 1.0).otherwise(0.0)
-    rz = F.when(first | second, 0.0).otherwise(1.0)
-    ux, uy, uz = ny * rz - nz * ry, nz * rx - nx * rz, nx * ry - ny * rx
-    length = F.sqrt(ux * ux + uy * uy + uz * uz)
-    ux, uy, uz = ux / length, uy / length, uz / length
-    return (ux, uy, uz), (ny * uz - nz * uy, nz * ux - nx * uz, nx * uy - ny * ux)
+    df = df.withColumn("_axis", F.when((ax <= ay) & (ax <= az), 0).when(ay <= az, 1).otherwise(2))
+    first, second = F.col("_axis") == 0, F.col("_axis") == 1
+    df = df.withColumn("ux", F.when(first, 0.0).when(second, -nz).otherwise(ny))
+    df = df.withColumn("uy", F.when(first, nz).when(second, 0.0).otherwise(-nx))
+    df = df.withColumn("uz", F.when(first, -ny).when(second, nx).otherwise(0.0))
+    ux, uy, uz = F.col("ux"), F.col("uy"), F.col("uz")
+    df = df.withColumn("_len", F.sqrt(ux * ux + uy * uy + uz * uz))
+    df = df.withColumns({c: F.col(c) / F.col("_len") for c in ("ux", "uy", "uz")})
+    return df.withColumns({"vx": ny * uz - nz * uy, "vy": nz * ux - nx * uz, "vz": nx * uy - ny * ux}).drop("_axis", "_len")
 
 
 def open_boundary(
@@ -127,9 +139,8 @@ def open_boundary(
     normals = normals.where(F.col("nx").isNotNull()).select(
         "cloud_id", F.col("point_id").alias("src"), "neighbors", "nx", "ny", "nz"
     )
-    rows = offsets(points, edges).join(normals.where(F.col("neighbors") >= min_neighbors), ["cloud_id", "src"])
-    u, v = tangent_basis(F.col("nx"), F.col("ny"), F.col("nz"))
-    rows = rows.select("cloud_id", "src", "dx", "dy", "dz", *[c.alias(n) for c, n in zip(u + v, ["ux", "uy", "uz", "vx", "vy", "vz"])])
+    frames = add_tangent_basis(normals.where(F.col("neighbors") >= min_neighbors))
+    rows = offsets(points, edges).join(frames, ["cloud_id", "src"])
     px = F.col("dx") * F.col("ux") + F.col("dy") * F.col("uy") + F.col("dz") * F.col("uz")
     py = F.col("dx") * F.col("vx") + F.col("dy") * F.col("vy") + F.col("dz") * F.col("vz")
     flat = rows.select("cloud_id", "src", px.alias("px"), py.alias("py"))
@@ -156,7 +167,7 @@ def open_boundary(
             *POINT,
             F.coalesce("neighbors", F.lit(0)).cast("long").alias("degree"),
             "max_gap",
-            F.coalesce(low, F.lit(False)).__or__(wide).alias("boundary"),
+            (F.coalesce(low, F.lit(False)) | wide).alias("boundary"),
         )
     )
 

@@ -80,8 +80,8 @@ def graph_degree(spark, d):
             "e.src = p.point_id GROUP BY 1, 2)",
             "s AS (SELECT cloud_id, component, count(*) AS size FROM comp GROUP BY 1, 2)",
         ],
-        "SELECT d.cloud_id, count(*) AS points, CAST(sum(degree) / 2 AS BIGINT) AS edges, min(degree) AS min_degree, "
-        "max(degree) AS max_degree, count_if(degree = 0) AS isolated, "
+        "SELECT d.cloud_id, count(*) AS points, CAST(sum(degree) // 2 AS BIGINT) AS edges, min(degree) AS min_degree, "
+        "max(degree) AS max_degree, CAST(count_if(degree = 0) AS BIGINT) AS isolated, "
         "any_value(c.n) AS components, any_value(c.largest) AS largest FROM d JOIN (SELECT cloud_id, count(*) AS n, max(size) AS "
         "largest FROM s GROUP BY 1) c ON c.cloud_id = d.cloud_id GROUP BY d.cloud_id",
         True,
@@ -185,12 +185,12 @@ def seed_local_graph(spark, d):
             "s1 AS (SELECT n.cloud_id, n.src AS point_id, avg(p.z) AS z FROM n JOIN p ON p.cloud_id = n.cloud_id AND p.point_id = n.dst GROUP BY 1, 2)",
             "s2 AS (SELECT n.cloud_id, n.src AS point_id, avg(s1.z) AS z FROM n JOIN s1 ON s1.cloud_id = n.cloud_id AND s1.point_id = n.dst GROUP BY 1, 2)",
         ],
-        f"SELECT cloud_id, point_id, {rnd('z')} AS z FROM s2",
+        f"SELECT cloud_id, point_id, {rnd('z', 9)} AS z FROM s2",
     ),
 )
 def knn_smooth(spark, d):
     p, e = evt(spark, d)
-    return G.smooth(p, ["z"], e, 2).select(*IDS, r6("z").alias("z"))
+    return G.smooth(p, ["z"], e, 2).select(*IDS, r6("z", 9).alias("z"))
 
 
 PAIRS = (
@@ -205,38 +205,38 @@ PAIRS = (
         [cloud("evt"), PAIRS.format(v="z"),
          "m AS (SELECT cloud_id, point_id, any_value(own) AS own, "
          + ", ".join(f"avg(other) FILTER (WHERE d2 <= {r * r}) AS m{r}" for r in (10, 20, 40)) + " FROM d GROUP BY 1, 2)"],
-        f"SELECT cloud_id, point_id, {rnd('greatest(own-m10, own-m20, own-m40, 0.0::DOUBLE)')} AS contrast FROM m",
+        f"SELECT cloud_id, point_id, {rnd('greatest(own-m10, own-m20, own-m40, 0.0::DOUBLE)', 9)} AS contrast FROM m",
     ),
 )
 def local_contrast(spark, d):
     out = balls.local_contrast(cut(T.events_cloud(spark, d), "cloud"), ["z"], [10.0, 20.0, 40.0])
-    return out.select(*IDS, r6("z").alias("contrast"))
+    return out.select(*IDS, r6("z", 9).alias("contrast"))
 
 
 @register(
     "ball_mean",
     query(
         [cloud("evt"), PAIRS.format(v="z")],
-        f"SELECT cloud_id, point_id, {rnd('CASE WHEN count(*) < 4 THEN any_value(own) ELSE avg(other) END')} AS mean "
+        f"SELECT cloud_id, point_id, {rnd('CASE WHEN count(*) < 4 THEN any_value(own) ELSE avg(other) END', 9)} AS mean "
         "FROM d WHERE d2 <= 225 GROUP BY 1, 2",
     ),
 )
 def ball_mean(spark, d):
     out = balls.ball_mean(cut(T.events_cloud(spark, d), "cloud"), "z", 15.0, 4, "mean")
-    return out.select(*IDS, r6("mean").alias("mean"))
+    return out.select(*IDS, r6("mean", 9).alias("mean"))
 
 
 @register(
     "annulus_mean",
     query(
         [cloud("evt"), PAIRS.format(v="z")],
-        f"SELECT cloud_id, point_id, {rnd('CASE WHEN count_if(d2 > 144) < 8 THEN any_value(own) ELSE avg(other) FILTER (WHERE d2 > 144) END')} "
+        f"SELECT cloud_id, point_id, {rnd('CASE WHEN count_if(d2 > 144) < 8 THEN any_value(own) ELSE avg(other) FILTER (WHERE d2 > 144) END', 9)} "
         "AS mean FROM d WHERE d2 <= 900 GROUP BY 1, 2",
     ),
 )
 def annulus_mean(spark, d):
     out = balls.annulus_mean(cut(T.events_cloud(spark, d), "cloud"), "z", 12.0, 30.0, 8, "mean")
-    return out.select(*IDS, r6("mean").alias("mean"))
+    return out.select(*IDS, r6("mean", 9).alias("mean"))
 
 
 @register(
@@ -280,7 +280,7 @@ EIGEN = [
     query(
         [cloud("evt"), knn(8), MOMENTS.format(edges="k"), EIGEN[0]],
         "SELECT cloud_id, point_id, n, "
-        + ", ".join(f"{rnd(v, 4)} AS {n}" for v, n in [("a", "xx"), ("b", "xy"), ("c", "xz"), ("d", "yy"), ("e", "yz"), ("f", "zz")])
+        + ", ".join(f"{rnd(v, 8)} AS {n}" for v, n in [("a", "xx"), ("b", "xy"), ("c", "xz"), ("d", "yy"), ("e", "yz"), ("f", "zz")])
         + " FROM m",
     ),
 )
@@ -288,7 +288,7 @@ def surface_moments(spark, d):
     p = cut(T.events_cloud(spark, d), "cloud")
     m = surface.offsets(p, NB.knn_join(p, 8)).groupBy("cloud_id", F.col("src").alias("point_id")).agg(*surface.scatter_aggs())
     names = ["xx", "xy", "xz", "yy", "yz", "zz"]
-    entries = [F.round(v / (F.col("n") - 1), 4).alias(n) for v, n in zip(surface.scatter_matrix(), names)]
+    entries = [F.round(v / (F.col("n") - 1), 8).alias(n) for v, n in zip(surface.scatter_matrix(), names)]
     return m.select(*IDS, "n", *entries)
 
 

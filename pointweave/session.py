@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "pointweave", **extra: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in extra.items():
