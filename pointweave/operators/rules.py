@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import add_eigenvalues, ratio_or_zero, safe_ratio
 from pointweave.functions.order_stats import percentiles
+from pointweave.session import cut
 
 # Integer thresholds of the scale-consistency rules.
 SCALE_LIMITS = {
@@ -167,7 +168,7 @@ def elongation_filter(
     )
     stats = add_eigenvalues(stats, [f"c_{a}{b}" for a, b in pairs])
     long = F.when(F.col("mid") > 1e-12, F.col("high") / F.nullif("mid", F.lit(0.0))).otherwise(F.lit(float("inf")))
-    stats = stats.withColumn("elongation", long).join(threshold, "cloud_id")
+    stats = cut(stats.withColumn("elongation", long), "elongation").join(threshold, "cloud_id")
     bar = F.when(F.col("elongation") > max_elongation, F.col("bar") * factor).otherwise(F.col("bar"))
     return stats.where((F.col("size") >= min_points) & (F.col("mean_energy") >= bar))
 

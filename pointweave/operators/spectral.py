@@ -92,11 +92,9 @@ def heat_signatures(pairs: DataFrame, scales: int = 3, eps: float = 1e-6) -> Dat
         t = F.greatest(F.pow(F.lit(10.0), F.log10("lo") + (F.log10("hi") - F.log10("lo")) * share), F.lit(eps))
         powers.append(t.alias(f"time{i}"))
     out = out.select("cloud_id", "point_id", "lambdas", "phi", *powers)
-    signs = [
-        F.aggregate(
-            F.zip_with("lambdas", "phi", lambda lam, p, i=i: F.exp(-lam * F.col(f"time{i}")) * p * p),
-            F.lit(0.0), lambda s, v: s + v,
-        ).alias(f"hks{i}")
-        for i in range(scales)
-    ]
+    def signature(i):
+        terms = F.zip_with("lambdas", "phi", lambda lam, p: F.exp(-lam * F.col(f"time{i}")) * p * p)
+        return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term).alias(f"hks{i}")
+
+    signs = [signature(i) for i in range(scales)]
     return out.select("cloud_id", "point_id", *signs)

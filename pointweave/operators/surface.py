@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import add_eigenvalues, add_low_vector
+from pointweave.session import cut
 
 POINT = ["cloud_id", "point_id"]
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
@@ -91,7 +92,7 @@ def pca_features(points: DataFrame, pairs: DataFrame, min_neighbors: int = 3, di
     moments = moments.withColumn("low0", F.greatest("low", F.lit(0.0))).withColumn(
         "total", F.col("low0") + F.greatest("mid", F.lit(0.0)) + F.greatest("high", F.lit(0.0))
     )
-    return moments.select(
+    features = moments.select(
         *POINT,
         F.col("n").alias("neighbors"),
         "nx",
@@ -100,6 +101,8 @@ def pca_features(points: DataFrame, pairs: DataFrame, min_neighbors: int = 3, di
         F.when(F.col("total") > 1e-15, F.col("low0") / F.nullif("total", F.lit(0.0))).alias("curvature"),
         *[(F.col("s" + a) / F.col("n")).alias("m" + a) for a in "xyz"],
     )
+    # written out, because a later filter on a normal would be pushed down through every stage and inlined there
+    return cut(features, "features")
 
 
 def plane_smooth(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,7 +142,7 @@ def open_boundary(
     normals = normals.where(F.col("nx").isNotNull()).select(
         "cloud_id", F.col("point_id").alias("src"), "neighbors", "nx", "ny", "nz"
     )
-    frames = add_tangent_basis(normals.where(F.col("neighbors") >= min_neighbors))
+    frames = cut(add_tangent_basis(normals.where(F.col("neighbors") >= min_neighbors)), "tangents")
     rows = offsets(points, edges).join(frames, ["cloud_id", "src"])
     px = F.col("dx") * F.col("ux") + F.col("dy") * F.col("uy") + F.col("dz") * F.col("uz")
     py = F.col("dx") * F.col("vx") + F.col("dy") * F.col("vy") + F.col("dz") * F.col("vz")
