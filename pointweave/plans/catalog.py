@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointweave.plans import catalog_graph, catalog_values  # noqa: F401
+from pointweave.plans import catalog_eval, catalog_graph, catalog_values  # noqa: F401
 
 
 def flagship(spark, d):
