@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pointweave.plans import catalog_eval, catalog_graph, catalog_values  # noqa: F401
+from pointweave.plans import catalog_eval, catalog_graph, catalog_pipeline, catalog_values  # noqa: F401
 
 
 def flagship(spark, d):
-    raise NotImplementedError
+    return catalog_pipeline.anomalous_regions(spark, d)

@@ -13,11 +13,11 @@ from pointweave.config import Settings
 FAMILIES: dict[str, list[dict]] = {
     "graph_scale": [
         {"graph_k": k, "variation_scales": s}
-        for k, s in ((8, (6, 12, 24)), (12, (9, 18, 36)), (16, (12, 24, 48)), (20, (15, 30, 60)), (24, (18, 36, 72)), (32, (24, 48, 96)))
+        for k, s in ((10, (8, 16, 32)), (14, (12, 24, 48)), (16, (12, 24, 48)), (18, (12, 24, 48)), (24, (18, 36, 72)), (32, (24, 48, 96)))
     ],
     "va_gamma": [{"va_gamma": g} for g in (0.0, 2.0, 5.0, 10.0, 20.0, 50.0)],
     "boundary_angle": [{"boundary_angle": a} for a in (90.0, 100.0, 110.0, 120.0, 130.0)],
-    "seed_and_hops": [{"seed_threshold": t, "grow_hops": h} for t in (0.3, 0.4, 0.5, 0.6, 0.7) for h in (6, 9, 12)],
+    "seed_and_hops": [{"seed_threshold": t, "grow_hops": h} for t in (0.3, 0.4, 0.5, 0.6, 0.7) for h in (5, 9, 13)],
     "normal_ratio": [{"max_normal_ratio": r} for r in (0.25, 0.4, 0.5, 0.6, 0.75)],
 }
 
