@@ -30,9 +30,8 @@ def _rank_filter(cands: DataFrame, k: int) -> DataFrame:
 def _search(queries: DataFrame, index: CellIndex, k: int, skip_same_id: bool) -> DataFrame:
     """k nearest indexed points of every query row (cloud_id, src, qx, qy, qz).
 
-    1. Upper bound: the k-th distance inside the query's own leaf, or, where the
-       leaf is too small, the far corner of the deepest enclosing cell that
-       holds enough points.
+    1. Upper bound: the k-th distance inside the query's home, the deepest
+       enclosing cell that holds enough points (never beyond its far corner).
     2. Candidates: points of the leaves whose box meets that ball.
     Both steps are equi-joins with a residual test, so Spark may split a hot leaf.
     """
@@ -47,34 +46,30 @@ def _search(queries: DataFrame, index: CellIndex, k: int, skip_same_id: bool) ->
         path = path.withColumn(name, c)
     path = path.join(index.cells, ["cloud_id", "lv", *CELL])
     enough = F.col("cnt") >= F.least(F.lit(need).cast("long"), F.col("n"))
-    box = F.struct("x0", "x1", "y0", "y1", "z0", "z1")
-    leaf = F.coalesce(
-        F.min(F.when(F.col("cnt") <= index.cap, F.struct("lv", *CELL, "cnt"))),
-        F.max(F.when(F.col("lv") == depth, F.struct("lv", *CELL, "cnt"))),
+    # the deepest cell on the way down that holds enough points is the query's home
+    homes = path.where(enough).groupBy("cloud_id", *FINE).agg(
+        F.max(F.struct("lv", *CELL, "cnt", "x0", "x1", "y0", "y1", "z0", "z1")).alias("home")
     )
-    homes = path.groupBy("cloud_id", *FINE).agg(
-        F.max(F.when(enough, F.struct(F.col("lv"), box.alias("box")))).alias("up"), leaf.alias("leaf")
-    )
-    q = q.join(homes, ["cloud_id", *FINE])
-    q = q.select(
+    q = q.join(homes, ["cloud_id", *FINE]).select(
         "cloud_id", "src", "qx", "qy", "qz", "ox", "oy", "oz", "ext",
-        *[F.col("up.box." + b).alias(b) for b in ("x0", "x1", "y0", "y1", "z0", "z1")],
-        F.col("leaf.lv").alias("leaf_lv"), F.col("leaf.cx").alias("lx"),
-        F.col("leaf.cy").alias("ly"), F.col("leaf.cz").alias("lz"), F.col("leaf.cnt").alias("leaf_cnt"),
+        *[F.col("home." + c).alias(c) for c in ("lv", *CELL, "cnt", "x0", "x1", "y0", "y1", "z0", "z1")],
     )
-    q = cut(q.withColumn("bound", far_sq(F.col("qx"), F.col("qy"), F.col("qz"))).drop("x0", "x1", "y0", "y1", "z0", "z1"), "query")
+    q = q.withColumn("bound", far_sq(F.col("qx"), F.col("qy"), F.col("qz"))).drop("x0", "x1", "y0", "y1", "z0", "z1")
+    q = cut(q, "query")
     pts = index.points.select("cloud_id", *LEAF, F.col("point_id").alias("dst"), "x", "y", "z", *FINE)
     d2 = sq_dist(F.col("x"), F.col("y"), F.col("z"), F.col("qx"), F.col("qy"), F.col("qz"))
-    inside = q.where(F.col("leaf_cnt") >= need).join(pts, ["cloud_id", *LEAF])
-    inside = inside.select("cloud_id", *LEAF, "src", "dst", d2.alias("d2"))
+    same_cell = [c == F.col(n) for n, c in zip(CELL, cell_at(F.col("lv"), depth))]
+    same_cell = same_cell[0] & same_cell[1] & same_cell[2]
+    leaves = index.lookup.select("cloud_id", "lv", *CELL, *LEAF)
+    # a home far larger than the answer (a sparse corner beside a dense spot) keeps the corner bound alone
+    inside = q.where(F.col("cnt") <= 12 * max(need, index.cap)).join(leaves, ["cloud_id", "lv", *CELL])
+    inside = inside.join(pts, ["cloud_id", *LEAF]).where(same_cell)
     if skip_same_id:
         inside = inside.where(F.col("src") != F.col("dst"))
-    # the grouping keys contain the join keys, so no second shuffle is needed here
-    kth = inside.groupBy("cloud_id", *LEAF, "src").agg(
-        F.get(F.array_sort(F.collect_list("d2")), F.lit(k - 1)).alias("kth")
+    kth = inside.groupBy("cloud_id", "src").agg(
+        F.get(F.array_sort(F.collect_list(d2)), F.lit(k - 1)).alias("kth")
     )
-    q = q.join(kth.select("cloud_id", "src", "kth"), ["cloud_id", "src"], "left")
-    q = q.withColumn("bound", F.least("bound", "kth"))
+    q = q.join(kth, ["cloud_id", "src"], "left").withColumn("bound", F.least("bound", "kth"))
     q = q.select("cloud_id", "src", "qx", "qy", "qz", "ox", "oy", "oz", "ext", "bound")
     cover = covering_cells(q, index, F.sqrt("bound"))
     cover = cover.select("cloud_id", "lv", *CELL, "src", "qx", "qy", "qz", F.pow("reach", F.lit(2.0)).alias("reach2"))
@@ -83,8 +78,7 @@ def _search(queries: DataFrame, index: CellIndex, k: int, skip_same_id: bool) ->
     hits = hits.where(near_sq(F.col("qx"), F.col("qy"), F.col("qz")) <= F.col("reach2"))
     hits = hits.drop("x0", "x1", "y0", "y1", "z0", "z1")
     # a leaf larger than a covering cell is met once per cell; the point's own cell decides which one counts
-    same_cell = [c == F.col(n) for n, c in zip(CELL, cell_at(F.col("lv"), depth))]
-    cands = hits.join(pts, ["cloud_id", *LEAF]).where(same_cell[0] & same_cell[1] & same_cell[2])
+    cands = hits.join(pts, ["cloud_id", *LEAF]).where(same_cell)
     cands = cands.select("cloud_id", "src", "dst", d2.alias("d2"), "reach2").where(F.col("d2") <= F.col("reach2"))
     if skip_same_id:
         cands = cands.where(F.col("src") != F.col("dst"))
@@ -103,7 +97,7 @@ def knn_join(
     """
     self_join = queries is None
     skip = self_join if skip_same_id is None else skip_same_id
-    cap = cap or max(64, 3 * (k + 1))
+    cap = cap or max(32, k + 1)
     base = points.select("cloud_id", "point_id", "x", "y", "z")
     spot = ["cloud_id", "x", "y", "z"]
     if is_empty(base.groupBy(*spot).count().where(F.col("count") > k + 1)):
