@@ -403,3 +403,26 @@ def summary(points: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = component_sizes(components(points, edges))
     c = sizes.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
     return d.join(c, "cloud_id")
+
+
+def hysteresis(strong: DataFrame, weak: DataFrame, edges: DataFrame) -> DataFrame:
+    """Points of ``weak`` connected to a strong point through weak points (strong points are weak too)."""
+    weak = cut(weak.select(*POINT).unionByName(strong.select(*POINT)).distinct(), "weak")
+    return hop_distance(strong, edges, None, allowed=weak).drop("hop")
+
+
+def fill_holes(mask: DataFrame, roi: DataFrame, edges: DataFrame, points: DataFrame, max_ratio: float = 3.0) -> DataFrame:
+    """Add ROI points that cannot be reached from outside the ROI without crossing the mask.
+
+    A cloud whose mask would grow to more than ``max_ratio`` times its size keeps its mask.
+    """
+    mask, roi = cut(mask.select(*POINT), "mask"), cut(roi.select(*POINT), "roi")
+    passable = cut(roi.join(mask, POINT, "left_anti"), "passable")
+    outside = points.select(*POINT).join(roi, POINT, "left_anti").join(mask, POINT, "left_anti")
+    reached = hop_distance(outside, edges, None, allowed=passable).drop("hop")
+    filled = cut(mask.unionByName(passable.join(reached, POINT, "left_anti")).distinct(), "filled")
+    before = mask.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("before"))
+    after = filled.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("after")).join(before, "cloud_id", "left")
+    fine = after.where(F.col("after") <= F.coalesce("before", F.lit(0)) * max_ratio).select("cloud_id")
+    kept = mask.join(fine, "cloud_id", "left_anti")
+    return filled.join(fine, "cloud_id", "left_semi").unionByName(kept)

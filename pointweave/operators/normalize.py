@@ -173,3 +173,10 @@ def summary(df: DataFrame, keys: Sequence[str], value: str, rows_bound: int | No
     q = percentiles(df, keys, value, [0.5, 0.75, 0.9, 0.95], ["median", "p75", "p90", "p95"], rows_bound)
     base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
     return base.join(q, list(keys), "left")
+
+
+def fuse_scores(df: DataFrame, first: str, second: str, out: str, rows_bound: int | None = None) -> DataFrame:
+    """Larger of the two scores, each normalised by its 1 % and 99 % quantiles."""
+    both = quantile_norm(df, first, "_f0", degenerate="never", rows_bound=rows_bound)
+    both = quantile_norm(both, second, "_f1", degenerate="never", rows_bound=rows_bound)
+    return both.withColumn(out, F.greatest("_f0", "_f1")).drop("_f0", "_f1")

@@ -803,3 +803,39 @@ def sor_outliers(spark, d):
     from pointweave.plans.baselines import statistical_outliers
 
     return statistical_outliers(T.events_cloud(spark, d)).select(*IDS, "outlier")
+
+
+@register(
+    "hysteresis",
+    query(
+        CUST + [top_mask("z", 0.95, "strong"), top_mask("z", 0.6, "weak"), labels("weak"),
+                "ok AS (SELECT DISTINCT comp.cloud_id, component FROM comp JOIN strong USING (cloud_id, point_id))"],
+        "SELECT comp.cloud_id, point_id FROM comp JOIN ok ON ok.cloud_id = comp.cloud_id AND ok.component = comp.component",
+        True,
+    ),
+)
+def hysteresis(spark, d):
+    p, e = cust(spark, d)
+    return G.hysteresis(top(p, "z", 95.0), top(p, "z", 60.0), e)
+
+
+@register(
+    "fill_holes",
+    query(
+        CUST
+        + [
+            top_mask("z", 0.6, "m"), "roi AS (SELECT cloud_id, point_id FROM p WHERE y >= 3)",
+            "pass AS (SELECT * FROM roi EXCEPT SELECT * FROM m)",
+            "outer_ AS (SELECT cloud_id, point_id FROM p EXCEPT SELECT * FROM roi EXCEPT SELECT * FROM m)",
+            labels("pass"),
+            "open_ AS (SELECT DISTINCT c.cloud_id, c.component FROM comp c JOIN e ON e.cloud_id = c.cloud_id AND e.src = c.point_id JOIN outer_ o ON "
+            "o.cloud_id = e.cloud_id AND o.point_id = e.dst)",
+        ],
+        "SELECT cloud_id, point_id FROM m UNION SELECT c.cloud_id, c.point_id FROM comp c WHERE NOT EXISTS (SELECT 1 FROM open_ o WHERE "
+        "o.cloud_id = c.cloud_id AND o.component = c.component)",
+        True,
+    ),
+)
+def fill_holes(spark, d):
+    p, e = cust(spark, d)
+    return G.fill_holes(top(p, "z", 60.0), p.where("y >= 3").select(*IDS), e, p)

@@ -331,3 +331,16 @@ def voxel_representative(spark, d):
     from pointweave.operators.sampling import voxel_representatives
 
     return voxel_representatives(T.events_cloud(spark, d), (50.0, 10.0, 25.0)).select(*IDS, "vx", "vy", "vz", "n")
+
+
+@register(
+    "score_fusion",
+    query(
+        [cloud("evt"), "b AS (SELECT cloud_id, quantile_cont(z,0.01) AS a, quantile_cont(z,0.99) AS b, quantile_cont(y,0.01) AS c, quantile_cont(y,0.99) AS d FROM p GROUP BY 1)"],
+        "SELECT p.cloud_id, point_id, "
+        + rnd(f"greatest({CLIP.format(f'(z-a)/(b-a+{TINY})')}, {CLIP.format(f'(y-c)/(d-c+{TINY})')})")
+        + " AS score FROM p JOIN b ON b.cloud_id = p.cloud_id",
+    ),
+)
+def score_fusion(spark, d):
+    return N.fuse_scores(T.events_cloud(spark, d), "z", "y", "score").select(*IDS, r6("score").alias("score"))
