@@ -114,7 +114,9 @@ def label_aware_merge(spark, d):
 
 @register("detection_pipeline")
 def detection_pipeline(spark, d):
-    """The whole pipeline over customer clouds; one row per candidate region."""
+    """The whole pipeline over customer clouds; one row per working point with its evidence and verdict."""
     s = Settings(sample_points=300, variation_scales=(8, 16, 24), eigenpairs=30)
     st = pipeline.run_pipeline(T.customer_cloud(spark, d), s)
-    return st.regions.select("cloud_id", "component", "size", r6("d_p95").alias("d_p95"), r6("s_p90").alias("s_p90"), "verdict")
+    return pipeline.point_report(st).select(
+        *IDS, "sample_rank", *[r6(c).alias(c) for c in ("r_sv", "r_p", "r_v")], "suppressed", "on_boundary", "defect"
+    )
