@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_HOMES: set[str] = set()
 
 
 def local_session(cores: int | str = 8, app: str = "pointweave", **extra: str) -> SparkSession:
@@ -33,26 +32,33 @@ def local_session(cores: int | str = 8, app: str = "pointweave", **extra: str) -
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share for intermediate tables.
 
-    ``spark.checkpoint.dir`` decides. Only a local session may fall back to a
-    temporary folder of its own, because there every task sees the same disk.
+    ``spark.checkpoint.dir`` decides. Where it is unset (tests, a laptop) the
+    tables go below the session's warehouse, which every executor of a
+    deployment reaches too; no machine-local temporary folder is ever used.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if named:
-        return named.rstrip("/")
-    already = spark.sparkContext.getCheckpointDir()
-    if already:
-        return already.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="pointweave-")
-    return _LOCAL_ROOTS[app]
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = named or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str = "t") -> str:
+    """A new path below the scratch folder; the session's own folder is removed when its JVM ends."""
+    home = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        _files(spark, home).deleteOnExit(_path(spark, home))
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, where: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+
+
+def _files(spark: SparkSession, where: str):
+    return _path(spark, where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     The written table ends the lineage (a lost executor re-reads files, it does
@@ -60,10 +66,20 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     size whether a side is small enough to broadcast.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    writer = df.write.option("compression", "snappy")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more (the earlier rounds of a loop)."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            _files(df.sparkSession, path).delete(_path(df.sparkSession, path), True)
 
 
 def is_empty(df: DataFrame) -> bool:
