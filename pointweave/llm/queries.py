@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import buckets, dedup, mixing, urls
+from pointweave.llm import buckets, dedup, mixing, seekable, templates, urls
 from pointweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +24,21 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op3_token_files")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return seekable.token_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op5_length_buckets")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return buckets.pack(table(spark, folder, "documents"))
 
 
+@query("op6_site_templates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.extract(table(spark, folder, "pages"))
+
+
 @query("op7_fair_mix", mixing.ORACLE)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
