@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import buckets, dedup, mixing, seekable, templates, urls
+from pointweave.llm import buckets, dedup, mixing, pii, seekable, templates, toxicity, urls
 from pointweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,23 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: a key for the registered query only; a deployment passes its own secret
+DEMO_KEY = b"registered query, not a secret"
+
+
+@query("op1_pseudonyms")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, folder, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
+@query("op2_clause_grammar")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "toxic_clauses")
+
+
 @query("op3_token_files")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return seekable.token_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
