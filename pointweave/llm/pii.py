@@ -219,7 +219,7 @@ FIND = re.compile(
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?:(?<![\w+])\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))",
+    r"|(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-]))",
     re.ASCII,
 )
 RULES = {"email": email, "secret": secret, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
@@ -232,17 +232,21 @@ def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
     if not MAY_HOLD.search(text):
         return text, counts
 
-    def change(found: re.Match) -> str:
-        kind = found.lastgroup
-        new = RULES[kind](key, found[0], back)
-        if new is None and kind != "card" and len(_digits(found[0])) >= 13:
-            kind, new = "card", card(key, found[0], back)
-        if new is None:
-            return found[0]
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return FIND.sub(change, text), counts
+    out, done, at = [], 0, 0
+    while found := FIND.search(text, at):
+        kind, whole = next(k for k in KINDS if found[k] is not None), found[0]
+        at = found.end()
+        # a number may be followed by another one: without its last groups it can be valid
+        ends = [len(whole), *(m.start() for m in reversed(list(re.finditer(r"[ .-]", whole))))] if kind in ("phone", "card") else [len(whole)]
+        for end in ends:
+            tries = {k: RULES[k](key, whole[:end], back) for k in dict.fromkeys((kind, "card" if kind == "phone" else kind))}
+            k = next((k for k, new in tries.items() if new is not None), None)
+            if k is not None:
+                counts[k] = counts.get(k, 0) + 1
+                out += [text[done : found.start()], tries[k]]
+                done = at = found.start() + end
+                break
+    return "".join([*out, text[done:]]), counts
 
 
 def replace_personal_data(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
