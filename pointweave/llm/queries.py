@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import buckets, dedup, mixing, pii, seekable, templates, toxicity, urls
+from pointweave.llm import buckets, dedup, metric, mixing, pii, seekable, templates, toxicity, urls
 from pointweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     rules = urls.rule_table(spark, urls.RULES)
     return urls.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_metric_join", metric.ORACLE)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return metric.link_vectors(table(spark, folder, "embeddings"))
