@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import buckets, dedup, metric, mixing, pii, seekable, templates, toxicity, urls
+from pointweave.llm import buckets, dedup, jaccard, metric, mixing, pii, seekable, templates, toxicity, urls
 from pointweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return seekable.token_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op4_bayes_jaccard")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents")).drop("_text_key")
+
+
 @query("op5_length_buckets")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return buckets.pack(table(spark, folder, "documents"))
