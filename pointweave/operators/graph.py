@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.session import cut, is_empty
+from pointweave.session import cut, discard, is_empty
 
 POINT = ["cloud_id", "point_id"]
 
@@ -66,7 +66,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = moved.select("cloud_id", "a", F.col("m").alias("b")).unionByName(
             moved.where(F.col("b") != F.col("m")).select("cloud_id", F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        pairs = cut(small.distinct(), "pairs")
+        last, pairs = pairs, cut(small.distinct(), "pairs")
+        discard(last)
         now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("cloud_id", "a", "b"))).first()
         if now == state:
             break
@@ -411,18 +412,26 @@ def hysteresis(strong: DataFrame, weak: DataFrame, edges: DataFrame) -> DataFram
     return hop_distance(strong, edges, None, allowed=weak).drop("hop")
 
 
-def fill_holes(mask: DataFrame, roi: DataFrame, edges: DataFrame, points: DataFrame, max_ratio: float = 3.0) -> DataFrame:
-    """Add ROI points that cannot be reached from outside the ROI without crossing the mask.
+def fill_holes(
+    members: DataFrame, edges: DataFrame, roi_hops: int = 4, max_ratio: float = 3.0, label: str = "component"
+) -> DataFrame:
+    """(cloud_id, label, point_id): components with the holes that they enclose.
 
-    A cloud whose mask would grow to more than ``max_ratio`` times its size keeps its mask.
+    A component's surroundings reach ``roi_hops``. What lies in them and is not
+    of the component is outside if it has a neighbour beyond the surroundings,
+    or no neighbour, or is connected with such a point without crossing the
+    component; the rest are holes. A component that would grow to more than
+    ``max_ratio`` times its size stays as it is.
     """
-    mask, roi = cut(mask.select(*POINT), "mask"), cut(roi.select(*POINT), "roi")
-    passable = cut(roi.join(mask, POINT, "left_anti"), "passable")
-    outside = points.select(*POINT).join(roi, POINT, "left_anti").join(mask, POINT, "left_anti")
-    reached = hop_distance(outside, edges, None, allowed=passable).drop("hop")
-    filled = cut(mask.unionByName(passable.join(reached, POINT, "left_anti")).distinct(), "filled")
-    before = mask.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("before"))
-    after = filled.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("after")).join(before, "cloud_id", "left")
-    fine = after.where(F.col("after") <= F.coalesce("before", F.lit(0)) * max_ratio).select("cloud_id")
-    kept = mask.join(fine, "cloud_id", "left_anti")
-    return filled.join(fine, "cloud_id", "left_semi").unionByName(kept)
+    key = ["cloud_id", label, "point_id"]
+    members = cut(members.select(*key), "members")
+    roi = cut(hop_distance(members, edges, roi_hops, [label]), "roi")
+    passable = cut(roi.where("hop > 0").select(*key), "passable")
+    beyond = _step(passable, edges, [label]).join(roi.select(*key), key, "left_anti").select("cloud_id", label, F.col("via").alias("point_id"))
+    alone = passable.join(edges.select("cloud_id", F.col("src").alias("point_id")).distinct(), POINT, "left_anti")
+    open_ = beyond.unionByName(alone).distinct()
+    holes = cut(passable.join(hop_distance(open_, edges, None, [label], allowed=passable), key, "left_anti"), "holes")
+    before = members.groupBy("cloud_id", label).agg(F.count(F.lit(1)).alias("before"))
+    added = holes.groupBy("cloud_id", label).agg(F.count(F.lit(1)).alias("added")).join(before, ["cloud_id", label])
+    fine = added.where(F.col("before") + F.col("added") <= F.col("before") * max_ratio).select("cloud_id", label)
+    return members.unionByName(holes.join(fine, ["cloud_id", label], "left_semi"))

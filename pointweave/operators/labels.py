@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import half_even_round
+from pointweave.functions.order_stats import percentiles
 from pointweave.operators.neighbors import knn_join, nearest_within
 from pointweave.session import cut
 
@@ -23,7 +24,7 @@ def align_coordinates(points: DataFrame, truth: DataFrame, tolerance: float | No
 
     The first rounding at which every truth row of a cloud finds a point wins
     for that cloud; clouds without one use the nearest point within the
-    tolerance (by default half the median spacing of the cloud).
+    tolerance (by default three times the median positive spacing of the cloud).
     """
     points = cut(points.select("cloud_id", "point_id", "x", "y", "z"), "points")
     truth = cut(truth.withColumn("gt_id", F.monotonically_increasing_id()), "truth")
@@ -48,16 +49,19 @@ def align_coordinates(points: DataFrame, truth: DataFrame, tolerance: float | No
     )
 
 
-def spacing_tolerance(points: DataFrame, share: float = 0.5) -> DataFrame:
-    from pointweave.functions.order_stats import percentiles
-
-    near = cut(knn_join(points, 1), "spacing")
+def spacing_tolerance(points: DataFrame, factor: float = 3.0, least: float = 1e-8) -> DataFrame:
+    """``factor`` times the median of the positive nearest-neighbour distances; at least ``least``, also for one place only."""
+    near = cut(knn_join(points, 1).where("dist > 0"), "spacing")
     t = percentiles(near, ["cloud_id"], "dist", [0.5], ["median"])
-    return t.select("cloud_id", (F.col("median") * share).alias("tolerance"))
+    clouds = points.select("cloud_id").distinct().join(t, "cloud_id", "left")
+    return clouds.select("cloud_id", F.greatest(F.coalesce(F.col("median") * factor, F.lit(least)), F.lit(least)).alias("tolerance"))
 
 
 def from_vector(points: DataFrame, values: DataFrame) -> DataFrame:
-    """Label vectors (cloud_id, row, value): one value per point, or a list of 0- or 1-based indices."""
+    """Label vectors (cloud_id, row, value): one value per point, or a list of 0- or 1-based indices.
+
+    A cloud whose vector fits neither has no labels and gives no rows; it is not a cloud without defects.
+    """
     sizes = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
     shape = values.groupBy("cloud_id").agg(
         F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"),
@@ -72,7 +76,9 @@ def from_vector(points: DataFrame, values: DataFrame) -> DataFrame:
     spot = F.when(F.col("kind") == "vector", F.col("row")).when(F.col("kind") == "zero", F.col("value")).otherwise(F.col("value") - 1)
     hit = F.when(F.col("kind") == "vector", F.col("value") > 0).otherwise(True)
     marks = rows.where(F.col("kind").isNotNull() & hit).select("cloud_id", spot.cast("long").alias("point_id"), F.lit(True).alias("defect"))
-    return points.select("cloud_id", "point_id").join(marks.distinct(), ["cloud_id", "point_id"], "left").na.fill(False, ["defect"])
+    usable = shape.where(kind.isNotNull()).select("cloud_id")
+    labelled = points.select("cloud_id", "point_id").join(usable, "cloud_id")
+    return labelled.join(marks.distinct(), ["cloud_id", "point_id"], "left").na.fill(False, ["defect"])
 
 
 def looks_like_labels(rows: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import ratio_or_zero
+from pointweave.functions.order_stats import percentiles
+from pointweave.session import cut
 
 
 def confusion(df: DataFrame, keys: Sequence[str], pred: Column, truth: Column) -> DataFrame:
@@ -43,9 +45,9 @@ def category_summary(samples: DataFrame, by: str = "category") -> DataFrame:
         *[F.avg(F.when(ok, F.col(c))).alias("macro_" + c) for c in ("precision", "recall", "f1")],
         *[F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0).cast("long")).alias(c) for c in ("tp", "fp", "fn", "tn")],
         F.avg(F.when(ok, F.col("seconds"))).alias("mean_seconds"),
-        F.percentile(F.when(ok, F.col("seconds")), F.lit(0.5)).alias("median_seconds"),
     )
-    return with_scores(pooled).withColumnsRenamed(
+    middle = percentiles(samples.where(ok), [by], "seconds", [0.5], ["median_seconds"])
+    return with_scores(pooled.join(middle, by, "left")).withColumnsRenamed(
         {"precision": "micro_precision", "recall": "micro_recall", "f1": "micro_f1", "iou": "micro_iou"}
     )
 
@@ -93,17 +95,16 @@ def method_summary(samples: DataFrame) -> DataFrame:
 
 
 def false_positive_rates(good: DataFrame) -> DataFrame:
-    """good: category, sample_id, fp, num_points -> mean and p95 rate per category, and the two overall rows."""
-    rate = good.withColumn("fpr", ratio_or_zero(F.col("fp"), F.col("num_points")))
-    per = rate.groupBy("category").agg(
-        F.count(F.lit(1)).alias("samples"), F.avg("fpr").alias("mean_fpr"),
-        F.percentile("fpr", F.lit(0.95)).alias("p95_fpr"),
-    )
-    pooled = rate.agg(F.percentile("fpr", F.lit(0.95)).alias("p95_fpr"), F.count(F.lit(1)).alias("samples"))
-    whole = per.agg(F.avg("mean_fpr").alias("mean_fpr"), F.lit(1).alias("one")).join(
-        pooled.withColumn("one", F.lit(1)), "one"
-    )
-    return per.unionByName(whole.select(F.lit("balanced_overall").alias("category"), "samples", "mean_fpr", "p95_fpr"))
+    """good: category, sample_id, success, fp, num_points -> mean and p95 rate per category, and one row over all.
+
+    Failed samples are left out. The row over all has the mean of the categories' means.
+    """
+    rate = cut(good.where("success").select("category", ratio_or_zero(F.col("fp"), F.col("num_points")).alias("fpr")), "rates")
+    per = rate.groupBy("category").agg(F.count(F.lit(1)).alias("samples"), F.avg("fpr").alias("mean_fpr"))
+    whole = per.agg(F.sum("samples").alias("samples"), F.avg("mean_fpr").alias("mean_fpr")).where("samples is not null")
+    both = per.unionByName(whole.withColumn("category", F.lit("balanced_overall")))
+    pooled = rate.withColumn("category", F.lit("balanced_overall")).unionByName(rate)
+    return both.join(percentiles(pooled, ["category"], "fpr", [0.95], ["p95_fpr"]), "category")
 
 
 def object_scores(regions: DataFrame, samples: DataFrame) -> DataFrame:
@@ -113,14 +114,16 @@ def object_scores(regions: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def runtime_summary(runs: DataFrame) -> DataFrame:
-    """runs: seconds, resumed -> totals over executed runs."""
-    done = ~F.col("resumed")
+    """runs: seconds, resumed, success -> totals over the successful runs that were executed."""
+    done = ~F.col("resumed") & F.col("success")
     s = F.when(done, F.col("seconds"))
-    return runs.agg(
+    runs = runs.withColumn("batch", F.lit("all"))
+    totals = runs.groupBy("batch").agg(
         F.count_if(done).alias("executed"), F.count_if(F.col("resumed")).alias("resumed"),
-        F.sum(s).alias("total"), F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"),
-        F.percentile(s, F.lit(0.95)).alias("p95"), F.min(s).alias("fastest"), F.max(s).alias("slowest"),
+        F.sum(s).alias("total"), F.avg(s).alias("mean"), F.min(s).alias("fastest"), F.max(s).alias("slowest"),
     )
+    spread = percentiles(runs.where(done), ["batch"], "seconds", [0.5, 0.95], ["median", "p95"])
+    return totals.join(spread, "batch", "left").drop("batch")
 
 
 def variant_objective(rows: DataFrame, expected_per_category: int = 2) -> DataFrame:

@@ -211,38 +211,46 @@ def seed_graph(points: DataFrame, seeds: DataFrame, k: int = 8, scale_k: int = 6
     return both.where(keep).select("cloud_id", "src", "dst", "dist")
 
 
+#: pivots of the feature-space search, at most
+PIVOTS = 256
+
+
 def baseline_distance(rows: DataFrame, baseline: DataFrame, values: list[str]) -> DataFrame:
-    """Squared distance of every row to its nearest baseline row, features z-scored by the baseline.
+    """Squared distance of every row to its nearest baseline row, all features z-scored by the baseline.
 
-    One to three features, as the score views have; all rows meet all baseline
-    rows, so the clouds are one for this search.
+    Exact in any number of dimensions. Baseline rows are dealt to the nearest of
+    about sqrt(n) pivots. A row's distance to the members of its own pivot's
+    cell bounds the answer; then only cells that the triangle inequality
+    (distance to the pivot less the cell's radius) does not rule out are searched.
     """
     stats = baseline.agg(
-        *[F.avg(v).alias("m_" + v) for v in values], *[F.stddev_pop(v).alias("s_" + v) for v in values]
-    ).first()  # one row of 2 * len(values) numbers
+        F.count(F.lit(1)).alias("n"), *[F.avg(v).alias("m_" + v) for v in values], *[F.stddev_pop(v).alias("s_" + v) for v in values]
+    ).first()  # one row of 2 * len(values) + 1 numbers
 
     def scaled(df):
         axes = []
-        for a, v in zip("xyz", [*values, None, None]):
-            if v is None:
-                axes.append(F.lit(0.0).alias(a))
-                continue
+        for v in values:
             std = stats["s_" + v]
             std = 1.0 if std is None or std < 1e-12 else std
-            axes.append(((F.col(v) - F.lit(stats["m_" + v])) / F.lit(std)).alias(a))
-        return df.select(
-            F.lit("all").alias("cloud_id"), F.xxhash64("cloud_id", "point_id").alias("key"),
-            F.col("cloud_id").alias("own_cloud"), F.col("point_id").alias("own_id"), *axes,
-        ).withColumnRenamed("key", "point_id")
-
-    ask = cut(scaled(rows), "ask")
-    base = scaled(baseline).select("cloud_id", "point_id", "x", "y", "z")
-    # equal coordinates get one search key, so equal hashes of different rows cannot mix answers
-    spots = ask.groupBy("cloud_id", "x", "y", "z").agg(F.min(F.struct("own_cloud", "own_id")).alias("k"))
-    spots = cut(spots.select("cloud_id", "x", "y", "z", F.monotonically_increasing_id().alias("point_id")), "spots")
-    near = knn_join(base, 1, queries=spots, skip_same_id=False)
-    found = spots.join(near.select("cloud_id", F.col("src").alias("point_id"), "dist"), ["cloud_id", "point_id"])
-    found = found.select("cloud_id", "x", "y", "z", (F.col("dist") * F.col("dist")).alias("score"))
-    return ask.join(found, ["cloud_id", "x", "y", "z"]).select(
-        F.col("own_cloud").alias("cloud_id"), F.col("own_id").alias("point_id"), "score"
-    )
+            axes.append(((F.col(v) - F.lit(stats["m_" + v])) / F.lit(std)).cast("double"))
+        return df.select("cloud_id", "point_id", F.array(*axes).alias("f"))
+
+    def gap(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    base = cut(scaled(baseline).select("f").distinct(), "baseline")  # equal rows are searched once
+    chosen = base.orderBy(F.xxhash64("f")).limit(min(PIVOTS, max(1, int((stats["n"] or 0) ** 0.5)))).collect()  # at most PIVOTS rows
+    pivots = F.array(*[F.struct(F.lit(k).alias("cell"), F.array(*[F.lit(float(x)) for x in r.f]).alias("at")) for k, r in enumerate(chosen)])
+    near = F.transform(pivots, lambda p: F.struct(F.sqrt(gap(p["at"], F.col("f"))).alias("d"), p["cell"].alias("cell")))
+    homes = cut(base.withColumn("p", F.array_min(near)).select("f", "p.cell", "p.d"), "homes")
+    radius = homes.groupBy("cell").agg(F.max("d").alias("radius"))
+    spots = cut(scaled(rows).groupBy("f").agg(F.min("point_id").alias("_any")).select(F.monotonically_increasing_id().alias("spot"), "f"), "spots")
+    reach = cut(spots.withColumn("p", F.explode(near)).select("spot", "f", "p.cell", "p.d").join(radius, "cell"), "reach")
+    first = reach.groupBy("spot").agg(F.min_by(F.struct("cell", "f"), F.struct("d", "cell")).alias("c")).select("spot", "c.*")
+    members = homes.select("cell", F.col("f").alias("g"))
+    bound = cut(first.join(members, "cell").groupBy("spot").agg(F.min(gap(F.col("f"), F.col("g"))).alias("d2")), "bound")
+    # a small allowance for rounding only adds cells
+    open_ = reach.join(bound, "spot").where(F.col("d") - F.col("radius") <= F.sqrt("d2") * (1 + 1e-9) + 1e-9)
+    found = open_.join(members, "cell").groupBy("spot").agg(F.min(gap(F.col("f"), F.col("g"))).alias("score"))
+    answers = cut(spots.join(found, "spot").select("f", "score"), "answers")
+    return scaled(rows).join(answers, "f").select("cloud_id", "point_id", "score")

@@ -20,13 +20,13 @@ TINY = 1e-12
 
 
 def isotropic_scale(points: DataFrame, cube: float = 64.0) -> DataFrame:
-    """Centre each cloud on its box and scale its longest side to ``cube``."""
+    """Centre each cloud on its box and scale its longest side to ``cube``; a cloud without extent is an error."""
     box = points.groupBy("cloud_id").agg(*[g(a).alias(a + s) for a in "xyz" for g, s in ((F.min, "_lo"), (F.max, "_hi"))])
     extent = F.greatest(*[F.col(a + "_hi") - F.col(a + "_lo") for a in "xyz"])
     frame = box.select(
         "cloud_id",
         *[((F.col(a + "_lo") + F.col(a + "_hi")) * 0.5).alias("c" + a) for a in "xyz"],
-        (F.lit(cube) / F.when(extent > 0, extent)).alias("scale"),
+        F.when(extent > 0, F.lit(cube) / extent).otherwise(F.raise_error(F.concat(F.lit("no extent in cloud "), F.col("cloud_id").cast("string")))).alias("scale"),
     )
     moved = points.join(frame, "cloud_id")
     for a in "xyz":

@@ -129,15 +129,23 @@ def classify_regions(
     )
 
 
-def relative_size(sizes: DataFrame, fraction: float = 0.5, min_points: DataFrame | None = None) -> DataFrame:
-    """Components at least ``fraction`` of the largest of their cloud (exact integer test at one half)."""
+def relative_size(sizes: DataFrame, fraction: float = 0.5, cloud_sizes: DataFrame | None = None, min_fraction: float = 0.0) -> DataFrame:
+    """Components at least ``fraction`` of the largest of their cloud (exact integer test at one half).
+
+    With ``cloud_sizes`` (cloud_id, n) they must also hold ``min_fraction`` of the cloud's points.
+    """
+    if not (0.0 <= fraction <= 1.0 and 0.0 <= min_fraction <= 1.0):
+        raise ValueError("fractions lie between 0 and 1")
     top = sizes.groupBy("cloud_id").agg(F.max("size").alias("largest"))
     both = sizes.join(top, "cloud_id")
     if fraction == 0.5:
         ok = F.col("size") * 2 >= F.col("largest")
     else:
         ok = F.col("size") >= F.col("largest") * fraction
-    return both.withColumn("eligible", ok & (F.col("largest") > 0))
+    if cloud_sizes is not None:
+        both = both.join(cloud_sizes.select("cloud_id", F.col("n").alias("_n")), "cloud_id")
+        ok = ok & (F.col("size") / F.col("_n") >= min_fraction)
+    return both.withColumn("eligible", ok & (F.col("largest") > 0)).drop("_n")
 
 
 def drop_small_and_red(

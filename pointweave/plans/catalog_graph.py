@@ -132,24 +132,33 @@ def nearest_with_tolerance(spark, d):
     return NB.nearest_within(p, q, 2.5).select("cloud_id", "src", "dst", r6("dist").alias("dist"))
 
 
+FEATURES = ["quantity", "price", "discount", "tax", "lines"]
+
+
 @register(
     "feature_space_nearest",
     query(
         [
-            cloud("evt"),
-            "m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, stddev_pop(x) AS sx, stddev_pop(y) AS sy, stddev_pop(z) AS sz "
-            "FROM p WHERE z < 50)",
-            "f AS (SELECT 'all' AS cloud_id, cloud_id AS kind, point_id, z AS raw, (x-mx)/sx AS x, (y-my)/sy AS y, (z-mz)/sz AS z FROM p, m)",
-            "b AS (SELECT * FROM f WHERE raw < 50)",
-            "d AS (SELECT a.kind, a.point_id, min((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)) AS d2 FROM f a, b GROUP BY 1, 2)",
+            "p AS (SELECT o.o_orderpriority AS cloud_id, l_orderkey AS point_id, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price, "
+            "round(sum(l_discount), 4) AS discount, round(sum(l_tax), 4) AS tax, CAST(count(*) AS DOUBLE) AS lines FROM lineitem JOIN orders o ON "
+            "o.o_orderkey = l_orderkey GROUP BY 1, 2)",
+            "m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES) + " FROM p WHERE quantity < 60)",
+            "f AS (SELECT cloud_id, point_id, quantity AS raw, " + ", ".join(f"({c}-m_{c})/s_{c} AS {c}" for c in FEATURES) + " FROM p, m)",
+            "b AS (SELECT * FROM f WHERE raw < 60)",
+            "d AS (SELECT a.cloud_id, a.point_id, min(" + "+".join(f"(b.{c}-a.{c})*(b.{c}-a.{c})" for c in FEATURES) + ") AS d2 FROM f a, b GROUP BY 1, 2)",
         ],
-        f"SELECT kind AS cloud_id, point_id, {rnd('d2')} AS score FROM d",
+        f"SELECT cloud_id, point_id, {rnd('d2')} AS score FROM d",
     ),
 )
 def feature_space_nearest(spark, d):
-    """Squared distance to the nearest baseline row in z-scored feature space (baseline: value below 50)."""
-    p = cut(T.events_cloud(spark, d), "cloud")
-    return NB.baseline_distance(p, p.where(F.col("z") < 50), ["x", "y", "z"]).select(*IDS, r6("score").alias("score"))
+    """Squared distance to the nearest baseline row in z-scored feature space, five features (baseline: small orders)."""
+    li = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("point_id")).agg(
+        F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.sum("l_discount"), 4).alias("discount"),
+        F.round(F.sum("l_tax"), 4).alias("tax"), F.count(F.lit(1)).cast("double").alias("lines"),
+    )
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), F.col("o_orderpriority").alias("cloud_id"))
+    p = cut(li.join(o, "point_id"), "features")
+    return NB.baseline_distance(p, p.where(F.col("quantity") < 60), FEATURES).select(*IDS, r6("score").alias("score"))
 
 
 @register(
@@ -824,18 +833,38 @@ def hysteresis(spark, d):
     query(
         CUST
         + [
-            top_mask("z", 0.6, "m"), "roi AS (SELECT cloud_id, point_id FROM p WHERE y >= 3)",
-            "pass AS (SELECT * FROM roi EXCEPT SELECT * FROM m)",
-            "outer_ AS (SELECT cloud_id, point_id FROM p EXCEPT SELECT * FROM roi EXCEPT SELECT * FROM m)",
-            labels("pass"),
-            "open_ AS (SELECT DISTINCT c.cloud_id, c.component FROM comp c JOIN e ON e.cloud_id = c.cloud_id AND e.src = c.point_id JOIN outer_ o ON "
-            "o.cloud_id = e.cloud_id AND o.point_id = e.dst)",
+            top_mask("z", 0.5, "m"), labels("m"), hops("comp", 4, name="roi", group="component"),
+            "pass AS (SELECT cloud_id, component, point_id FROM roi WHERE hop > 0)",
+            "start AS (SELECT DISTINCT a.cloud_id, a.component, a.point_id FROM pass a LEFT JOIN e ON e.cloud_id = a.cloud_id AND e.src = a.point_id "
+            "LEFT JOIN roi r ON r.cloud_id = a.cloud_id AND r.component = a.component AND r.point_id = e.dst WHERE r.point_id IS NULL)",
+            "seen(cloud_id, component, point_id) AS (SELECT * FROM start UNION SELECT s.cloud_id, s.component, x.dst FROM seen s JOIN e x ON "
+            "x.cloud_id = s.cloud_id AND x.src = s.point_id JOIN pass q ON q.cloud_id = s.cloud_id AND q.component = s.component AND q.point_id = x.dst)",
+            "hole AS (SELECT * FROM pass EXCEPT SELECT * FROM seen)",
+            "n AS (SELECT cloud_id, component, count(*) AS n FROM comp GROUP BY 1, 2)",
+            "good AS (SELECT h.cloud_id, h.component FROM hole h JOIN n ON n.cloud_id = h.cloud_id AND n.component = h.component "
+            "GROUP BY 1, 2, n.n HAVING n.n + count(*) <= 3 * n.n)",
         ],
-        "SELECT cloud_id, point_id FROM m UNION SELECT c.cloud_id, c.point_id FROM comp c WHERE NOT EXISTS (SELECT 1 FROM open_ o WHERE "
-        "o.cloud_id = c.cloud_id AND o.component = c.component)",
+        "SELECT cloud_id, component, point_id FROM comp UNION ALL SELECT h.cloud_id, h.component, h.point_id FROM hole h JOIN good g "
+        "ON g.cloud_id = h.cloud_id AND g.component = h.component",
         True,
     ),
 )
 def fill_holes(spark, d):
     p, e = cust(spark, d)
-    return G.fill_holes(top(p, "z", 60.0), p.where("y >= 3").select(*IDS), e, p)
+    return G.fill_holes(cut(G.mask_components(top(p, "z", 50.0), e), "comp"), e)
+
+
+@register(
+    "relative_size_fraction",
+    query(
+        CUST + [top_mask("z", 0.5), labels("mask"), "s AS (SELECT cloud_id, component, count(*) AS size FROM comp GROUP BY 1, 2)",
+                "m AS (SELECT cloud_id, max(size) AS largest FROM s GROUP BY 1)", "n AS (SELECT cloud_id, count(*) AS n FROM p GROUP BY 1)"],
+        "SELECT s.cloud_id, component, size, largest, size >= 0.25::DOUBLE*largest AND size/n.n >= 0.05::DOUBLE AS eligible FROM s JOIN m ON "
+        "m.cloud_id = s.cloud_id JOIN n ON n.cloud_id = s.cloud_id",
+        True,
+    ),
+)
+def relative_size_fraction(spark, d):
+    p, e = cust(spark, d)
+    sizes = G.component_sizes(G.mask_components(top(p, "z", 50.0), e))
+    return rules.relative_size(sizes, 0.25, p.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n")), 0.05)

@@ -16,10 +16,10 @@ def cloud(name: str) -> str:
 def knn(k: int, name: str = "k", queries: str = "p", points: str = "p", skip: bool = True) -> str:
     other = "AND a.point_id <> b.point_id" if skip else ""
     return (
-        f"{name} AS (SELECT cloud_id, src, dst, sqrt(d2) AS dist, rank FROM (SELECT *, CAST(row_number() OVER "
-        f"(PARTITION BY cloud_id, src ORDER BY d2, dst) AS INTEGER) AS rank FROM (SELECT a.cloud_id, a.point_id AS src, "
-        f"b.point_id AS dst, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z) AS d2 FROM {queries} a JOIN {points} b "
-        f"ON a.cloud_id = b.cloud_id {other})) WHERE rank <= {k})"
+        f"{name} AS (SELECT cloud_id, src, t.dst AS dst, sqrt(t.d2) AS dist, CAST(rank AS INTEGER) AS rank FROM (SELECT cloud_id, src, unnest(l) AS t, "
+        f"generate_subscripts(l, 1) AS rank FROM (SELECT cloud_id, src, min({{'d2': d2, 'dst': dst}}, {k}) AS l FROM (SELECT a.cloud_id, "
+        f"a.point_id AS src, b.point_id AS dst, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z) AS d2 FROM {queries} a JOIN {points} b "
+        f"ON a.cloud_id = b.cloud_id {other}) GROUP BY cloud_id, src)))"
     )
 
 

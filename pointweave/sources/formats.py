@@ -175,5 +175,10 @@ def read_text_clouds(spark: SparkSession, root: str, pattern: str = "*.{txt,xyz,
 def read_clouds(spark: SparkSession, root: str) -> DataFrame:
     """All supported files under ``root`` as (path, point_id, x, y, z)."""
     text = read_text_clouds(spark, root)
+    # a row with fewer than three numbers, or with one that is not finite, is an error as in the binary readers
+    spot = F.slice("values", 1, 3)
+    sound = (F.size("values") >= 3) & F.forall(spot, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    checked = F.when(sound, spot).otherwise(F.raise_error(F.concat(F.lit("fewer than three finite columns in "), F.col("path"))))
+    text = text.withColumn("values", checked)
     text = text.select("path", "point_id", *[F.get("values", F.lit(i)).alias(a) for i, a in enumerate("xyz")])
     return read_binary_clouds(spark, root).unionByName(text)

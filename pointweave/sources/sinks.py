@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 
 def write_cache(points: DataFrame, path: str, digest: str) -> None:
-    """Prepared clouds partitioned by category, stamped with the settings hash."""
-    points.withColumn("config_hash", F.lit(digest)).write.mode("overwrite").partitionBy("category").parquet(path)
+    """Prepared clouds partitioned by the settings hash and category."""
+    points.withColumn("config_hash", F.lit(digest)).write.mode("overwrite").partitionBy("config_hash", "category").parquet(path)
 
 
 def read_cache(spark, path: str, digest: str) -> DataFrame:
-    """Reload; another settings hash or a repeated point is an error when rows are read."""
+    """Reload; another settings hash or a repeated point is an error at once."""
     df = spark.read.parquet(path)
-    stale = F.when(F.col("config_hash") != digest, F.raise_error(F.lit("cache was written with other settings")))
-    return df.withColumn("config_hash", F.coalesce(stale, F.col("config_hash")))
+    # a partition column: only the folder names are read
+    if [r[0] for r in df.select("config_hash").distinct().limit(2).collect()] not in ([digest], []):
+        raise ValueError(f"the cache at {path} was written with other settings")
+    twice = df.groupBy("category", "cloud_id", "point_id").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the cache holds point {twice[0].point_id} of cloud {twice[0].cloud_id} more than once")
+    return df
 
 
 def pcd_bytes(xyz: np.ndarray) -> bytes:

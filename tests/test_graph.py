@@ -96,3 +96,13 @@ def test_widest_path_hops(spark):
     resp = points(spark, range(7), response=[1.0, 0.2, 0.9, 0.8, 0.8, 0.7, 0.8])
     w = {r.point_id: (r.capacity, r.path_hops) for r in G.widest_paths(points(spark, [0]), resp, e).collect()}
     assert w[5] == (0.7, 4) and w[1] == (0.2, 1) and w[2] == (0.7, 5)
+
+
+def test_holes_per_component(spark):
+    # a ring of eight around two inner points; the inner pair is a hole, the tail outside is not, the lone point is its own component
+    ring = [(i, (i + 1) % 8) for i in range(8)]
+    e = edges(spark, [*ring, (0, 8), (4, 9), (8, 9), (2, 10), (10, 11), (11, 12), (12, 13), (13, 14)])
+    members = points(spark, [*range(8), 20]).selectExpr("*", "cast(if(point_id = 20, 20, 0) as long) as component")
+    got = {(r.component, r.point_id) for r in G.fill_holes(members, e).collect()}
+    assert got == {(0, i) for i in range(10)} | {(20, 20)}
+    assert {r.point_id for r in G.fill_holes(members, e, max_ratio=1.1).collect()} == {*range(8), 20}

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import brute_knn, cloud, points
 from pyspark.sql import functions as F
 
@@ -155,3 +156,22 @@ def test_isotropic_scale_fills_the_cube(spark):
     s = N.isotropic_scale(cloud(spark, np.random.default_rng(9).normal(size=(50, 3)))).toPandas()
     spans = [s[a].max() - s[a].min() for a in "xyz"]
     assert np.isclose(max(spans), 64.0)
+
+
+def test_cloud_without_extent_is_an_error(spark):
+    with pytest.raises(Exception, match="no extent"):
+        N.isotropic_scale(cloud(spark, [[1.0, 1.0, 1.0]] * 3)).collect()
+
+
+def test_baseline_distance_uses_every_feature(spark):
+    from pointweave.operators.neighbors import baseline_distance
+
+    rng = np.random.default_rng(2)
+    base, ask = rng.normal(size=(300, 6)), rng.normal(size=(80, 6))
+    cols = [f"f{i}" for i in range(6)]
+    frame = lambda m: spark.createDataFrame([("a", i, *map(float, r)) for i, r in enumerate(m)], ["cloud_id", "point_id", *cols])
+    got = {r.point_id: r.score for r in baseline_distance(frame(ask), frame(base), cols).collect()}
+    z = (base - base.mean(0)) / base.std(0)
+    a = (ask - base.mean(0)) / base.std(0)
+    want = ((a[:, None] - z[None]) ** 2).sum(-1).min(1)
+    assert len(got) == 80 and all(abs(got[i] - want[i]) < 1e-9 for i in range(80))

@@ -98,3 +98,40 @@ def test_settings_round_trip():
     assert Settings.load(s.snapshot()) == s and s.digest() != Settings().digest()
     with pytest.raises(ValueError):
         Settings.load('{"config": {"no_such": 1}}')
+
+
+def test_tolerance_is_three_median_spacings(spark):
+    grid = cloud(spark, [[float(i), 0.0, 0.0] for i in range(10)] + [[0.0, 0.0, 0.0]])
+    lone = cloud(spark, [[5.0, 5.0, 5.0]], name="b")
+    got = {r.cloud_id: r.tolerance for r in L.spacing_tolerance(grid.unionByName(lone)).collect()}
+    assert got == {"a": pytest.approx(3.0), "b": pytest.approx(1e-8)}
+    gt = spark.createDataFrame([("a", 9.0, 2.5, 0.0, 1.0), ("b", 5.0, 5.0, 5.0, 1.0)], "cloud_id string, x double, y double, z double, label double")
+    hit = L.align_coordinates(grid.unionByName(lone), gt).where("defect").collect()
+    assert sorted((r.cloud_id, r.point_id) for r in hit) == [("a", 9), ("b", 0)]
+
+
+def test_unusable_vector_gives_no_label(spark):
+    p = points(spark, range(4))
+    odd = spark.createDataFrame([("a", 0, 2.5), ("a", 1, 99.0)], "cloud_id string, row long, value double")
+    assert L.from_vector(p, odd).count() == 0
+
+
+def test_cache_refuses_other_settings_and_repeats(spark, tmp_path):
+    from pointweave.sources.sinks import read_cache, write_cache
+
+    p = points(spark, range(4), x=1.0).selectExpr("*", "'fish' as category")
+    write_cache(p, str(tmp_path / "c"), "one")
+    assert read_cache(spark, str(tmp_path / "c"), "one").count() == 4
+    with pytest.raises(ValueError):
+        read_cache(spark, str(tmp_path / "c"), "two").select("x")
+    write_cache(p.unionByName(p), str(tmp_path / "d"), "one")
+    with pytest.raises(ValueError):
+        read_cache(spark, str(tmp_path / "d"), "one")
+
+
+def test_short_text_rows_are_an_error(spark, tmp_path):
+    from pointweave.sources.formats import read_clouds
+
+    (tmp_path / "a.xyz").write_text("1 2 3\n4 5\n")
+    with pytest.raises(Exception, match="three finite columns"):
+        read_clouds(spark, str(tmp_path)).collect()
