@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointweave.functions.order_stats import percentiles
 from pointweave.session import cut, discard, is_empty
 
 POINT = ["cloud_id", "point_id"]
@@ -355,9 +356,7 @@ def label_aware_merge(
     Only component tables are ordered per cloud.
     """
     grown = cut(grown.select("cloud_id", "component", "point_id"), "claims")
-    labels = grown.join(energy, POINT).groupBy("cloud_id", "component").agg(
-        F.percentile("energy", F.lit(percentile)).alias("label")
-    )
+    labels = percentiles(grown.join(energy, POINT), ["cloud_id", "component"], "energy", [percentile], ["label"])
     by_rank = Window.partitionBy("cloud_id").orderBy(F.desc("label"), "component")
     labels = cut(labels.withColumn("rank", F.row_number().over(by_rank).cast("long")), "labels")
     ranked = cut(grown.join(labels.select("cloud_id", "component", "rank"), ["cloud_id", "component"]), "ranked")

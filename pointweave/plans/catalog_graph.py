@@ -712,10 +712,10 @@ def gap_groups(spark, d):
             "root AS (SELECT mask.cloud_id, mask.point_id, CASE WHEN x >= 50 THEN 4 ELSE 2 END AS budget FROM mask JOIN p USING (cloud_id, point_id))",
             "lg AS (SELECT e.cloud_id, src, dst FROM e JOIN p a ON a.cloud_id = e.cloud_id AND a.point_id = src JOIN p b ON "
             "b.cloud_id = e.cloud_id AND b.point_id = dst WHERE b.z <= a.z + 1e-12 AND b.z >= 20 - 1e-12)",
-            "w(cloud_id, point_id, remaining, depth) AS (SELECT cloud_id, point_id, budget, 0 FROM root UNION SELECT w.cloud_id, lg.dst, "
-            "w.remaining - 1, w.depth + 1 FROM w JOIN lg ON lg.cloud_id = w.cloud_id AND lg.src = w.point_id WHERE w.remaining > 0)",
+            "w(cloud_id, point_id, remaining, depth, via) AS (SELECT cloud_id, point_id, budget, 0, NULL::BIGINT FROM root UNION SELECT w.cloud_id, lg.dst, "
+            "w.remaining - 1, w.depth + 1, w.point_id FROM w JOIN lg ON lg.cloud_id = w.cloud_id AND lg.src = w.point_id WHERE w.remaining > 0)",
         ],
-        "SELECT cloud_id, point_id, max(remaining) AS remaining, min(depth) AS depth FROM w GROUP BY 1, 2",
+        "SELECT cloud_id, point_id, max(remaining) AS remaining, min(depth) AS depth, min({'r': -remaining, 'd': depth, 'v': via}).v AS parent FROM w GROUP BY 1, 2",
         True,
     ),
 )
@@ -723,7 +723,7 @@ def descending_growth(spark, d):
     p, e = cust(spark, d)
     root = top(p, "z", 90.0).join(p, IDS).select(*IDS, F.when(F.col("x") >= 50, 4).otherwise(2).alias("budget"))
     grown = G.descending_growth(root, p.select(*IDS, F.col("z").alias("response")), e, 20.0)
-    return grown.select(*IDS, "remaining", "depth")
+    return grown.select(*IDS, "remaining", "depth", "parent")
 
 
 @register(
@@ -788,15 +788,20 @@ def energy_descent_growth(spark, d):
             "w(cloud_id, t, point_id) AS (SELECT c.cloud_id, c.t, m.point_id FROM cand c JOIN mask m ON m.cloud_id = c.cloud_id UNION "
             "SELECT w.cloud_id, w.t, e.dst FROM w JOIN e ON e.cloud_id = w.cloud_id AND e.src = w.point_id JOIN p ON p.cloud_id = e.cloud_id AND "
             "p.point_id = e.dst WHERE p.z/100 >= w.t)",
+            "best AS (SELECT cloud_id, point_id, max(t) AS c FROM w GROUP BY 1, 2)",
+            "tight AS (SELECT e.cloud_id, e.src, e.dst FROM e JOIN p ON p.cloud_id = e.cloud_id AND p.point_id = e.dst JOIN best a ON a.cloud_id = e.cloud_id "
+            "AND a.point_id = e.src JOIN best b ON b.cloud_id = e.cloud_id AND b.point_id = e.dst WHERE least(a.c, p.z/100) = b.c)",
+            hops("mask", None, edges="tight"),
         ],
-        f"SELECT cloud_id, point_id, {rnd('max(t)')} AS capacity FROM w GROUP BY 1, 2",
+        f"SELECT best.cloud_id, best.point_id, {rnd('c')} AS capacity, hop AS path_hops FROM best LEFT JOIN h ON h.cloud_id = best.cloud_id AND "
+        "h.point_id = best.point_id",
         True,
     ),
 )
 def widest_path(spark, d):
     p, e = cust(spark, d)
     w = G.widest_paths(top(p, "z", 97.0), p.select(*IDS, (F.col("z") / 100).alias("response")), e)
-    return w.select(*IDS, r6("capacity").alias("capacity"))
+    return w.select(*IDS, r6("capacity").alias("capacity"), "path_hops")
 
 
 @register(
