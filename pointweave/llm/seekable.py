@@ -16,6 +16,7 @@ two lists, and then only the frames that hold the documents it wants.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -35,16 +36,21 @@ END_ID = 2
 #: a frame is closed once it has this many bytes of ids (a longer document has a frame to itself)
 FRAME_BYTES = 1 << 18
 #: words whose ids a task remembers; only speed depends on it
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: new words that go to the tokenizer as one text
+JOINED_WORDS = 64
+PUNCTUATION = ".,;:!?"
 SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
     """Texts to ids with a byte-level BPE tokenizer file, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    The tokenizer first splits a text, and never joins a character that is not
-    white space with a space after it; so a text falls into words that are
-    encoded apart, and the ids of words seen before are remembered. Texts with
+    The tokenizer first splits a text, never joins a character that is not white
+    space with a space after it, and never a letter with punctuation after it.
+    So a text falls into words that are encoded apart, and the ids of words seen
+    before are remembered. New words go to the tokenizer many at a time as one
+    text; a token that begins with a space begins the next word. Texts with
     other white space before a space, or with a special token's string, are
     encoded in one piece.
     """
@@ -53,25 +59,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the vocabulary writes a space
         self.words: dict[str, bytes] = {}
+        self.odd = re.compile(r"\s ").search
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        import re
+    def _learn_plain(self, new: list[str]) -> None:
+        """Remembers the ids of " word" for distinct words without a space inside."""
+        remember, begins = self.words.update, self.begins
+        for start in range(0, len(new), JOINED_WORDS):
+            part = new[start : start + JOINED_WORDS]
+            text = " " + " ".join(part)
+            ids = self._encode([text])[0]
+            at = (np.flatnonzero(begins[np.frombuffer(ids, "<u4")]) * 4).tolist()
+            if len(at) != len(part) or self.odd(text):  # white space at an end of a word
+                remember(zip(part, self._encode([" " + w for w in part])))
+            else:
+                remember(zip(part, map(ids.__getitem__, map(slice, at, [*at[1:], None]))))
+
+    def _learn(self, unseen: set[str]) -> None:
+        words = self.words
+        marked = [w for w in unseen if w and w[-1] in PUNCTUATION]
+        stems = [w.rstrip(PUNCTUATION) for w in marked]
+        split = [(w, s) for w, s in zip(marked, stems) if s and s[-1].isalnum()]
+        unseen.difference_update([w for w, _ in split])
+        unseen.update([s for _, s in split if s not in words])
+        self._learn_plain(list(unseen))
+        tails = list({w[len(s) :] for w, s in split})
+        tail_ids = dict(zip(tails, self._encode(tails)))
+        words.update([(w, words[s] + tail_ids[w[len(s) :]]) for w, s in split])
 
-        odd = re.compile(r"\s ").search
-        pieces = [None if odd(t) or SPECIAL in t else t.split(" ") for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+    def __call__(self, texts: Sequence[str]) -> list[bytes]:
+        pieces = [None if self.odd(t) or SPECIAL in t else t.split(" ") for t in texts]
+        heads = self._encode([t if p is None else p.pop(0) for t, p in zip(texts, pieces)])
         words = self.words
-        unseen = list({w for p in pieces if p for w in p[1:]}.difference(words))
-        words.update(zip(unseen, self._encode([" " + w for w in unseen])))
-        heads = self._encode([t if p is None else p[0] for t, p in zip(texts, pieces)])
+        if len(words) > REMEMBERED:
+            words.clear()
+        self._learn(set().union(*filter(None, pieces)).difference(words))
         get = words.__getitem__
-        return [h if p is None or len(p) == 1 else h + b"".join(map(get, p[1:])) for h, p in zip(heads, pieces)]
+        return [h + b"".join(map(get, p)) if p else h for h, p in zip(heads, pieces)]
 
 
 @lru_cache(maxsize=2)
