@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.order_stats import percentiles
-from pointweave.session import cut, discard, is_empty
+from pointweave.session import cut, discard
 
 POINT = ["cloud_id", "point_id"]
 
@@ -28,6 +28,11 @@ def _step(frontier: DataFrame, edges: DataFrame, keep: Sequence[str] = ()) -> Da
     )
 
 
+def _print(*columns: str) -> dict:
+    """A fingerprint of a table, to be collected while it is written."""
+    return {"rows": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64(*columns))}
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes``."""
     ends = nodes.select(*POINT)
@@ -67,12 +72,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = moved.select("cloud_id", "a", F.col("m").alias("b")).unionByName(
             moved.where(F.col("b") != F.col("m")).select("cloud_id", F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        last, pairs = pairs, cut(small.distinct(), "pairs")
+        last, pairs = pairs, cut(small.distinct(), "pairs", **_print("cloud_id", "a", "b"))
         discard(last)
-        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("cloud_id", "a", "b"))).first()
-        if now == state:
+        if pairs.seen == state:
             break
-        state = now
+        state = pairs.seen
     roots = pairs.select("cloud_id", F.col("a").alias("point_id"), F.col("b").alias("root"))
     return nodes.select(*POINT).join(roots, POINT, "left").select(
         *POINT, F.coalesce("root", "point_id").alias("component")
@@ -116,8 +120,8 @@ def hop_distance(
         # on an undirected graph only the last two shells can be met again; sources may be anywhere
         seen = rounds[-2:] if blocked is None and allowed is None else rounds
         nxt = nxt.join(reduce(DataFrame.unionByName, seen).select(*key), key, "left_anti")
-        front = cut(nxt.withColumn("hop", F.lit(hop)), "hop")
-        if is_empty(front):
+        front = cut(nxt.withColumn("hop", F.lit(hop)), "hop", rows=F.count(F.lit(1)))
+        if not front.seen["rows"]:
             break
         rounds.append(front)
     return reduce(DataFrame.unionByName, rounds)
@@ -246,9 +250,10 @@ def descending_growth(
                 F.coalesce(better, F.lit(False)).alias("better"),
             ),
             "grown",
+            live=F.count_if(F.col("better") & (F.col("remaining") > 0)),
         )
         best, front = merged.drop("better"), merged.where("better").drop("better")
-        if is_empty(front.where(F.col("remaining") > 0)):
+        if not merged.seen["live"]:
             return best
 
 
@@ -283,11 +288,11 @@ def energy_growth(
         pick = F.max(F.struct("e0", (-F.col("hop")).alias("neg_hop"), (-F.col("point_id")).alias("neg_id")))
         new = moves.groupBy("cloud_id", label, F.col("dst").alias("point_id")).agg(pick.alias("by"))
         new = new.select(*key, (F.lit(1) - F.col("by.neg_hop")).alias("hop")).join(seeds, key, "left_anti")
-        grown = cut(seeds.withColumn("hop", F.lit(0)).unionByName(new), "grown")
-        now = grown.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*key, "hop"))).first()
-        if now == state:
+        last, grown = grown, cut(seeds.withColumn("hop", F.lit(0)).unionByName(new), "grown", **_print(*key, "hop"))
+        discard(last)
+        if grown.seen == state:
             return grown
-        state = now
+        state = grown.seen
 
 
 def widest_paths(sources: DataFrame, response: DataFrame, edges: DataFrame) -> DataFrame:
@@ -314,9 +319,10 @@ def widest_paths(sources: DataFrame, response: DataFrame, edges: DataFrame) -> D
                 F.coalesce(better, F.lit(False)).alias("better"),
             ),
             "capacity",
+            changed=F.count_if("better"),
         )
         best, front = merged.drop("better"), merged.where("better").drop("better")
-        if is_empty(front):
+        if not merged.seen["changed"]:
             break
     into = best.select("cloud_id", F.col("point_id").alias("dst"), F.col("capacity").alias("c1"))
     tight = arc.join(best, POINT).join(into, ["cloud_id", "dst"]).where(F.least("capacity", "r1") == F.col("c1"))
@@ -374,11 +380,10 @@ def label_aware_merge(
         nxt = rank_label.join(best, ["cloud_id", "rank"], "left")
         nxt = nxt.select("cloud_id", "rank", F.least("rank", "via").alias("up"))
         top = rank_label.select("cloud_id", F.col("rank").alias("up"), F.col("label").alias("up_label"))
-        up = cut(nxt.join(top, ["cloud_id", "up"]).select("cloud_id", "rank", "up", "up_label"), "up")
-        now = up.agg(F.bit_xor(F.xxhash64("cloud_id", "rank", "up"))).first()
-        if now == state:
+        up = cut(nxt.join(top, ["cloud_id", "up"]).select("cloud_id", "rank", "up", "up_label"), "up", **_print("cloud_id", "rank", "up"))
+        if up.seen == state:
             break
-        state = now
+        state = up.seen
     arrows = pairs.join(up.withColumnsRenamed({"rank": "hi"}), ["cloud_id", "hi"]).join(low, ["cloud_id", "lo"])
     arrows = arrows.where(F.col("lo_label") >= F.col("up_label") * min_ratio)
     links = arrows.select("cloud_id", F.col("hi").alias("src"), F.col("lo").alias("dst"))
@@ -434,3 +439,53 @@ def fill_holes(
     added = holes.groupBy("cloud_id", label).agg(F.count(F.lit(1)).alias("added")).join(before, ["cloud_id", label])
     fine = added.where(F.col("before") + F.col("added") <= F.col("before") * max_ratio).select("cloud_id", label)
     return members.unionByName(holes.join(fine, ["cloud_id", label], "left_semi"))
+
+
+def expand_closed(
+    closed: DataFrame, candidates: DataFrame, edges: DataFrame, hops: int, label: str = "component", block_others: bool = True
+) -> DataFrame:
+    """Closed components (cloud_id, label, point_id) grown by up to ``hops`` into the background; adds ``distance``.
+
+    A component does not pass through original candidates of another one. A
+    point that several reach goes to the nearest, then the smallest component;
+    points of closed components keep theirs at distance 0.
+    """
+    key = ["cloud_id", label, "point_id"]
+    closed = cut(closed.select(*key), "closed")
+    blocked = None
+    if block_others:
+        named = candidates.select(*POINT, F.col(label).alias("_own"))
+        every = closed.select("cloud_id", label).distinct()
+        blocked = cut(named.join(every, "cloud_id").where(F.col("_own") != F.col(label)).select(*key), "blocked")
+    reach = hop_distance(closed, edges, hops, [label], blocked=blocked).where("hop > 0")
+    fresh = reach.join(closed.select(*POINT), POINT, "left_anti")
+    owner = fresh.groupBy(*POINT).agg(F.min(F.struct(F.col("hop"), F.col(label))).alias("o"))
+    added = owner.select("cloud_id", F.col(f"o.{label}").alias(label), "point_id", F.col("o.hop").alias("distance"))
+    return closed.withColumn("distance", F.lit(0)).unionByName(added)
+
+
+def suppress_peaks(peaks: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """Peaks (cloud_id, point_id, score) that no kept higher peak is near to: their ``hops`` neighbourhoods do not meet.
+
+    The greedy choice by falling score (then smaller id) is the fixed point of:
+    a peak is kept once all higher peaks that it meets have gone, and goes once
+    one of them is kept. Every round decides at least the highest open peak.
+    """
+    peaks = cut(peaks.select(*POINT, "score"), "peaks")
+    around = cut(hop_distance(peaks.select(*POINT, F.col("point_id").alias("peak")), edges, hops, ["peak"]).select(*POINT, "peak"), "around")
+    meets = around.join(around.withColumnRenamed("peak", "other"), POINT).where("peak <> other").select("cloud_id", "peak", "other").distinct()
+    rank = peaks.select("cloud_id", F.col("point_id").alias("peak"), F.struct((-F.col("score")).alias("s"), F.col("point_id").alias("i")).alias("r"))
+    above = meets.join(rank, ["cloud_id", "peak"]).join(rank.withColumnsRenamed({"peak": "other", "r": "o"}), ["cloud_id", "other"])
+    above = cut(above.where(F.col("o") < F.col("r")).select("cloud_id", "peak", "other"), "above")
+    state = cut(peaks.select("cloud_id", F.col("point_id").alias("peak"), F.lit(0).alias("state")), "state", open=F.count(F.lit(1)))  # 0 open, 1 kept, 2 gone
+    while state.seen["open"]:
+        seen = above.join(state.withColumnsRenamed({"peak": "other", "state": "s"}), ["cloud_id", "other"]).groupBy("cloud_id", "peak").agg(
+            F.bool_or(F.col("s") == 1).alias("near"), F.bool_and(F.col("s") == 2).alias("free")
+        )
+        nxt = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("near", F.lit(False)), 2).when(F.coalesce("free", F.lit(True)), 1).otherwise(0)
+        last, state = state, cut(
+            state.join(seen, ["cloud_id", "peak"], "left").select("cloud_id", "peak", nxt.alias("state")), "state", open=F.count_if(F.col("state") == 0)
+        )
+        discard(last)
+    kept = state.where("state = 1").select("cloud_id", F.col("peak").alias("point_id"))
+    return peaks.join(kept, POINT)

@@ -188,3 +188,20 @@ def limit_per_category(samples: DataFrame, n: int, by: str = "category", order:
 def defect_and_good(defective: DataFrame, good: DataFrame) -> DataFrame:
     """Object-level rows with label 1 for defective and 0 for good samples."""
     return defective.withColumn("label", F.lit(1)).unionByName(good.withColumn("label", F.lit(0)), allowMissingColumns=True)
+
+
+def stage_diagnostics(points: DataFrame, edges: DataFrame, masks: Sequence[str], labels: Sequence[str], response: str) -> DataFrame:
+    """One row per cloud: directed edges, mean degree, mean and p95 of ``response``, points per mask, points and components per label.
+
+    ``masks`` are boolean columns of ``points``, ``labels`` integer ones (null or 0: none).
+    """
+    count = points.groupBy("cloud_id").agg(
+        F.count(F.lit(1)).alias("points"), F.avg(response).alias("response_mean"),
+        *[F.count_if(m).alias(f"{m}_points") for m in masks],
+        *[F.count_if(F.col(c) > 0).alias(f"{c}_points") for c in labels],
+        *[F.count_distinct(F.when(F.col(c) > 0, F.col(c))).alias(f"{c}_components") for c in labels],
+    )
+    high = percentiles(points, ["cloud_id"], response, [0.95], ["response_p95"])
+    links = edges.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("edges"))
+    both = count.join(high, "cloud_id", "left").join(links, "cloud_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    return both.withColumn("mean_degree", F.col("edges") / F.col("points"))

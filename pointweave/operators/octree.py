@@ -106,8 +106,8 @@ def build_index(points: DataFrame, cap: int = 64, sums: list[str] | None = None,
             *[F.sum(s).alias(s) for s in sums],
             *[g(F.col(a)).alias(a + k) for a in "xyz" for g, k in ((F.min, "0"), (F.max, "1"))],
         )
-        fine = cut(fine, "fine")
-        fullest = fine.agg(F.max("cnt")).first()[0] or 0
+        fine = cut(fine, "fine", fullest=F.max("cnt"))
+        fullest = fine.seen["fullest"] or 0
         if fullest <= cap or depth >= MAX_DEPTH:
             break
         depth = min(MAX_DEPTH, depth + 3)

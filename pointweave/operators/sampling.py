@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.session import cut, is_empty
+from pointweave.session import cut, discard, is_empty
 
 
 def voxel_key(points: DataFrame, size) -> DataFrame:
@@ -137,8 +137,8 @@ def farthest_points(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
             lambda pdf: _replay(pdf, shown),
             "cloud_id string, sample_rank int, point_id long, px double, py double, pz double, touched array<array<long>>",
         )
-        new = cut(new, "round")
-        if is_empty(new):
+        new = cut(new, "round", rows=F.count(F.lit(1)))
+        if not new.seen["rows"]:
             break
         picks = cut(picks.unionByName(new.select("cloud_id", "sample_rank", "point_id")), "picks")
         touch = new.select("cloud_id", "px", "py", "pz", F.explode("touched").alias("t")).select(
@@ -152,7 +152,8 @@ def farthest_points(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
         closer = F.array_min(F.transform("near", gap))
         state = state.join(touch.withColumn("leaf_lv", F.col("leaf_lv").cast("int")), ["cloud_id", *leaf], "left")
-        state = cut(state.select("cloud_id", *leaf, "point_id", "x", "y", "z", F.least("md2", closer).alias("md2")), "state")
+        last, state = state, cut(state.select("cloud_id", *leaf, "point_id", "x", "y", "z", F.least("md2", closer).alias("md2")), "state")
+        discard(last)
     return whole.unionByName(picks)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointweave.operators.neighbors import knn_join
 from pointweave.operators.surface import pca_features, plane_smooth
-from pointweave.session import cut, is_empty
+from pointweave.session import cut, discard
 
 
 def statistical_outliers(points: DataFrame, k: int = 5, ratio: float = 0.25) -> DataFrame:
@@ -76,23 +76,25 @@ def grow_regions(feats: DataFrame, near: DataFrame, angle_deg: float, max_curvat
             "cloud_id", "point_id", F.when(better, F.col("offer")).otherwise(F.col("root")).alias("root"),
             F.coalesce(better, F.lit(False)).alias("better"),
         )
-        merged = cut(merged, "label")
+        merged = cut(merged, "label", changed=F.count_if("better"))
         label, front = merged.drop("better"), merged.where("better").drop("better")
-        if is_empty(front):
+        if not merged.seen["changed"]:
             break
     rest = cut(f.join(label, ["cloud_id", "point_id"], "left_anti").select("cloud_id", "point_id", "rank"), "rest")
     among = links.where(F.col("src_rank") < F.col("dst_rank"))
     among = among.join(rest.select("cloud_id", F.col("point_id").alias("src")), ["cloud_id", "src"], "left_semi")
     among = cut(among.join(rest.select("cloud_id", F.col("point_id").alias("dst")), ["cloud_id", "dst"], "left_semi").select("cloud_id", "src", "dst", "src_rank"), "among")
     state = rest.withColumn("state", F.lit(0))  # 0 open, 1 start, 2 claimed
-    state = cut(state, "state")
-    while not is_empty(state.where(F.col("state") == 0)):
+    state = cut(state, "state", open=F.count_if(F.col("state") == 0))
+    while state.seen["open"]:
         before = among.join(state.select("cloud_id", F.col("point_id").alias("src"), F.col("state").alias("s")), ["cloud_id", "src"])
         seen = before.groupBy("cloud_id", F.col("dst").alias("point_id")).agg(
             F.bool_or(F.col("s") == 1).alias("claimed"), F.bool_and(F.col("s") == 2).alias("free")
         )
         nxt = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("claimed", F.lit(False)), 2).when(F.coalesce("free", F.lit(True)), 1).otherwise(0)
-        state = cut(state.join(seen, ["cloud_id", "point_id"], "left").select("cloud_id", "point_id", "rank", nxt.alias("state")), "state")
+        last, state = state, state.join(seen, ["cloud_id", "point_id"], "left").select("cloud_id", "point_id", "rank", nxt.alias("state"))
+        state = cut(state, "state", open=F.count_if(F.col("state") == 0))
+        discard(last)
     starts = state.where(F.col("state") == 1)
     owner = among.join(starts.select("cloud_id", F.col("point_id").alias("src")), ["cloud_id", "src"], "left_semi")
     owner = owner.groupBy("cloud_id", F.col("dst").alias("point_id")).agg(F.min("src_rank").alias("root"))

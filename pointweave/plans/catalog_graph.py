@@ -873,3 +873,101 @@ def relative_size_fraction(spark, d):
     p, e = cust(spark, d)
     sizes = G.component_sizes(G.mask_components(top(p, "z", 50.0), e))
     return rules.relative_size(sizes, 0.25, p.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n")), 0.05)
+
+
+@register(
+    "expand_closed",
+    query(
+        CUST
+        + [
+            top_mask("z", 0.85), labels("mask"), hops("comp", 1, name="cl", group="component"),
+            # the closed core: components and their first ring, a shared point to the smallest component
+            "core AS (SELECT cloud_id, min(component) AS component, point_id FROM cl GROUP BY cloud_id, point_id)",
+            "w(cloud_id, component, point_id, hop) AS (SELECT cloud_id, component, point_id, 0 FROM core UNION SELECT w.cloud_id, w.component, x.dst, w.hop + 1 "
+            "FROM w JOIN e x ON x.cloud_id = w.cloud_id AND x.src = w.point_id WHERE w.hop < 2 AND NOT EXISTS (SELECT 1 FROM comp c WHERE "
+            "c.cloud_id = x.cloud_id AND c.point_id = x.dst AND c.component <> w.component))",
+            "n AS (SELECT w.cloud_id, w.point_id, min({'h': hop, 'c': w.component}) AS o FROM w ANTI JOIN core k ON k.cloud_id = w.cloud_id AND "
+            "k.point_id = w.point_id GROUP BY 1, 2)",
+        ],
+        "SELECT cloud_id, component, point_id, 0 AS distance FROM core UNION ALL SELECT cloud_id, o.c, point_id, o.h FROM n",
+        True,
+    ),
+)
+def expand_closed(spark, d):
+    p, e = cust(spark, d)
+    c = cut(G.mask_components(top(p, "z", 85.0), e), "comp")
+    core = G.hop_distance(c, e, 1, ["component"]).groupBy(*IDS).agg(F.min("component").alias("component"))
+    return G.expand_closed(core, c, e, 2).select("cloud_id", "component", "point_id", "distance")
+
+
+@register(
+    "suppress_peaks",
+    query(
+        CUST
+        + [
+            top_mask("z", 0.9),
+            "k1 AS (SELECT row_number() OVER (PARTITION BY p.cloud_id ORDER BY z DESC, p.point_id) AS r, p.cloud_id, p.point_id, z FROM p JOIN mask USING (cloud_id, point_id))",
+            hops("(SELECT cloud_id, point_id AS peak, point_id FROM mask)", 2, name="a", group="peak"),
+            "m AS (SELECT DISTINCT x.cloud_id, x.peak AS a, y.peak AS b FROM a x JOIN a y ON x.cloud_id = y.cloud_id AND x.point_id = y.point_id AND x.peak <> y.peak)",
+            # one peak after the other: kept when it meets none of those kept so far
+            "g(cloud_id, r, kept) AS (SELECT cloud_id, 1::BIGINT, [point_id] FROM k1 WHERE r = 1 UNION ALL SELECT g.cloud_id, k1.r, CASE WHEN EXISTS (SELECT 1 FROM m "
+            "WHERE m.cloud_id = g.cloud_id AND m.a = k1.point_id AND list_contains(g.kept, m.b)) THEN g.kept ELSE list_append(g.kept, k1.point_id) END "
+            "FROM g JOIN k1 ON k1.cloud_id = g.cloud_id AND k1.r = g.r + 1)",
+            "f AS (SELECT cloud_id, unnest(arg_max(kept, r)) AS point_id FROM g GROUP BY cloud_id)",
+        ],
+        f"SELECT f.cloud_id, f.point_id, {rnd('z')} AS score FROM f JOIN k1 ON k1.cloud_id = f.cloud_id AND k1.point_id = f.point_id",
+        True,
+    ),
+)
+def suppress_peaks(spark, d):
+    p, e = cust(spark, d)
+    peaks = top(p, "z", 90.0).join(p, IDS).select(*IDS, F.col("z").alias("score"))
+    return G.suppress_peaks(peaks, e, 2).select(*IDS, r6("score").alias("score"))
+
+
+@register(
+    "stage_diagnostics",
+    query(
+        CUST
+        + [
+            top_mask("z", 0.8), labels("mask"), "n AS (SELECT cloud_id, count(*) AS edges FROM e GROUP BY 1)",
+            "j AS (SELECT p.*, c.component + 1 AS grown FROM p LEFT JOIN comp c ON c.cloud_id = p.cloud_id AND c.point_id = p.point_id)",
+        ],
+        f"SELECT j.cloud_id, count(*) AS points, {rnd('avg(x)', 4)} AS response_mean, count(*) FILTER (z > 50) AS high_points, count(grown) AS grown_points, "
+        f"count(DISTINCT grown) AS grown_components, {rnd('quantile_cont(x, 0.95)', 4)} AS response_p95, coalesce(max(edges), 0) AS edges, "
+        f"{rnd('coalesce(max(edges), 0) / count(*)', 4)} AS mean_degree FROM j LEFT JOIN n ON n.cloud_id = j.cloud_id GROUP BY j.cloud_id",
+        True,
+    ),
+)
+def stage_diagnostics(spark, d):
+    from pointweave.operators import metrics as M
+
+    p, e = cust(spark, d)
+    y = G.mask_components(top(p, "z", 80.0), e).select(*IDS, (F.col("component") + 1).alias("grown"))
+    out = M.stage_diagnostics(p.withColumn("high", F.col("z") > 50).join(y, IDS, "left"), e, ["high"], ["grown"], "x")
+    for c in ("response_mean", "response_p95", "mean_degree"):
+        out = out.withColumn(c, r6(c, 4))
+    return out
+
+
+@register(
+    "displacement_mask",
+    "SELECT l_orderkey AS cloud_id, l_linenumber + 10 * l_partkey AS point_id, round(CASE WHEN l_returnflag = 'R' THEN sqrt(l_tax*l_tax + "
+    "l_discount*l_discount) ELSE 0.0 END, 6) AS displacement, l_returnflag = 'R' AND sqrt(l_tax*l_tax + l_discount*l_discount) > 0.08 AS displaced FROM "
+    "(SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, "
+    "l_extendedprice, l_discount, l_tax, l_returnflag)",
+)
+def displacement_mask(spark, d):
+    """Lines as points at (tax, discount, 0); returned ones are put back at the origin."""
+    from pointweave.operators import restore
+
+    li = T.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
+        F.min(F.struct("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")).alias("r")
+    )
+    p = li.select(
+        F.col("l_orderkey").alias("cloud_id"), (F.col("l_linenumber") + 10 * F.col("l_partkey")).alias("point_id"), F.col("r.l_tax").alias("x"),
+        F.col("r.l_discount").alias("y"), F.lit(0.0).alias("z"), (F.col("r.l_returnflag") == "R").alias("inside"),
+    )
+    home = p.select(*IDS, *[F.lit(0.0).alias(a) for a in "xyz"])
+    out = restore.displacement_mask(p, home, p.where("inside").select(*IDS), 0.08)
+    return out.select(*IDS, r6("displacement").alias("displacement"), "displaced")

@@ -72,23 +72,23 @@ def voxel_then_fps(spark, d):
     return sampling.working_sample(T.customer_cloud(spark, d), 40, "voxel").select(*IDS, "sample_rank")
 
 
-def _sampled(spark, d, k=250):
-    w = sampling.working_sample(T.customer_cloud(spark, d), k)
-    p = cut(N.isotropic_scale(w.drop("sample_rank")), "points")
+def _scaled(spark, d):
+    """The whole clouds, scaled."""
+    p = cut(N.isotropic_scale(T.customer_cloud(spark, d)), "points")
     return p, cut(NB.mutual_knn(p, 8, 2.5), "edges")
 
 
 @register("hks_features")
 def hks_features(spark, d):
-    p, e = _sampled(spark, d)
+    p, e = _scaled(spark, d)
     lap = surface.normalized_laplacian(p, surface.gaussian_weights(e))
-    h = spectral.heat_signatures(spectral.smallest_eigenpairs(lap, 30))
+    h = spectral.heat_signatures(spectral.smallest_eigenpairs(lap, Settings().eigenpairs))
     return h.select(*IDS, *[r6(f"hks{i}").alias(f"hks{i}") for i in range(3)])
 
 
 @register("restore_points")
 def restore_points(spark, d):
-    p, e = _sampled(spark, d)
+    p, e = _scaled(spark, d)
     high = N.percentile_mask(p, "x", 80.0, "kept").where("kept").select(*IDS)
     parts = cut(G.mask_components(cut(high, "mask"), e), "parts")
     fields = R.displacement_and_stress(p, cut(R.restore_regions(p, e, parts), "restored"), e)
@@ -115,8 +115,7 @@ def label_aware_merge(spark, d):
 @register("detection_pipeline")
 def detection_pipeline(spark, d):
     """The whole pipeline over customer clouds; one row per working point with its evidence and verdict."""
-    s = Settings(sample_points=300, variation_scales=(8, 16, 24), eigenpairs=30)
-    st = pipeline.run_pipeline(T.customer_cloud(spark, d), s)
+    st = pipeline.run_pipeline(T.customer_cloud(spark, d), Settings())
     return pipeline.point_report(st).select(
         *IDS, "sample_rank", *[r6(c).alias(c) for c in ("r_sv", "r_p", "r_v")], "suppressed", "on_boundary", "defect"
     )

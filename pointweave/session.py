@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _HOMES: set[str] = set()
 
@@ -58,20 +58,27 @@ def _files(spark: SparkSession, where: str):
     return _path(spark, where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None, **watch: Column) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     The written table ends the lineage (a lost executor re-reads files, it does
     not recompute the chain), and its file sizes let Catalyst decide by a known
     size whether a side is small enough to broadcast.
+
+    ``watch`` names aggregates that the write itself collects, so that a loop
+    needs no second job to see whether it is done; they come back as ``seen``.
     """
     spark = df.sparkSession
+    observation = Observation() if watch else None
+    if watch:
+        df = df.observe(observation, *[c.alias(k) for k, c in watch.items()])
     path = scratch_path(spark, name)
     schema = df.schema
     writer = df.write.option("compression", "snappy")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back._scratch = path
+    back.seen = observation.get if watch else {}
     return back
 
 

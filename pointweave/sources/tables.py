@@ -11,8 +11,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def embeddings_cloud(spark: SparkSession, folder: str) -> DataFrame:
+    """Three axes that every dimension enters: the sums of each third dimension, from the first, second and third on."""
     e = table(spark, folder, "embeddings")
-    axis = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
+    v = F.col("embedding").cast("array<double>")
+
+    def axis_sum(i):
+        own = F.filter(v, lambda x, k: k % 3 == i)
+        return F.round(F.aggregate(own, F.lit(0.0), lambda s, x: s + x), 9)
+
+    axis = [axis_sum(i) for i in range(3)]
     return e.select(
         F.col("label").cast("string").alias("cloud_id"),
         F.col("vec_id").alias("point_id"),
@@ -62,8 +69,12 @@ def orders_cloud(spark: SparkSession, folder: str) -> DataFrame:
 #: the same clouds for the DuckDB side, as WITH-clause bodies
 SQL = {
     "emb": (
-        "SELECT CAST(label AS VARCHAR) AS cloud_id, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, "
-        "CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"
+        "SELECT CAST(label AS VARCHAR) AS cloud_id, vec_id AS point_id, "
+        + ", ".join(
+            f"round(list_sum(list_transform(range({i}, len(embedding) + 1, 3), lambda k: CAST(embedding[k] AS DOUBLE))), 9) AS {a}"
+            for i, a in ((1, "x"), (2, "y"), (3, "z"))
+        )
+        + " FROM embeddings"
     ),
     "evt": (
         "SELECT event_type AS cloud_id, event_id AS point_id, (epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE AS x, "
