@@ -11,7 +11,7 @@ from pointweave.operators import neighbors as NB
 from pointweave.operators import normalize as N
 from pointweave.operators import restore as R
 from pointweave.operators import sampling, spectral, surface
-from pointweave.plans import baselines, pipeline
+from pointweave.plans import baselines, batch, pipeline
 from pointweave.plans.registry import r6, register
 from pointweave.plans.sqltext import cloud, graph, labels, query, rnd
 from pointweave.session import cut
@@ -119,3 +119,56 @@ def detection_pipeline(spark, d):
     return pipeline.point_report(st).select(
         *IDS, "sample_rank", *[r6(c).alias(c) for c in ("r_sv", "r_p", "r_v")], "suppressed", "on_boundary", "defect"
     )
+
+
+def _batch(spark, d):
+    """Event clouds as samples: found are the highest values, true the most active users' events; one cloud counts as good."""
+    p = cut(T.events_cloud(spark, d), "cloud")
+    kind = F.when(F.col("cloud_id") == "view", "good").otherwise("defective")
+    samples = p.select("cloud_id").distinct().select(
+        "cloud_id", F.lit("events").alias("dataset"), F.substring("cloud_id", 1, 1).alias("category"), F.col("cloud_id").alias("sample_id"), kind.alias("sample_kind")
+    )
+    truth = p.where("cloud_id <> 'view'").select(*IDS, (F.col("y") % 10 == 0).alias("defect"))
+    found = N.percentile_mask(p, "z", 90.0, "kept").where("kept")
+    return batch.sample_metrics(samples, p, found, truth)
+
+
+BATCH_SQL = [
+    "p AS (SELECT event_type AS cloud_id, event_id AS point_id, CAST(user_id AS DOUBLE) AS y, value AS z FROM events)",
+    "m AS (SELECT cloud_id, quantile_cont(z, 0.9) AS t FROM p GROUP BY 1)",
+    "j AS (SELECT p.cloud_id, z >= t AS found, p.cloud_id <> 'view' AND y % 10 = 0 AS defect FROM p JOIN m ON m.cloud_id = p.cloud_id)",
+    "c AS (SELECT cloud_id AS sample_id, substr(cloud_id, 1, 1) AS category, CASE WHEN cloud_id = 'view' THEN 'good' ELSE 'defective' END AS sample_kind, "
+    "count(*) FILTER (found AND defect) AS tp, count(*) FILTER (found AND NOT defect) AS fp, count(*) FILTER (NOT found AND defect) AS fn, "
+    "count(*) FILTER (NOT found AND NOT defect) AS tn FROM j GROUP BY 1, 2, 3)",
+]
+
+
+@register(
+    "batch_samples",
+    "WITH " + ", ".join(BATCH_SQL) + " SELECT sample_id, category, sample_kind, tp, fp, fn, tn, true AS success, "
+    "round(CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2.0*tp/(2*tp+fp+fn) END, 6) AS f1 FROM c",
+)
+def batch_samples(spark, d):
+    return _batch(spark, d).select("sample_id", "category", "sample_kind", "tp", "fp", "fn", "tn", "success", r6("f1").alias("f1"))
+
+
+@register(
+    "batch_categories",
+    "WITH " + ", ".join(BATCH_SQL) + " SELECT category, count(*) AS sample_count, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, "
+    "round(avg(CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2.0*tp/(2*tp+fp+fn) END), 6) AS macro_f1, "
+    "round(CASE WHEN sum(2*tp+fp+fn) = 0 THEN 0.0 ELSE 2.0*sum(tp)/sum(2*tp+fp+fn) END, 6) AS micro_f1 FROM c WHERE sample_kind = 'defective' GROUP BY 1",
+)
+def batch_categories(spark, d):
+    out = batch.summaries(cut(_batch(spark, d), "batch")).categories
+    return out.select("category", "sample_count", "tp", "fp", r6("macro_f1").alias("macro_f1"), r6("micro_f1").alias("micro_f1"))
+
+
+@register(
+    "batch_good",
+    "WITH " + ", ".join(BATCH_SQL) + ", g AS (SELECT category, fp / (fp + tn) AS fpr FROM c WHERE sample_kind = 'good') SELECT category, count(*) AS samples, "
+    "round(avg(fpr), 6) AS mean_fpr, round(quantile_cont(fpr, 0.95), 6) AS p95_fpr FROM g GROUP BY 1 UNION ALL SELECT 'balanced_overall', count(*), "
+    "round(avg(fpr), 6), round(quantile_cont(fpr, 0.95), 6) FROM g",
+)
+def batch_good(spark, d):
+    out = batch.summaries(cut(_batch(spark, d), "batch")).good
+    return out.select("category", "samples", r6("mean_fpr").alias("mean_fpr"), r6("p95_fpr").alias("p95_fpr"))

@@ -14,3 +14,33 @@ def test_a_dent_is_found(spark):
     hit = st.final.toPandas().point_id.to_numpy()
     assert len(hit) > 10 and np.abs(g[hit].mean(0) - 20).max() < 1.5
     assert pipeline.point_report(st).count() == n * n
+
+
+def test_batch_run_and_resume(spark, tmp_path):
+    from pointweave.plans.batch import run_batch
+    from pointweave.sources.sinks import pcd_bytes
+
+    rng = np.random.default_rng(3)
+    n = 20
+    g = np.stack(np.meshgrid(np.arange(n), np.arange(n)), -1).reshape(-1, 2) + rng.normal(0, 0.05, (n * n, 2))
+    dent = -1.6 * np.exp(-((g - 10) ** 2).sum(1) / (2 * 1.4**2))
+    for folder in ("test", "gt", "good"):
+        (tmp_path / "data/plate" / folder).mkdir(parents=True)
+    xyz = np.column_stack([g, dent + rng.normal(0, 0.01, n * n)]).astype("<f4").astype(float)
+    (tmp_path / "data/plate/test/a.pcd").write_bytes(pcd_bytes(xyz))
+    (tmp_path / "data/plate/test/b.pcd").write_bytes(pcd_bytes(xyz))
+    (tmp_path / "data/plate/good/c_good.pcd").write_bytes(pcd_bytes(np.column_stack([g, rng.normal(0, 0.01, n * n)])))
+    truth = dent < -0.3
+    np.savetxt(tmp_path / "data/plate/gt/a.txt", truth.astype(int), fmt="%d")
+    np.savetxt(tmp_path / "data/plate/gt/b.txt", np.column_stack([xyz, truth]), fmt="%.7f")
+    small = Settings(sample_points=1000, variation_scales=(6, 8, 12), eigenpairs=20, min_context=50)
+    result = run_batch(spark, str(tmp_path / "data"), str(tmp_path / "out"), small)
+    rows = {r.sample_id: r for r in result.samples.collect()}
+    assert set(rows) == {"a", "b", "c_good"} and all(r.success and r.num_points == n * n for r in rows.values())
+    # the same truth in two formats, the same cloud: the same counts
+    assert [rows["a"][c] for c in ("tp", "fp", "fn", "tn")] == [rows["b"][c] for c in ("tp", "fp", "fn", "tn")]
+    assert rows["a"].tp + rows["a"].fn == truth.sum()
+    assert result.categories.first().sample_count == 2 and result.good.count() == 2
+    again = run_batch(spark, str(tmp_path / "data"), str(tmp_path / "out"), small)
+    assert again.samples.count() == 3
+    assert spark.read.parquet(str(tmp_path / "out/sample_metrics")).count() == 3
