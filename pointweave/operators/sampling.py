@@ -82,12 +82,12 @@ def _replay(pdf: pd.DataFrame, shown_per_leaf: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cloud_id", "sample_rank", "point_id", "px", "py", "pz", "touched"])
 
 
-def farthest_points(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def farthest_points(points: DataFrame, k: int, seed: int | None = 0) -> DataFrame:
     """Exact farthest-point sample per cloud: (cloud_id, sample_rank, point_id), at most ``k`` each.
 
-    The start is the seeded random row; every next pick is the point farthest
+    The start is the seeded random row (the first by id without a seed); every next pick is the point farthest
     from all picks (ties: smallest id). Clouds of at most ``k`` points are
-    returned whole, in id order. Picks are made in rounds: each round offers the
+    returned whole, in id order; a cloud with fewer than ``k`` distinct places gives one point of each. Picks are made in rounds: each round offers the
     farthest few points of every leaf of the cell index, replays the sequential
     rule inside them for as long as no hidden point can win, and then updates
     only the leaves a pick can reach. A cloud therefore never sits in one task,
@@ -109,7 +109,7 @@ def farthest_points(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
     @F.pandas_udf("long")
     def start_row(n: pd.Series) -> pd.Series:
-        return n.map(lambda v: int(np.random.default_rng(seed).integers(0, v)))
+        return n.map(lambda v: 0 if seed is None else int(np.random.default_rng(seed).integers(0, v)))
 
     rest = points.join(many, "cloud_id", "left_semi")
     starts = values_at_ranks(rest, ["cloud_id"], "point_id", many.select("cloud_id", start_row("n").alias("rank")))

@@ -67,6 +67,28 @@ def fps_sample(spark, d):
     return sampling.farthest_points(T.events_cloud(spark, d), 200)
 
 
+K = 60
+DIST = "(q.x-{c}.x)*(q.x-{c}.x)+(q.y-{c}.y)*(q.y-{c}.y)+(q.z-{c}.z)*(q.z-{c}.z)"
+
+
+@register(
+    "fps_from_first",
+    query(
+        [
+            cloud("evt"), "a AS (SELECT cloud_id, list({'id': point_id, 'x': x, 'y': y, 'z': z} ORDER BY point_id) AS pts FROM p GROUP BY cloud_id)",
+            f"r(cloud_id, sample_rank, pick, d) AS (SELECT cloud_id, 0, 1::BIGINT, list_transform(pts, lambda q: {DIST.format(c='pts[1]')}) FROM a WHERE len(pts) > {K} "
+            f"UNION ALL SELECT r.cloud_id, sample_rank + 1, n.i, list_transform(a.pts, lambda q, k: least(r.d[k], {DIST.format(c='a.pts[n.i]')})) FROM r JOIN a ON "
+            f"a.cloud_id = r.cloud_id, LATERAL (SELECT list_position(r.d, list_max(r.d)) AS i) n WHERE sample_rank < {K - 1} AND list_max(r.d) > 0)",
+        ],
+        "SELECT r.cloud_id, sample_rank, a.pts[r.pick].id AS point_id FROM r JOIN a ON a.cloud_id = r.cloud_id UNION ALL SELECT cloud_id, "
+        f"CAST(row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS INTEGER), point_id FROM p JOIN (SELECT cloud_id FROM a WHERE len(pts) <= {K}) USING (cloud_id)",
+        True,
+    ),
+)
+def fps_from_first(spark, d):
+    return sampling.farthest_points(T.events_cloud(spark, d), K, None)
+
+
 @register("voxel_then_fps")
 def voxel_then_fps(spark, d):
     return sampling.working_sample(T.customer_cloud(spark, d), 40, "voxel").select(*IDS, "sample_rank")
