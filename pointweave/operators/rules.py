@@ -87,6 +87,21 @@ def adaptive_threshold(median_spacing: Column, alpha: float = 0.25, low: float =
     return F.least(F.greatest(median_spacing * alpha, F.lit(low)), F.lit(high))
 
 
+def point_filter(accepted: DataFrame, fields: DataFrame, threshold: DataFrame | float, protected: DataFrame | None = None) -> DataFrame:
+    """Accepted points (cloud_id, point_id, ..) whose displacement reaches the threshold (one number, or cloud_id and threshold).
+
+    ``protected`` points stay in any case.
+    """
+    rows = accepted.join(fields.select("cloud_id", "point_id", "displacement"), ["cloud_id", "point_id"])
+    rows = rows.join(threshold, "cloud_id") if isinstance(threshold, DataFrame) else rows.withColumn("threshold", F.lit(float(threshold)))
+    keep = F.col("displacement") >= F.col("threshold")
+    if protected is not None:
+        safe = protected.select("cloud_id", "point_id").distinct().withColumn("_safe", F.lit(True))
+        rows = rows.join(safe, ["cloud_id", "point_id"], "left")
+        keep = keep | F.coalesce("_safe", F.lit(False))
+    return rows.where(keep).select(*accepted.columns)
+
+
 def classify_regions(
     *, mode: str = "adaptive", min_size: int = 20, max_ratio: float = 0.5, min_large_fraction: float = 0.02,
     max_shallow: float = 0.007, object_scale: float = 64.0, stress_veto: bool = True, max_stress: float = 0.9,

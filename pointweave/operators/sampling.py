@@ -172,15 +172,43 @@ def working_sample(
     if mode == "voxel":
         pool = voxel_representatives(*_fit_voxels(points, max(k, prefilter or 0, 2 * k), cell_rounds))
     elif mode == "random":
-        keep = max(k, prefilter or k)
-        w = Window.partitionBy("cloud_id").orderBy("draw", "point_id")
-        pool = points.withColumn("draw", F.rand(seed)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
+        pool = random_rows(points, max(k, prefilter or k), seed)
     elif mode != "exact":
         raise ValueError(f"unknown sampling mode {mode}")
     picks = farthest_points(pool, k, seed)
     return points.join(picks, ["cloud_id", "point_id"]).select("cloud_id", "point_id", "sample_rank", "x", "y", "z")
 
 
+def random_rows(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` points of every cloud, all of a smaller one: those with the lowest hash of seed, cloud and id.
+
+    The draw does not depend on how rows are partitioned, and the cut-off of a
+    cloud comes from range-partitioned counts.
+    """
+    from pointweave.functions.order_stats import values_at_ranks
+
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("cloud_id").cast("string"), F.col("point_id").cast("string"))
+    drawn = cut(points.withColumn("draw", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")), "draw")
+    sizes = drawn.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("rows"))
+    last = values_at_ranks(drawn, ["cloud_id"], "draw", sizes.select("cloud_id", (F.least("rows", F.lit(n)) - 1).alias("rank")))
+    last = last.select("cloud_id", F.col("draw").alias("last"))
+    return drawn.join(last, "cloud_id").where(F.col("draw") <= F.col("last")).drop("draw", "last")
+
+
+def sample_summary(sample: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per cloud: sampled points, MD5 of their ids in rank order, and how much of the truth (defect) the sample holds.
+
+    Samples are bounded by the working size, which bounds the id list of a cloud.
+    """
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "point_id"))), lambda r: r["point_id"].cast("string")), ",")
+    picked = sample.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("points"), F.md5(ids).alias("indices_md5"))
+    defects = truth.where("defect").select("cloud_id", "point_id")
+    kept = defects.join(sample.select("cloud_id", "point_id"), ["cloud_id", "point_id"]).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("kept"))
+    whole = defects.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("defects")).join(kept, "cloud_id", "left")
+    out = picked.join(whole, "cloud_id", "left").na.fill(0, ["defects", "kept"])
+    return out.withColumn("retention", F.when(F.col("defects") > 0, F.col("kept") / F.col("defects")).otherwise(0.0))
+
+
 def _fit_voxels(points: DataFrame, target: int, rounds: int) -> tuple[DataFrame, str]:
     """Attach a voxel width per cloud whose occupancy is within 10 % of the target, or the closest one found."""
     box = points.groupBy("cloud_id").agg(

@@ -251,6 +251,20 @@ def balanced_macro(spark, d):
     return _rounded(M.balanced_macro(samples(spark, d)), ["balanced_precision", "balanced_recall", "balanced_f1"])
 
 
+@register(
+    "balanced_complete",
+    query([JUDGED, *SCORED, "x AS (SELECT category, count(*) AS all_ FROM m GROUP BY 1)",
+           "g AS (SELECT m.category, avg(precision) AS p, avg(recall) AS r, avg(f1) AS f, count(*) AS n, max(all_) AS all_ FROM m JOIN x ON x.category = m.category "
+           "WHERE success GROUP BY 1)"],
+          f"SELECT count(*) AS categories, {rnd('avg(p)')} AS balanced_precision, {rnd('avg(r)')} AS balanced_recall, {rnd('avg(f)')} AS balanced_f1 FROM g WHERE n = all_"),
+)
+def balanced_complete(spark, d):
+    """Only categories all of whose samples succeeded."""
+    s = samples(spark, d)
+    expected = s.groupBy("category").agg(F.count(F.lit(1)).alias("expected"))
+    return _rounded(M.balanced_macro(s, expected), ["balanced_precision", "balanced_recall", "balanced_f1"])
+
+
 @register(
     "group_sets",
     query([JUDGED, *SCORED],

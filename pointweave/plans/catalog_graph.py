@@ -971,3 +971,93 @@ def displacement_mask(spark, d):
     home = p.select(*IDS, *[F.lit(0.0).alias(a) for a in "xyz"])
     out = restore.displacement_mask(p, home, p.where("inside").select(*IDS), 0.08)
     return out.select(*IDS, r6("displacement").alias("displacement"), "displaced")
+
+
+@register(
+    "restoration_gaussian",
+    query(
+        EVT + ["m AS (SELECT cloud_id, median(dist) AS s FROM e GROUP BY 1)"],
+        f"SELECT e.cloud_id, src, dst, {rnd('exp(-(dist*dist)/(2.0::DOUBLE*s*s))')} AS weight FROM e JOIN m ON m.cloud_id = e.cloud_id",
+    ),
+)
+def restoration_gaussian(spark, d):
+    from pointweave.operators.restore import restoration_weights
+
+    _, e = evt(spark, d)
+    return restoration_weights(e, "gaussian").select("cloud_id", "src", "dst", r6("weight").alias("weight"))
+
+
+@register(
+    "strain_veto",
+    query(
+        CUST
+        + [
+            top_mask("z", 0.7),
+            # the upper points are put back at the height 50
+            "q AS (SELECT p.cloud_id, p.point_id, x, y, CASE WHEN m.point_id IS NULL THEN z ELSE 50.0::DOUBLE END AS z FROM p LEFT JOIN mask m ON m.cloud_id = p.cloud_id AND m.point_id = p.point_id)",
+            "t AS (SELECT e.cloud_id, e.src AS point_id, avg(abs(dist - sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)))/(dist+1e-8::DOUBLE)) AS strain "
+            "FROM e JOIN q a ON a.cloud_id = e.cloud_id AND a.point_id = e.src JOIN q b ON b.cloud_id = e.cloud_id AND b.point_id = e.dst GROUP BY 1, 2)",
+        ],
+        f"SELECT mask.cloud_id, mask.point_id, {rnd('strain')} AS strain FROM mask JOIN t ON t.cloud_id = mask.cloud_id AND t.point_id = mask.point_id WHERE strain < 0.3",
+    ),
+)
+def strain_veto(spark, d):
+    from pointweave.operators import restore
+
+    p, e = cust(spark, d)
+    mask = top(p, "z", 70.0)
+    back = mask.join(p, IDS).select(*IDS, F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit(50.0).alias("rz"))
+    strain = cut(restore.edge_strain(p, back, e), "strain")
+    return restore.strain_veto(mask, strain, 0.3).join(strain, IDS).select(*IDS, r6("strain").alias("strain"))
+
+
+@register(
+    "point_filter",
+    query(
+        [
+            cloud("cust"), "s AS (SELECT cloud_id, least(greatest(quantile_cont(x, 0.5) / 100 * 0.25::DOUBLE, 0.08::DOUBLE), 0.25::DOUBLE) AS t FROM p GROUP BY cloud_id)",
+            "m AS (SELECT cloud_id, quantile_cont(z, 0.5) AS h FROM p GROUP BY cloud_id)",
+        ],
+        "SELECT p.cloud_id, point_id FROM p JOIN s ON s.cloud_id = p.cloud_id JOIN m ON m.cloud_id = p.cloud_id WHERE z >= h AND (y / 100 >= t OR point_id % 11 = 0)",
+    ),
+)
+def point_filter(spark, d):
+    p = cut(T.customer_cloud(spark, d), "cloud")
+    m = percentiles(p, ["cloud_id"], "x", [0.5], ["m"])
+    t = m.select("cloud_id", rules.adaptive_threshold(F.col("m") / 100).alias("threshold"))
+    fields = p.select(*IDS, (F.col("y") / 100).alias("displacement"))
+    return rules.point_filter(top(p, "z", 50.0), fields, t, p.where("point_id % 11 = 0"))
+
+
+@register(
+    "random_rows",
+    query(
+        [cloud("evt"), "h AS (SELECT cloud_id, point_id, CAST('0x' || substr(md5('7:' || cloud_id || ':' || point_id), 1, 15) AS BIGINT) AS v FROM p)"],
+        "SELECT cloud_id, point_id FROM h QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY v) <= 90",
+    ),
+)
+def random_rows(spark, d):
+    from pointweave.operators import sampling
+
+    return sampling.random_rows(T.events_cloud(spark, d), 90, 7).select(*IDS)
+
+
+@register(
+    "sample_summary",
+    query(
+        [
+            cloud("evt"), "h AS (SELECT cloud_id, point_id, y, CAST('0x' || substr(md5('7:' || cloud_id || ':' || point_id), 1, 15) AS BIGINT) AS v FROM p)",
+            "s AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY v) <= 90)",
+            "t AS (SELECT cloud_id, count(*) AS defects FROM p WHERE y % 10 = 0 GROUP BY 1)",
+        ],
+        "SELECT s.cloud_id, count(*) AS points, md5(string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY point_id)) AS indices_md5, max(defects) AS defects, "
+        f"count(*) FILTER (y % 10 = 0) AS kept, {rnd('count(*) FILTER (y % 10 = 0) / max(defects)')} AS retention FROM s JOIN t ON t.cloud_id = s.cloud_id GROUP BY 1",
+    ),
+)
+def sample_summary(spark, d):
+    from pointweave.operators import sampling
+
+    p = cut(T.events_cloud(spark, d), "cloud")
+    s = sampling.random_rows(p, 90, 7).select(*IDS, F.col("point_id").alias("sample_rank"))
+    out = sampling.sample_summary(cut(s, "sample"), p.select(*IDS, (F.col("y") % 10 == 0).alias("defect")))
+    return out.withColumn("retention", r6("retention"))
