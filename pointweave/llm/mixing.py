@@ -119,7 +119,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         "totals",
     )
     keyed = df.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = keyed.join(totals, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")))
+    # the totals grow with the corpus, so they are never sent whole to the executors
+    found = keyed.join(totals.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")))
     columns = [F.col(f"`{c}`") for c in df.columns]
     single = found.where("_rows = 1").select(*columns, "_times")
     # rows that tie in id and text share their turns; one of them stands for all
