@@ -40,18 +40,27 @@ def _with_bits(df: DataFrame, sha: str) -> DataFrame:
 
 def repeat_filter(hashes: DataFrame, sha: str = "text_sha256") -> DataFrame:
     """Pass one: (_block, _bitmap), the bits that two or more rows hit; at most FILTER_BITS in all."""
-    positions = _with_bits(hashes.select(sha), sha).select(
-        F.explode(F.array_distinct(F.array(*[F.col("_block") * BLOCK_BITS + F.col(b) + 1 for b in ("_bit1", "_bit2")]))).alias("_at")
-    )
-    twice = positions.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    bitmaps = twice.groupBy((F.expr("bitmap_bucket_number(_at)") - 1).alias("_block")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bitmap")
-    )
-    return cut(bitmaps, "bloom")
+    twice = _positions(hashes, sha).groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return _bitmaps(twice)
+
+
+def member_filter(hashes: DataFrame, sha: str) -> DataFrame:
+    """(_block, _bitmap): a plain Bloom filter of the given hashes, of the same bounded size."""
+    return _bitmaps(_positions(hashes, sha))
+
+
+def _positions(hashes: DataFrame, sha: str) -> DataFrame:
+    bits = [F.col("_block") * BLOCK_BITS + F.col(b) + 1 for b in ("_bit1", "_bit2")]
+    return _with_bits(hashes.select(sha), sha).select(F.explode(F.array_distinct(F.array(*bits))).alias("_at"))
+
+
+def _bitmaps(positions: DataFrame) -> DataFrame:
+    block = (F.expr("bitmap_bucket_number(_at)") - 1).alias("_block")
+    return cut(positions.groupBy(block).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bitmap")), "bloom")
 
 
-def flag_possible_repeats(df: DataFrame, bloom: DataFrame, sha: str = "text_sha256") -> DataFrame:
-    """Pass two: adds ``_maybe``; false only for rows that certainly have no equal."""
+def flag_members(df: DataFrame, bloom: DataFrame, sha: str = "text_sha256") -> DataFrame:
+    """Adds ``_maybe``; false only for rows whose hash is certainly not in the filter (pass two, for a filter of repeats)."""
     def marked(bit: str) -> Column:
         byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10)
         return F.call_function("shiftright", byte.cast("int"), (F.col(bit) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
@@ -79,7 +88,7 @@ def classify_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ),
         "digests",
     )
-    flagged = cut(flag_possible_repeats(hashes, repeat_filter(hashes)), "flagged")
+    flagged = cut(flag_members(hashes, repeat_filter(hashes)), "flagged")
     several = flagged.where("_maybe").select("_row", "_id", "text_sha256")
     groups = several.groupBy("text_sha256").agg(
         F.max(F.struct("_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size")
@@ -108,7 +117,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     hashed = df.withColumn("_sha", digest(text_col))
     bloom = repeat_filter(hashed.select(F.col("_sha").alias("text_sha256")))
-    flagged = flag_possible_repeats(hashed, bloom, "_sha")
+    flagged = flag_members(hashed, bloom, "_sha")
     alone = flagged.where("not _maybe").select(*[F.col(f"`{c}`") for c in df.columns])
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     stay = flagged.where("_maybe").groupBy("_sha").agg(F.max_by(row, F.struct(F.col(id_col).isNotNull(), F.col(id_col))).alias("_row"))

@@ -23,10 +23,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.blocks import connected, forest_edges, run_groups, with_block_pairs
+from pointweave.llm.dedup import flag_members, member_filter
 from pointweave.llm.shingles import HASHES, distinct_sets, minhashes, shingle_arrays
 from pointweave.session import cut
 
@@ -35,7 +36,7 @@ BAND = 4
 STEP = 16
 TOLERANCE = 1e-7
 #: nodes of a block while bands are compared, and while sets are
-BAND_ROWS, SET_ROWS = 256, 128
+BAND_ROWS, SET_ROWS = 512, 512
 
 
 @lru_cache(maxsize=4)
@@ -121,6 +122,10 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(source.mapInArrow(run, f"_id {id_type}, _text_key bigint, set binary, n int, signature binary"), "sketches")
 
 
+def _row_digest(id_col: str, key_col: str) -> Column:
+    return F.sha2(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(key_col).cast("string")), 256)
+
+
 def _nodes(sketches: DataFrame) -> DataFrame:
     """One numbered row per distinct shingle set."""
     grouped = sketches.where("set is not null").groupBy("set").agg(
@@ -159,6 +164,9 @@ def _verify(df: DataFrame, nodes: DataFrame, clusters: DataFrame, id_col: str, t
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     wanted = cut(clusters.join(sizes, "cluster").join(nodes.select("node", "sample", "copies", "n", "signature"), "node"), "wanted")
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_key"))
+    # a filter of bounded size keeps texts that are in no cluster out of the shuffle
+    named = wanted.select("sample.*").withColumn("_sha", _row_digest("_id", "_text_key"))
+    texts = flag_members(texts.withColumn("_sha", _row_digest("_id", "_text_key")), member_filter(named, "_sha"), "_sha").where("_maybe").drop("_maybe", "_sha")
     found = texts.join(wanted, texts._id.eqNullSafe(F.col("sample._id")) & (texts._text_key == F.col("sample._text_key")))
     found = found.select("cluster", "size", "node", "copies", "n", "signature", "_text")
 
@@ -241,7 +249,12 @@ def near_duplicates(
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are the first, by id, of their class; same columns."""
-    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), "_text_key")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("_text_key").alias("_gone_key"))
     gone = cut(gone.distinct(), "gone")
-    return df.join(gone, (F.col(id_col) == F.col("_gone")) & (key == F.col("_text_key")), "left_anti")
+    keyed = df.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_sha", _row_digest(id_col, "_key"))
+    # rows that are certainly not among those pass straight on; the filter's size is bounded
+    flagged = flag_members(keyed, member_filter(gone.withColumn("_sha", _row_digest("_gone", "_gone_key")), "_sha"), "_sha")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sure, maybe = flagged.where("not _maybe").select(*columns), flagged.where("_maybe")
+    left = maybe.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    return sure.unionByName(left.select(*columns))
