@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,70 +11,40 @@ from pointweave.functions.columns import add_eigenvalues, ratio_or_zero, safe_ra
 from pointweave.functions.order_stats import percentiles
 from pointweave.session import cut
 
-# Integer thresholds of the scale-consistency rules.
-SCALE_LIMITS = {
-    "small_defect_max_multiple": 4,
-    "large_defect_min_multiple": 8,
-    "late_gtr_over_y_min_multiple": 2,
-    "late_gtr_over_y_min_numerator": 3,
-    "late_gtr_over_y_min_denominator": 2,
-    "late_w_over_y_max_numerator": 1,
-    "late_w_over_y_max_denominator": 4,
-    "trusted_z_over_q_min_multiple": 4,
-    "trusted_gtr_over_w_min_multiple": 4,
-    "trusted_y_over_u_max_numerator": 3,
-    "trusted_y_over_u_max_denominator": 2,
-    "trusted_gtr_over_u_min_multiple": 4,
-    "weak_y_over_u_min_multiple": 8,
-    "normal_mass_majority_numerator": 1,
-    "normal_mass_majority_denominator": 2,
-}
-
-
-def seed_state(limits: dict[str, int] | None = None) -> Column:
-    """State of a seed from the sizes q, u, y, z, w, gtr (columns ``*_size``, bigint): no division.
-
-    Anchor evidence beats strong-normal evidence, which beats weak-normal evidence.
-    """
-    unknown = set(limits or {}) - set(SCALE_LIMITS)
-    if unknown:
-        raise ValueError(f"unknown limits: {sorted(unknown)}")
-    t = {**SCALE_LIMITS, **(limits or {})}
-    q, u, y, z, w, g = (F.col(c + "_size") for c in ("q", "u", "y", "z", "w", "gtr"))
-    small = (w <= z * t["small_defect_max_multiple"]) & (y <= q * t["small_defect_max_multiple"])
-    big = t["large_defect_min_multiple"]
-    large = (w >= z * big) & (u >= q * big) & (y >= q * big) & (g >= q * big) & (z >= q * big)
-    half_up = t["late_gtr_over_y_min_denominator"] * g
-    three = t["late_gtr_over_y_min_numerator"]
-    late = ((g >= y * t["late_gtr_over_y_min_multiple"]) & (w <= u)) | (
-        (half_up >= y * three)
-        & (w * t["late_w_over_y_max_denominator"] <= y * t["late_w_over_y_max_numerator"])
-    )
-    trusted = ((z >= q * t["trusted_z_over_q_min_multiple"]) & (g >= w * t["trusted_gtr_over_w_min_multiple"])) | (
-        (y * t["trusted_y_over_u_max_denominator"] <= u * t["trusted_y_over_u_max_numerator"])
-        & (g >= u * t["trusted_gtr_over_u_min_multiple"])
-    )
-    weak = ((q == 1) & (half_up >= y * three)) | (
-        (y >= u * t["weak_y_over_u_min_multiple"]) & (half_up >= w * three)
-    )
-    return (
-        F.when(small | large, "defect_anchor")
-        .when(late | trusted, "strong_normal")
-        .when(weak, "weak_normal")
-        .otherwise("unknown")
-    )
-
-
-def vote_regions(seeds: DataFrame, keys=("cloud_id", "y_id"), limits: dict[str, int] | None = None) -> DataFrame:
+# The scale-consistency rules, in order of precedence. A rule holds when all its comparisons of
+# component sizes hold; all are of integers, so nothing is divided.
+SCALE_RULES = (
+    ("defect_anchor", "w <= 4 * z", "y <= 4 * q"),
+    ("defect_anchor", "w >= 8 * z", "u >= 8 * q", "y >= 8 * q", "gtr >= 8 * q", "z >= 8 * q"),
+    ("strong_normal", "gtr >= 2 * y", "w <= u"),
+    ("strong_normal", "2 * gtr >= 3 * y", "4 * w <= y"),
+    ("strong_normal", "z >= 4 * q", "gtr >= 4 * w"),
+    ("strong_normal", "2 * y <= 3 * u", "gtr >= 4 * u"),
+    ("weak_normal", "q = 1", "2 * gtr >= 3 * y"),
+    ("weak_normal", "y >= 8 * u", "2 * gtr >= 3 * w"),
+)
+#: a region is normal when strong-normal seeds hold more than this share of its seed mass
+NORMAL_MASS = (1, 2)
+
+
+def seed_state(rules: tuple[tuple[str, ...], ...] = SCALE_RULES) -> Column:
+    """State of a seed from the sizes q, u, y, z, w, gtr (columns ``*_size``, bigint): that of the first rule that holds."""
+    state = F.lit("unknown")
+    for name, *comparisons in reversed(rules):
+        sizes = " AND ".join(re.sub(r"\b(q|u|y|z|w|gtr)\b", r"\1_size", c) for c in comparisons)
+        state = F.when(F.expr(sizes), name).otherwise(state)
+    return state
+
+
+def vote_regions(seeds: DataFrame, keys=("cloud_id", "y_id"), majority: tuple[int, int] = NORMAL_MASS) -> DataFrame:
     """Seeds (keys, q_size, seed_state) -> state of every grown region."""
-    t = {**SCALE_LIMITS, **(limits or {})}
     strong = F.col("seed_state") == "strong_normal"
     out = seeds.groupBy(*keys).agg(
         F.sum("q_size").alias("total_mass"),
         F.coalesce(F.sum(F.when(strong, F.col("q_size"))), F.lit(0).cast("long")).alias("strong_mass"),
         F.bool_or(F.col("seed_state") == "defect_anchor").alias("has_anchor"),
     )
-    normal = F.col("strong_mass") * t["normal_mass_majority_denominator"] > F.col("total_mass") * t["normal_mass_majority_numerator"]
+    normal = F.col("strong_mass") * majority[1] > F.col("total_mass") * majority[0]
     state = F.when(normal, "normal").when(F.col("has_anchor"), "defect").otherwise("unknown")
     return out.withColumn("y_state", state)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.config import Settings
+from pointweave.session import cut
 
 # The swept settings of the five families.
 FAMILIES: dict[str, list[dict]] = {
@@ -21,6 +22,7 @@ FAMILIES: dict[str, list[dict]] = {
     "normal_ratio": [{"max_normal_ratio": r} for r in (0.25, 0.4, 0.5, 0.6, 0.75)],
 }
 
+# The names of the ablation modes and what each changes.
 ABLATIONS: dict[str, dict] = {
     "full": {},
     "laplacian_restoration": {"restoration": "laplacian"},
@@ -38,6 +40,30 @@ def family_settings(base: Settings | None = None) -> list[tuple[str, int, Settin
     return [(name, i, base.with_changes(**change)) for name, changes in FAMILIES.items() for i, change in enumerate(changes)]
 
 
+def run_settings(raw: DataFrame, samples: DataFrame, truth: DataFrame, runs: list[tuple[str, int, Settings]]) -> DataFrame:
+    """Sample metrics of every (family, slot, settings) of ``runs``; the clouds go through the pipeline once per entry.
+
+    ``samples`` carries cloud_id and the sample columns, ``truth`` the defect flag of raw points.
+    """
+    from pointweave.operators.labels import through_sample
+    from pointweave.plans.batch import sample_metrics
+    from pointweave.plans.pipeline import run_pipeline
+
+    out = None
+    for family, slot, settings in runs:
+        stages = run_pipeline(raw, settings)
+        carried = through_sample(truth, stages.points.select("cloud_id", "point_id"))
+        rows = cut(sample_metrics(samples, stages.points, stages.final, carried), "run")
+        rows = rows.select(F.lit(family).alias("family"), F.lit(slot).alias("slot"), F.lit(settings.digest()).alias("config_hash"), *rows.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def ablation_settings(base: Settings | None = None) -> list[tuple[str, int, Settings]]:
+    base = base or Settings()
+    return [(name, 0, base.with_changes(**changes)) for name, changes in ABLATIONS.items()]
+
+
 def plan_runs(samples: DataFrame, base: Settings | None = None) -> DataFrame:
     """Every sample with every configuration (family, config_hash, settings); the configurations are a fixed list."""
     rows = F.array(

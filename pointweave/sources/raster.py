@@ -1,4 +1,4 @@
-"""Organised rasters as points: validity filter, support-plane removal, point and label output."""
+"""Organised rasters as points: the validity filter."""
 
 from __future__ import annotations
 

@@ -175,3 +175,14 @@ def test_baseline_distance_uses_every_feature(spark):
     a = (ask - base.mean(0)) / base.std(0)
     want = ((a[:, None] - z[None]) ** 2).sum(-1).min(1)
     assert len(got) == 80 and all(abs(got[i] - want[i]) < 1e-9 for i in range(80))
+
+
+def test_strain_of_points_without_edges(spark):
+    from helpers import edges
+
+    p = cloud(spark, [[0.0, 0, 0], [1.0, 0, 0], [5.0, 0, 0]])
+    back = p.where("point_id = 1").selectExpr("cloud_id", "point_id", "1.5d as rx", "0d as ry", "0d as rz")
+    got = {r.point_id: r.strain for r in R.edge_strain(p, back, edges(spark, [(0, 1)])).collect()}
+    assert got[0] == pytest.approx(0.5) and got[1] == pytest.approx(0.5) and got[2] == float("inf")
+    kept = R.strain_veto(points(spark, range(3)), R.edge_strain(p, back, edges(spark, [(0, 1)])), 0.6)
+    assert sorted(r.point_id for r in kept.collect()) == [0, 1]
