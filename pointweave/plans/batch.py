@@ -87,8 +87,8 @@ def run_batch(spark: SparkSession, root: str, out: str, settings: Settings | Non
     todo = samples if done is None else remaining(samples, done.where("success"), ["dataset", "category", "sample_id"])
     todo = cut(todo.withColumn("cloud_id", F.col("pc_path")), "todo", rows=F.count(F.lit(1)))
     if todo.seen["rows"]:
-        raw = formats.read_clouds(spark, root).withColumnRenamed("path", "cloud_id").join(todo.select("cloud_id"), "cloud_id", "left_semi")
-        raw = cut(raw, "raw")
+        only = todo.select(F.col("pc_path").alias("path"))
+        raw = cut(formats.read_clouds(spark, root, only).withColumnRenamed("path", "cloud_id"), "raw")
         stages = run_pipeline(raw, settings)
         paths = todo.where("gt_path is not null").select(F.col("gt_path").alias("path"), "cloud_id")
         rows = formats.read_text_clouds(spark, root).join(paths, "path").select("cloud_id", F.col("point_id").alias("row"), "values")

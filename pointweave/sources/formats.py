@@ -150,9 +150,11 @@ def _read(batches):
                 )
 
 
-def read_binary_clouds(spark: SparkSession, root: str, pattern: str = "*.{pcd,ply,npy}") -> DataFrame:
-    """(path, point_id, x, y, z): a file is one record of ``binaryFile``, files spread over tasks."""
+def read_binary_clouds(spark: SparkSession, root: str, pattern: str = "*.{pcd,ply,npy}", only: DataFrame | None = None) -> DataFrame:
+    """(path, point_id, x, y, z): a file is one record of ``binaryFile``, files spread over tasks; ``only`` lists the paths to parse."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    if only is not None:
+        files = files.join(only, "path", "left_semi")
     return files.select("path", "content").mapInPandas(_read, SCHEMA)
 
 
@@ -172,13 +174,15 @@ def read_text_clouds(spark: SparkSession, root: str, pattern: str = "*.{txt,xyz,
     return rows.select("path", (F.row_number().over(order) - 1).cast("long").alias("point_id"), values.alias("values"))
 
 
-def read_clouds(spark: SparkSession, root: str) -> DataFrame:
-    """All supported files under ``root`` as (path, point_id, x, y, z)."""
+def read_clouds(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
+    """All supported files under ``root``, or those whose path ``only`` lists, as (path, point_id, x, y, z)."""
     text = read_text_clouds(spark, root)
+    if only is not None:
+        text = text.join(only, "path", "left_semi")
     # a row with fewer than three numbers, or with one that is not finite, is an error as in the binary readers
     spot = F.slice("values", 1, 3)
     sound = (F.size("values") >= 3) & F.forall(spot, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     checked = F.when(sound, spot).otherwise(F.raise_error(F.concat(F.lit("fewer than three finite columns in "), F.col("path"))))
     text = text.withColumn("values", checked)
     text = text.select("path", "point_id", *[F.get("values", F.lit(i)).alias(a) for i, a in enumerate("xyz")])
-    return read_binary_clouds(spark, root).unionByName(text)
+    return read_binary_clouds(spark, root, only=only).unionByName(text)
