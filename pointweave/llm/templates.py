@@ -1,7 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 A page is parsed into a tree, every element's subtree is hashed, and Spark
-counts per host on how many pages a subtree occurs. Subtrees that recur across
+counts per host on how many different pages a subtree occurs; pages with the same
+text (copies, re-crawls, mirrors) are one page. Subtrees that recur across
 many pages of their host are template and are deleted; inside an article only
 containers (never a paragraph, a heading or the bulk of the article) can be.
 Then elements that are furniture by their name or role go, and the blocks that
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pointweave.llm.urls import split_url
 from pointweave.session import cut
 
-#: a subtree is template when it occurs on at least MIN_PAGES pages and MIN_SHARE of the host's pages; the share
+#: a subtree is template when it occurs on at least MIN_PAGES different pages and MIN_SHARE of the host's pages; the share
 #: also bounds a host's templates by the elements of 1 / MIN_SHARE average pages
 MIN_PAGES = 4
 MIN_SHARE = 0.02
@@ -221,21 +222,27 @@ def main_text(root: Element, template: set[int]) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def page_key(root: Element) -> int:
+    """A 64-bit key of the page's text before any template is removed: pages are different when it is."""
+    return int.from_bytes(blake2b(main_text(root, set()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def page_templates(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(_host, _template): per host the sorted keys of its template subtrees; a written table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
+            hosts, texts, keys = [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = parse(source)
                 hash_tree(root)
                 own = candidate_keys(root)
                 hosts += [host] * (len(own) + 1)
+                texts += [page_key(root)] * (len(own) + 1)
                 keys += [0, *own]  # key 0 counts the host's pages
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["_host", "_key"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(keys, pa.int64())], names=["_host", "_text", "_key"])
 
     pages = df.select(split_url(url_col)[0].alias("_host"), F.coalesce(html_col, F.lit("")).alias("_html")).where("_host <> ''")
-    counts = cut(pages.mapInArrow(run, "_host string, _key bigint").groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_n")).where(f"_n >= {MIN_PAGES}"), "subtrees")
+    counts = cut(pages.mapInArrow(run, "_host string, _text bigint, _key bigint").groupBy("_host", "_key").agg(F.count_distinct("_text").alias("_n")).where(f"_n >= {MIN_PAGES}"), "subtrees")
     pages_of = counts.where("_key = 0").select("_host", F.col("_n").alias("_pages"))
     often = counts.where("_key <> 0").join(pages_of, "_host").where(F.col("_n") >= F.col("_pages") * MIN_SHARE)
     return cut(often.groupBy("_host").agg(F.sort_array(F.collect_list("_key")).alias("_template")), "templates")

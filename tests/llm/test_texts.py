@@ -234,6 +234,16 @@ def test_template_subtrees_go(spark):
     assert templates.extract(df.where("false")).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    body = "<h1>Title</h1><p>Some words.</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table><p>A long paragraph that closes the page.</p>"
+    rows = [(i, "http://a.org/x", page(body)) for i in range(8)] + [(10 + i, f"http://b.org/{i}", page(f"<article>{body}</article>", f"<nav>{i}</nav>")) for i in range(8)]
+    rows += [(20 + i, "http://c.org/x", page(f"<p>Own text {i % 3}</p>{SHARED}")) for i in range(9)]  # three different pages
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Title\nSome words.\none\ntwo\ncell\nA long paragraph that closes the page."
+    assert all(got[i] == whole for i in [*range(8), *range(10, 18)])
+    assert all(got[20 + i] == f"Own text {i % 3}\nOur shop window" for i in range(9))
+
+
 def test_pages_query_equals_brute_force(spark):
     import html as entities
     import re
