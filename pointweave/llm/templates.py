@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 from pointweave.llm.urls import split_url
 from pointweave.session import cut
 
-#: a subtree is template when it occurs on at least MIN_PAGES different pages and MIN_SHARE of the host's pages; the share
-#: also bounds a host's templates by the elements of 1 / MIN_SHARE average pages
+#: a subtree is template when it occurs on at least so many different pages of its host, whatever the host's size
 MIN_PAGES = 4
-MIN_SHARE = 0.02
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,10 +62,10 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]
 
 
 class Element:
-    __slots__ = ("name", "attrs", "children", "key")
+    __slots__ = ("name", "attrs", "children", "key", "letters")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children, self.key = name, attrs, [], 0
+        self.name, self.attrs, self.children, self.key, self.letters = name, attrs, [], 0, 0
 
 
 def parse(source: str) -> Element:
@@ -115,7 +113,7 @@ def parse(source: str) -> Element:
 
 
 def hash_tree(root: Element) -> None:
-    """Gives every element a 64-bit key of its name, attributes, text and children, from the leaves up."""
+    """Gives every element a 64-bit key of its name, attributes, text and children, and the length of its text, from the leaves up."""
     order, stack = [], [root]
     while stack:
         element = stack.pop()
@@ -126,6 +124,7 @@ def hash_tree(root: Element) -> None:
         for child in element.children:
             h.update(b"\x01" + " ".join(child.split()).encode("utf-8", "surrogatepass") if isinstance(child, str) else b"\x02" + child.key.to_bytes(8, "little", signed=True))
         element.key = int.from_bytes(h.digest(), "little", signed=True)
+        element.letters = sum(len(c) if isinstance(c, str) else c.letters for c in element.children)
 
 
 def is_furniture(element: Element) -> bool:
@@ -182,21 +181,29 @@ def candidate_keys(root: Element) -> set[int]:
     return keys
 
 
-def _letters(elements: list[Element]) -> int:
-    total, stack = 0, list(elements)
+def _removable(item: Element, found: list[Element], bulk: float) -> bool:
+    """Whether ``item`` goes where it is template: anything on a page without articles, else containers under half of the articles."""
+    return not found or (item.name in CONTAINERS and item.letters < bulk)
+
+
+def removable_keys(root: Element) -> set[int]:
+    """Keys of the elements whose being template changes this page's text."""
+    found = articles(root)
+    bulk = sum(e.letters for e in found) / 2
+    keys, stack = set(), list(found or [root])
     while stack:
-        for child in stack.pop().children:
-            if isinstance(child, str):
-                total += len(child)
-            else:
-                stack.append(child)
-    return total
+        item = stack.pop()
+        if not is_furniture(item):
+            if _removable(item, found, bulk):
+                keys.add(item.key)
+            stack += [c for c in item.children if not isinstance(c, str)]
+    return keys
 
 
 def main_text(root: Element, template: set[int]) -> str:
-    """The blocks that are left, in page order, one per line."""
+    """The blocks that are left, in page order, one per line; with ``template`` the tree must be hashed."""
     found = articles(root)
-    bulk = _letters(found) / 2 if template and found else 0.0
+    bulk = sum(e.letters for e in found) / 2
     blocks: list[list[str]] = [[]]
     # depth-first without recursion: a None on the stack ends a block
     stack: list = list(reversed(found)) if found else [root]
@@ -210,7 +217,7 @@ def main_text(root: Element, template: set[int]) -> str:
             blocks[-1].append(" ")
         elif is_furniture(item):
             continue
-        elif item.key in template and (not found or (item.name in CONTAINERS and _letters([item]) < bulk)):
+        elif item.key in template and _removable(item, found, bulk):
             continue
         else:
             block = item.name in BLOCK
@@ -227,39 +234,51 @@ def page_key(root: Element) -> int:
     return int.from_bytes(blake2b(main_text(root, set()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _site(url_col: str, html_col: str) -> list[Column]:
+    """Host, html and a key of the html; two pages of a host with one key share their list of templates, which changes neither text."""
+    source = F.coalesce(html_col, F.lit(""))
+    return [split_url(url_col)[0].alias("_host"), source.alias("_html"), F.xxhash64(source).alias("_page")]
+
+
 def page_templates(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_host, _template): per host the sorted keys of its template subtrees; a written table."""
+    """(_host, _page, _template): for the pages that hold removable template subtrees, the keys of these; a written table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, texts, keys = [], [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hosts, pages, texts, keys, asked = [], [], [], [], []
+            for host, source, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 root = parse(source)
                 hash_tree(root)
                 own = candidate_keys(root)
-                hosts += [host] * (len(own) + 1)
-                texts += [page_key(root)] * (len(own) + 1)
-                keys += [0, *own]  # key 0 counts the host's pages
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(keys, pa.int64())], names=["_host", "_text", "_key"])
-
-    pages = df.select(split_url(url_col)[0].alias("_host"), F.coalesce(html_col, F.lit("")).alias("_html")).where("_host <> ''")
-    counts = cut(pages.mapInArrow(run, "_host string, _text bigint, _key bigint").groupBy("_host", "_key").agg(F.count_distinct("_text").alias("_n")).where(f"_n >= {MIN_PAGES}"), "subtrees")
-    pages_of = counts.where("_key = 0").select("_host", F.col("_n").alias("_pages"))
-    often = counts.where("_key <> 0").join(pages_of, "_host").where(F.col("_n") >= F.col("_pages") * MIN_SHARE)
-    return cut(often.groupBy("_host").agg(F.sort_array(F.collect_list("_key")).alias("_template")), "templates")
+                removable = removable_keys(root)
+                hosts += [host] * len(own)
+                pages += [page] * len(own)
+                texts += [page_key(root)] * len(own)
+                keys += own
+                asked += [k in removable for k in own]
+            longs = [pa.array(x, pa.int64()) for x in (pages, texts, keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *longs, pa.array(asked, pa.bool_())], names=["_host", "_page", "_text", "_key", "_asked"])
+
+    pages = df.select(*_site(url_col, html_col)).where("_host <> ''")
+    subtrees = cut(pages.mapInArrow(run, "_host string, _page bigint, _text bigint, _key bigint, _asked boolean"), "subtrees")
+    often = cut(subtrees.groupBy("_host", "_key").agg(F.count_distinct("_text").alias("_n")).where(f"_n >= {MIN_PAGES}").select("_host", "_key"), "often")
+    # by page, so a list holds no more than the page's own elements
+    found = subtrees.where("_asked").select("_host", "_page", "_key").join(often, ["_host", "_key"], "left_semi")
+    return cut(found.groupBy("_host", "_page").agg(F.collect_set("_key").alias("_template")), "templates")
 
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``df`` without its html, plus ``text`` and ``n_chars`` (code points).
 
-    A null html counts as empty and has an empty text. Pages without a host have
-    no template of their own, only furniture is removed. Pages are read twice
-    and never shuffled whole unless the templates of all hosts outgrow Spark's
-    broadcast size. Columns named text or n_chars give way.
+    A subtree is template when it occurs on MIN_PAGES different pages of its
+    host. A null html counts as empty and has an empty text. Pages without a
+    host have no template of their own, only furniture is removed. Pages are
+    read twice, and shuffled whole where the lists of template keys by page
+    outgrow Spark's broadcast size. Columns named text or n_chars give way.
     """
     kept = [c for c in df.columns if c not in ("text", "n_chars", html_col)]
     templates = page_templates(df, url_col, html_col)
-    joined = df.withColumn("_host", split_url(url_col)[0]).join(templates, "_host", "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(html_col, F.lit("")).alias("_html"), "_template")
+    joined = df.select(*[F.col(f"`{c}`") for c in kept], *_site(url_col, html_col)).join(templates, ["_host", "_page"], "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in kept], "_html", "_template")
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

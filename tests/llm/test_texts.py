@@ -244,6 +244,14 @@ def test_copies_of_a_page_are_one_page(spark):
     assert all(got[20 + i] == f"Own text {i % 3}\nOur shop window" for i in range(9))
 
 
+def test_template_does_not_depend_on_the_size_of_the_host(spark):
+    block = "<div>Notice of one section</div>"
+    rows = [(i, "http://big.org/x", page(f"<p>Own text {i}</p>{block if i < 4 else ''}")) for i in range(400)]
+    rows += [(1000 + i, "http://small.org/x", page(f"<p>Own text {i}</p>{block}")) for i in range(4)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own text {i}" for i in range(400)) and all(got[1000 + i] == f"Own text {i}" for i in range(4))
+
+
 def test_pages_query_equals_brute_force(spark):
     import html as entities
     import re
