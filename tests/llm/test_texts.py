@@ -234,6 +234,15 @@ def test_template_subtrees_go(spark):
     assert templates.extract(df.where("false")).count() == 0
 
 
+def test_words_in_other_attributes_are_not_furniture():
+    shown = ["a href='/hidden-gems'", "p style='overflow:hidden'", "span title='hidden'", "a href='/p?id=related'", "a href=/p?class=ad", "div data-id='share'", 'div data-class="ad"',
+             "div data-hidden", 'p title="class=ad"', "p aria-hidden=false", "a href='/x?a=1&role=note'"]
+    for tag in shown:
+        assert templates.main_text(templates.parse(f"<article>a <{tag}>word</{tag.split()[0]}> b</article>"), set()).split() == ["a", "word", "b"], tag
+    for tag in ("p hidden", "p HIDDEN=''", "div data-id=x id=related", "p class = 'ad'", 'p title="a b" class="ad"', "span aria-hidden=true", "div role=note", "p hidden title=x"):
+        assert templates.main_text(templates.parse(f"<article>a <{tag}>word</{tag.split()[0]}> b</article>"), set()).split() == ["a", "b"], tag
+
+
 def test_copies_of_a_page_are_one_page(spark):
     body = "<h1>Title</h1><p>Some words.</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table><p>A long paragraph that closes the page.</p>"
     rows = [(i, "http://a.org/x", page(body)) for i in range(8)] + [(10 + i, f"http://b.org/{i}", page(f"<article>{body}</article>", f"<nav>{i}</nav>")) for i in range(8)]
