@@ -14,12 +14,14 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+PIECE = 64  # letters that are permuted at once
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date", "secret")
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -34,9 +36,7 @@ class Permutation:
 
     def __init__(self, key: bytes, kind: str, n: int):
         self.n = n
-        self.a = max(1, int(n**0.5))
-        while self.a * self.a > n:
-            self.a -= 1
+        self.a = max(1, isqrt(n))
         self.b = -(-n // self.a)
         self.key, self.tag = key, f"{kind}/{n}/".encode()
         self.width = (max(self.a, self.b).bit_length() + 7) // 8
@@ -76,26 +76,38 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
-def permute_classes(key: bytes, kind: str, text: str, back: bool = False, hexadecimal: bool = False) -> str:
-    """Permutes the letters and digits of ``text`` among all strings with the same classes in the same places."""
-    alphabets = [HEX if hexadecimal and c in HEX else next((a for a in (DIGITS, LOWER, UPPER) if c in a), "") for c in text]
-    value = 0
-    sizes = [len(a) for a in alphabets if a]
-    if not sizes:
-        return text
-    n = 1
+def permute_classes(key: bytes, kind: str, text: str, back: bool = False, hexadecimal: bool | None = None) -> str:
+    """Permutes the letters and digits of ``text``, PIECE by PIECE, among all strings with the same classes in the same places.
+
+    ``hexadecimal`` says whether ``text`` is all of HEX and is to stay so, or isn't and is to stay so; None is for no matter.
+    """
+    return "".join(_permute_piece(key, kind, text[i : i + PIECE], back, hexadecimal) for i in range(0, len(text), PIECE))
+
+
+def _permute_piece(key: bytes, kind: str, text: str, back: bool, hexadecimal: bool | None) -> str:
+    all_hex = hexadecimal is not None and all(c in HEX for c in text)
+    # a piece of HEX in a text that isn't keeps to HEX, any other piece leaves it: so the text's own form can be read off its pseudonym
+    classes = (HEX,) if hexadecimal else (DIGITS, HEX[10:]) if all_hex else (DIGITS, LOWER, UPPER)
+    alphabets = [next((a for a in classes if c in a), "") for c in text]
+    value, n = 0, 1
     for a, c in zip(alphabets, text):
         if a:
             value, n = value * len(a) + a.index(c), n * len(a)
-    value = permutation(key, kind + ":" + "".join(a[:1] or c for a, c in zip(alphabets, text)), n)(value, back)
-    out = []
-    for a, c in zip(reversed(alphabets), reversed(text)):
-        if a:
-            value, at = divmod(value, len(a))
-            out.append(a[at])
-        else:
-            out.append(c)
-    return "".join(reversed(out))
+    if n == 1:
+        return text
+
+    def letters(value: int) -> str:
+        out = []
+        for a, c in zip(reversed(alphabets), reversed(text)):
+            if a:
+                value, at = divmod(value, len(a))
+                out.append(a[at])
+            else:
+                out.append(c)
+        return "".join(reversed(out))
+
+    valid = None if hexadecimal is not False or all_hex else lambda v: any(c not in HEX for c in letters(v))
+    return letters(permutation(key, kind + ":" + "".join(a[:1] or c for a, c in zip(alphabets, text)), n)(value, back, valid))
 
 
 def _digits(text: str) -> str:
@@ -197,28 +209,31 @@ def iban(key: bytes, text: str, back: bool = False) -> str | None:
 
 
 def email(key: bytes, text: str, back: bool = False) -> str | None:
-    """Local part and the domain's labels but the last are permuted by class."""
+    """Local part and the domain's labels but the last are permuted by class; signs before the address aren't part of it."""
     local, _, domain = text.rpartition("@")
     labels, last = domain.rsplit(".", 1)
-    return permute_classes(key, "mail", local, back) + "@" + permute_classes(key, "domain", labels, back) + "." + last
+    name = local.lstrip(".+%_-")
+    return local[: len(local) - len(name)] + permute_classes(key, "mail", name, back) + "@" + permute_classes(key, "domain", labels, back) + "." + last
 
 
 def secret(key: bytes, text: str, back: bool = False) -> str | None:
-    """Access keys after AKIA, and what follows password= or token =."""
+    """Access keys after AKIA, and what follows password= or token =, up to its delimiter; signs stay."""
     if text[:4] in ("AKIA", "ASIA"):
         return text[:4] + permute_classes(key, "access", text[4:], back)
-    head, value = re.match(r"(.*?[=:]\s*[\"']?)(.*)", text, re.DOTALL).groups()
+    head, value = re.match(r"(.*?[=:]\s?[\"']?)(.*)", text, re.DOTALL).groups()
     return head + permute_classes(key, "secret", value, back, hexadecimal=all(c in HEX for c in value))
 
 
 FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+%-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b)"
-    r"|(?P<secret>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?[\"']?[A-Za-z0-9_\-]{8,128})"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b)"
+    r"|(?P<secret>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
+    # in quotes to the quote or white space, else to white space or the sign before another name=; the last letter or digit ends it
+    r"|\b(?i:password|passwd|secret|token|api_key)[\"']?\s?[=:]\s?(?:\"[^\s\"]*[A-Za-z0-9]|'[^\s']*[A-Za-z0-9]|(?![\"'])(?:(?![&;,][A-Za-z_]\w*[=:])\S)*[A-Za-z0-9]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?:(?<![\w+])\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
+    r"|(?P<phone>(?:(?<![\w+])\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d(?:(?:[ .-]?\(|\)[ .-]?|[ .-])?\d){7,14}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-]))",
     re.ASCII,
 )

@@ -67,6 +67,48 @@ def test_the_prefilter_skips_no_value(monkeypatch):
     assert all(counts for _, counts in quick)
 
 
+LONG = "".join("aZ3x9Qk"[i % 7] + "bR7m"[i % 4] for i in range(100))
+WIDE = {
+    "phone": ["+33 6 12 34 56 78", "212 555 0100", "+49 30 12 34 56 78 9", "+44 (0)20 7946 0958"],
+    "email": ["a" * 90 + ".b@example.com", "bob@" + "a.b." * 6 + "example.com"],
+    "secret": [f"token={LONG}", f"token={'0af3' * 50}", "password=Pa$$w0rd", "password: hunter2", 'secret="a-b:c/d+e', "api_key=x%y(z)9", '"Password": "Zz1&,x'],
+}
+
+
+@pytest.mark.parametrize("kind, value", [(k, v) for k, values in WIDE.items() for v in values])
+def test_long_and_wide_forms_are_replaced_whole(kind, value):
+    text = f"before {value} after"
+    new, counts = pii.pseudonymize(text, KEY)
+    assert counts == {kind: 1} and new.startswith("before ") and new.endswith(" after")
+    got = new[len("before ") : -len(" after")]
+    assert len(got) == len(value) and [c for c in got if not c.isalnum()] == [c for c in value if not c.isalnum()]
+    assert kind == "phone" or all(got[i : i + 20] != value[i : i + 20] for i in range(12, len(value) - 20))  # no part in clear
+    if kind == "phone":
+        digits = lambda x: pii._digits(x)
+        assert digits(got)[-4:] != digits(value)[-4:] or digits(got)[2:-4] != digits(value)[2:-4]
+    assert pii.pseudonymize(new, KEY, back=True)[0] == text
+    assert pii.pseudonymize(f"elsewhere {value}.", KEY)[0] == f"elsewhere {got}."
+
+
+def test_secrets_end_at_their_delimiter():
+    for text, tail in (("x?token=abc1&user=john", "&user=john"), ('{"token":"abc1","user":"john"}', '","user":"john"}'), ("password=abc1, then", ", then"), ("password=abc1! ok", "! ok")):
+        new, counts = pii.pseudonymize(text, KEY)
+        assert counts == {"secret": 1} and new.endswith(tail) and "abc1" not in new
+
+
+def test_short_secrets_are_one_to_one():
+    values = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    new = [pii.pseudonymize(f"token={v}", KEY)[0] for v in values]
+    assert len(set(new)) == len(values)
+    assert [pii.pseudonymize(t, KEY, back=True)[0] for t in new] == [f"token={v}" for v in values]
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    for part in ("a", "a%", "a.", "token", "1 ", "+1", "token=!", "&a", "a@"):
+        pii.pseudonymize("token=" + part * 100_000, KEY)
+        pii.pseudonymize(part * 100_000, KEY)
+
+
 def test_invalid_values_stay():
     for text in ("4041894974608796", "1111111111111111", "300.1.2.3", "2023-02-29", "000-12-3456", "version 1.2.3", "(112) 555-0100", "", "plain words only"):
         assert pii.pseudonymize(text, KEY) == (text, {})
