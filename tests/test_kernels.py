@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import brute_knn, cloud, points
 from pyspark.sql import functions as F
@@ -126,6 +127,42 @@ def test_restoring_a_flat_patch_moves_nothing_and_solvers_agree(spark, monkeypat
     assert abs(d[66] - 0.3) < 0.1 and d.drop(66).max() < 0.1
 
 
+def test_iterative_solvers_raise_without_convergence():
+    n = 300
+    i = np.arange(n - 1)
+    d = np.full(n, 2.0)
+    d[[0, -1]] = 1
+    off = -1 / np.sqrt(d[:-1] * d[1:])
+    s, t, v = np.concatenate([np.arange(n), i, i + 1]), np.concatenate([np.arange(n), i + 1, i]), np.concatenate([np.ones(n), off, off])
+    with pytest.raises(ArithmeticError):
+        spectral._filtered_subspace(s, t, v, n, 20, rounds=1)
+    # not definite: conjugate gradients have no step to take
+    with pytest.raises(ArithmeticError):
+        R._conjugate_gradient(np.array([0, 1]), np.array([1, 0]), np.ones(2), np.array([[1.0] * 3, [-2.0] * 3]), np.arange(2), np.arange(2), False, 0.5)
+
+
+def test_large_clouds_have_eigenpairs():
+    n = 20_001  # a star: eigenvalues 0, 1, ..., 1, 2
+    hub, leaf = np.zeros(n - 1, dtype=int), np.arange(1, n)
+    off = np.full(n - 1, -1 / np.sqrt(n - 1))
+    pdf = pd.DataFrame({"src": np.concatenate([np.arange(n), hub, leaf]), "dst": np.concatenate([np.arange(n), leaf, hub]), "value": np.concatenate([np.ones(n), off, off])})
+    got = spectral._eigen(pdf.assign(cloud_id="a"), 2)
+    assert len(got) == n and np.allclose(got.lambdas.iloc[0], [0, 1], atol=1e-6)
+
+
+def test_the_fallback_holds_at_all_sizes(monkeypatch):
+    # a far neighbour without a position spoils the biharmonic rows only
+    chain = [(r, c, 2.0 if r == c else -1.0) for r in range(1, 6) for c in (r - 1, r, r + 1)]
+    pdf = pd.DataFrame(chain, columns=["r", "c", "value"])
+    pdf = pdf.assign(cloud_id="a", component=1, unknown=pdf.c.isin([2, 3]), x=pdf.c.astype(float), y=0.0, z=1.0)
+    pdf.loc[pdf.c == 6, ["x", "y", "z"]] = np.nan
+    pdf.loc[pdf.c == 5, ["x", "y", "z"]] = np.nan
+    dense = R._solve_region(pdf, True, 1e-8)
+    monkeypatch.setattr(R, "DENSE_UNKNOWNS", 0)
+    assert np.allclose(dense[["rx", "ry", "rz"]], R._solve_region(pdf, True, 1e-8)[["rx", "ry", "rz"]], atol=1e-6)
+    assert np.allclose(dense.rx, [2, 3], atol=1e-6)
+
+
 def test_region_growing_equals_the_sequential_rule(spark):
     rng = np.random.default_rng(8)
     n = 150
