@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointweave.llm import buckets, dedup, jaccard, metric, mixing, pii, seekable, templates, toxicity, urls
 from pointweave.llm.common import table
@@ -53,7 +54,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_length_buckets")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return buckets.pack(table(spark, folder, "documents"))
+    sized = seekable.with_token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return buckets.pack(sized, length=F.col("n_tokens"))
 
 
 @query("op6_site_templates")

@@ -196,6 +196,18 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_counts_tokens(spark, documents, nothing):
+    reference = Tokenizer.from_file(BPE)
+    count = lambda text: len(reference.encode(text or "", add_special_tokens=False).ids)
+    odd = documents.unionByName(spark.createDataFrame([(20, "漢字" * 3000, "s", "x"), (21, "QUJD" * 4000, "s", "x")], documents.schema))
+    rows = odd.collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in seekable.with_token_counts(odd, BPE).collect()) == sorted((str(r.doc_id), count(r.text)) for r in rows)
+    assert seekable.with_token_counts(nothing, BPE).count() == 0
+    docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    got = QUERIES["op5_length_buckets"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs) and all(r.n_tokens == count(docs[r.doc_id]) for r in got)
+
+
 def test_random_access_reads_only_wanted_frames():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 50_000, n).astype("<u4").tobytes() for n in [0, 1, 70_000, 5, 0, 30_000, 40_000, 3]]
