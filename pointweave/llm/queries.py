@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import buckets, dedup, jaccard, metric, mixing, pii, seekable, templates, toxicity, urls
+from pointweave.llm import buckets, dedup, jaccard, metric, mixing, phrases, pii, seekable, templates, toxicity, urls
 from pointweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_metric_join", metric.ORACLE)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return metric.link_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op11_phrases", phrases.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
