@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import buckets, dedup, jaccard, metric, mixing, phrases, pii, postings, seekable, templates, toxicity, urls
+from pointweave.llm import buckets, dedup, jaccard, metric, mixing, phrases, pii, postings, runs, seekable, templates, toxicity, urls
 from pointweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_positional_index", postings.ORACLE)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return postings.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digest(table(spark, folder, "documents"))
