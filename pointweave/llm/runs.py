@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from pointweave.llm.words import WHITE, Words, cut_words
 
@@ -218,7 +219,6 @@ def find_runs(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         same = suffixes.forward(at[several], at[several] + gap[several]) + at[several] + gap[several] >= last[several] + (1 << level)
         repeats = several[same & ((first[several] - at[several]) % gap[several] == 0) & (gap[several] < near)]
         rows = np.setdiff1d(rows, repeats, assume_unique=True)
-        step = 0
         for part in np.split(rows, np.searchsorted(np.cumsum(count[rows]), np.arange(CANDIDATES, int(count[rows].sum()), CANDIDATES))):
             owner = np.repeat(part, count[part])
             step = np.arange(len(owner)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
@@ -333,7 +333,8 @@ def repetitions(df: DataFrame, tails: bool = False, id_col: str = "doc_id", text
             )
 
     schema = source.select(F.col("id").alias(id_col)).schema
-    return source.mapInArrow(run, schema.add("runs", "array<struct<start:bigint,length:bigint,period:bigint>>").add("collapsed", "string"))
+    run_type = StructType().add("start", "long").add("length", "long").add("period", "long")
+    return source.mapInArrow(run, schema.add("runs", ArrayType(run_type)).add("collapsed", "string"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], tails: bool) -> Iterator[tuple[pa.Array, list[tuple]]]:
