@@ -36,7 +36,7 @@ FILTER_BITS, FILTER_ROWS = 1 << 27, 1 << 24
 #: bits of one bitmap row, as Spark's bitmap functions have them
 BLOCK_BITS = 32768
 #: counters a task holds before it hands them on
-HELD = 2_000_000
+HELD = 1_500_000
 
 ENDS = byte_class(b".,;:!?\n\v\f\r")
 BETWEEN = ENDS | byte_class(b" \t")
@@ -277,10 +277,27 @@ def distinct_phrases(words: Words, n: int, at: np.ndarray, hashes: np.ndarray, l
 
 
 def exact_counts(texts: DataFrame, longest: int, pairs, known, slice_of: tuple[int, int]) -> DataFrame:
-    """(lang, n, phrase, a) per stretch of text, for phrases whose keys may be in ``known`` and fall into the slice."""
+    """(lang, n, phrase, a) per task, for phrases whose keys may be in ``known`` and fall into the slice."""
     number, slices = slice_of
+    names = ["lang", "n", "phrase", "a"]
+
+    def summed(held: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(held).group_by(names[:3], use_threads=False).aggregate([("a", "sum")])
+        return table.select([*names[:3], "a_sum"]).rename_columns(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for found in stretches(batches):
+            held.append(found)
+            if sum(x.num_rows for x in held) > HELD:
+                held = summed(held).to_batches()
+                if sum(x.num_rows for x in held) > HELD // 2:  # summing frees too little: what is there goes on to Spark's sums
+                    yield from held
+                    held = []
+        if held:
+            yield from summed(held).to_batches()
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, keep = (Filter(np.frombuffer(x.value, dtype=np.uint8)) for x in (pairs, known))
         for batch in batches:
             salts = _salts(batch.column(0))
@@ -303,7 +320,7 @@ def exact_counts(texts: DataFrame, longest: int, pairs, known, slice_of: tuple[i
                             phrase.cast(pa.string()),
                             pa.array(counts.astype(np.int64)),
                         ],
-                        names=["lang", "n", "phrase", "a"],
+                        names=names,
                     )
 
     return texts.mapInArrow(run, "lang string, n int, phrase string, a long")
