@@ -8,6 +8,7 @@ returns as Parquet in the shared scratch folder and hands the reread table on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointweave.llm import buckets, dedup, jaccard, mixing, toxicity
 from pointweave.llm.common import table
@@ -17,7 +18,7 @@ from pointweave.session import cut
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the clause grammar rejects go; it learns from the labels outside the held-out fold."""
     model = toxicity.fit(docs, table(spark, folder, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
