@@ -5,8 +5,8 @@ counts per host on how many different pages a subtree occurs; pages with the sam
 text (copies, re-crawls, mirrors) are one page. Subtrees that recur across
 many pages of their host are template and are deleted; inside an article only
 containers (never a paragraph, a heading or the bulk of the article) can be.
-Then elements that are furniture by their name or role go, and the blocks that
-are left, of the article where the page has one, are the text.
+Then elements that are furniture by their name, role, class or id go, and the
+blocks that are left, of the article where the page has one, are the text.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import folded, unfolded
 from pointweave.llm.urls import split_url
 from pointweave.session import cut
 
@@ -42,31 +44,40 @@ SIBLING = {  # an opening tag ends an open element of these names
 SCOPE = frozenset("html body table ul ol dl div section article main aside nav header footer form td th blockquote".split())
 #: inside an article only these can be template: what authors write twice (a paragraph, a heading) stays
 CONTAINERS = frozenset("div section ul ol dl table details figure hgroup".split())
-# Elements that are page furniture by their meaning.
-FURNITURE = frozenset(
-    "head script style noscript template iframe object embed svg canvas audio video map nav footer aside form menu dialog button select "
-    "textarea input label fieldset title xmp noembed noframes search".split()
-)
+# Elements that hold no prose, and elements that are page furniture by their meaning.
+SILENT = frozenset("head script style noscript template iframe object embed svg canvas audio video map button select textarea input title xmp noembed noframes".split())
+FURNITURE = SILENT | frozenset("nav footer aside form menu dialog label fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
-LABELS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|side-?bar|footer|masthead|breadcrumbs?|cookie\w*|consent|gdpr|"
-    r"notice\w*|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|replies|login|signup|widget|toolbar|"
-    r"pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: a class or id is furniture when it is one of the subjects, alone or in a compound with other subjects and the words beside them
+SUBJECTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation sidebar footer masthead "
+    "breadcrumb breadcrumbs cookies cookie consent gdpr notice notices popup modal newsletter subscribe subscription share sharing sharebar social related "
+    "recommended recommendations comment comments disqus replies respond login signup widget widgets toolbar pagination pager skip".split()
+)
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global block box list wrapper wrap container area section bar item items posts articles link links "
+    "unit slot buttons icons text message messages form thread inner outer mobile sticky header content body meta author".split()
 )
+#: boxes; on other elements (a section, a heading) a single word as id only names the place
+BOXES = frozenset("div ul ol dl table figure details".split())
+#: only outside an article; inside, such elements hold its title
+HEADS = frozenset("header siteheader".split())
+#: articles and sections of readers
+READERS = frozenset("comment comments reply replies respond disqus".split())
+PIECES = re.compile(r"[-_]+")
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.DOTALL
 )
-#: one attribute, whatever its name: name="value", name='value', name=value or the bare name
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: one attribute, whatever its name: name="value", name='value', name=value or the bare name; only a quote right after = begins a quoted value
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Element:
-    __slots__ = ("name", "attrs", "children", "key", "letters")
+    __slots__ = ("name", "attrs", "children", "key", "letters", "prose")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children, self.key, self.letters = name, attrs, [], 0, 0
+        self.name, self.attrs, self.children, self.key, self.letters, self.prose = name, attrs, [], 0, 0, 0
 
 
 def parse(source: str) -> Element:
@@ -128,86 +139,133 @@ def hash_tree(root: Element) -> None:
         element.letters = sum(len(c) if isinstance(c, str) else c.letters for c in element.children)
 
 
-def is_furniture(element: Element) -> bool:
-    if element.name in FURNITURE:
-        return True
-    if not element.attrs:
-        return False
-    for name, *values in ATTRIBUTE.findall(element.attrs):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+@lru_cache(maxsize=20_000)
+def marks(attrs: str) -> tuple[bool, bool, bool, bool, bool]:
+    """What attributes say: hidden; furniture by role, class or id; furniture by an id of one word; a header; something of readers."""
+    hidden = furniture = named = head = readers = False
+    for name, *values in ATTRIBUTE.findall(attrs):
+        value, name = "".join(values).lower(), name.lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            hidden = True
+        elif name == "role":
+            furniture |= value in ROLES
+        elif name in ("class", "id"):
+            for token in value.split():
+                pieces = [p for p in PIECES.split(token) if p]
+                if token == "side-bar" or (all(p in SUBJECTS or p in BESIDE for p in pieces) and any(p in SUBJECTS for p in pieces)):
+                    furniture |= name == "class" or len(pieces) > 1
+                    named = True
+                head |= token in HEADS or (pieces[-1:] == ["header"] and all(p in BESIDE for p in pieces))
+                readers |= bool(pieces) and READERS.issuperset(pieces[:1]) and all(p in READERS or p in BESIDE for p in pieces)
+        elif name == "itemprop":
+            readers |= value == "comment"
+    return hidden, furniture, named, head, readers
+
+
+class Page:
+    """A parsed page and what on it is main text.
+
+    ``body`` is the article with most letters (main, where no article is; the
+    page itself, where neither is). Articles of readers count only where no
+    other is. A class, id or role never removes the body, what contains it, or
+    an element with more than two thirds of the page's letters; neither does being a
+    form. Inside the body an article with under half of its letters goes: it is
+    another text, or a reader's.
+    """
+
+    def __init__(self, root: Element):
+        self.root = root
+        parent: dict[int, Element] = {}
+        order, stack = [], [root]
+        while stack:
+            element = stack.pop()
+            order.append(element)
+            inner = [c for c in element.children if not isinstance(c, str)]
+            parent.update((id(c), element) for c in inner)
+            stack += inner
+        for element in reversed(order):
+            element.prose = sum(len(c.strip()) if isinstance(c, str) else c.prose for c in element.children)
+            if element.name in FURNITURE and element.name != "form":
+                element.prose = 0
+        self.bulk = root.prose * 2 / 3
+        self.kept: set[int] = set()
+        self.body = at = self._choose()
+        self.found = self.body is not root
+        while at is not None:
+            self.kept.add(id(at))
+            at = parent.get(id(at))
+
+    def _choose(self) -> Element:
+        best: dict[str, Element] = {}
+        stack = [(self.root, False)]
+        while stack:
+            element, readers = stack.pop()
+            theirs = bool(element.attrs) and marks(element.attrs)[4]
+            readers = (readers or theirs) and element.prose <= self.bulk
+            if element.name in ("article", "main") and not readers and element.prose > (best[element.name].prose if element.name in best else 0):
+                best[element.name] = element
+            for child in reversed(element.children):
+                if not isinstance(child, str) and not self._gone(child, False):
+                    stack.append((child, readers))
+        return best.get("article") or best.get("main") or self.root
+
+    def _gone(self, element: Element, inside: bool) -> bool:
+        name = element.name
+        if id(element) in self.kept or name in ("html", "body"):
+            return False
+        if name in FURNITURE and not (name == "form" and element.prose > self.bulk):
             return True
-        if (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and LABELS.search(value)):
+        if name == "header" and not inside:
             return True
-    return False
+        if not element.attrs or name == "main":
+            return False
+        hidden, furniture, named, head, readers = marks(element.attrs)
+        if hidden or (readers and inside):
+            return True
+        labelled = readers or (name != "article" and (furniture or (named and name in BOXES) or (head and not inside)))
+        return labelled and element.prose <= self.bulk
 
+    def skips(self, element: Element) -> bool:
+        """Whether an element inside the body is furniture."""
+        if self.found and element.name == "article" and element is not self.body and element.prose * 2 < self.body.prose:
+            return True
+        return self._gone(element, self.found)
 
-def _has_text(element: Element) -> bool:
-    stack = [element]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, str):
-                if not child.isspace() and child:
-                    return True
-            elif not is_furniture(child):
-                stack.append(child)
-    return False
-
-
-def articles(root: Element) -> list[Element]:
-    """The outermost article elements (or main ones, where no article is) that hold text."""
-    for wanted in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            element = stack.pop()
-            if element.name == wanted and not is_furniture(element) and _has_text(element):
-                found.append(element)
-            elif not is_furniture(element) or element is root:
-                stack += [c for c in reversed(element.children) if not isinstance(c, str)]
-        if found:
-            return found
-    return []
-
-
-def candidate_keys(root: Element) -> set[int]:
-    """Keys of the elements that may be template: any outside the article, containers inside."""
-    inside = set(map(id, articles(root)))
-    keys, stack = set(), [(root, False)]
+
+def candidate_keys(page: Page) -> set[int]:
+    """Keys of the elements that may be template: any outside the body, containers inside."""
+    keys, stack = set(), [(page.root, False)]
     while stack:
         element, within = stack.pop()
-        if element.name in CONTAINERS or not (within or element is root or element.name in ("html", "body") or id(element) in inside):
+        within_or_body = within or (page.found and element is page.body)
+        if element.name in CONTAINERS or not (within_or_body or element is page.root or element.name in ("html", "body")):
             keys.add(element.key)
-        within = within or id(element) in inside
-        stack += [(c, within) for c in element.children if not isinstance(c, str)]
+        stack += [(c, within_or_body) for c in element.children if not isinstance(c, str)]
     return keys
 
 
-def _removable(item: Element, found: list[Element], bulk: float) -> bool:
-    """Whether ``item`` goes where it is template: anything on a page without articles, else containers under half of the articles."""
-    return not found or (item.name in CONTAINERS and item.letters < bulk)
+def _removable(item: Element, page: Page) -> bool:
+    """Whether ``item`` goes where it is template: anything on a page without article or main, else containers under half of the body."""
+    return not page.found or (item.name in CONTAINERS and item.letters < page.body.letters / 2)
 
 
-def removable_keys(root: Element) -> set[int]:
-    """Keys of the elements whose being template changes this page's text."""
-    found = articles(root)
-    bulk = sum(e.letters for e in found) / 2
-    keys, stack = set(), list(found or [root])
+def removable_keys(page: Page) -> set[int]:
+    """Keys of the elements whose being template changes this page's text; the tree must be hashed."""
+    keys, stack = set(), [page.body]
     while stack:
         item = stack.pop()
-        if not is_furniture(item):
-            if _removable(item, found, bulk):
+        if not page.skips(item):
+            if _removable(item, page):
                 keys.add(item.key)
             stack += [c for c in item.children if not isinstance(c, str)]
     return keys
 
 
-def main_text(root: Element, template: set[int]) -> str:
+def main_text(page: Page, template: set[int] = frozenset()) -> str:
     """The blocks that are left, in page order, one per line; with ``template`` the tree must be hashed."""
-    found = articles(root)
-    bulk = sum(e.letters for e in found) / 2
     blocks: list[list[str]] = [[]]
     # depth-first without recursion: a None on the stack ends a block
-    stack: list = list(reversed(found)) if found else [root]
+    stack: list = [page.body]
     while stack:
         item = stack.pop()
         if item is None:
@@ -216,9 +274,9 @@ def main_text(root: Element, template: set[int]) -> str:
             blocks[-1].append(item)
         elif item.name == "br":
             blocks[-1].append(" ")
-        elif is_furniture(item):
+        elif page.skips(item):
             continue
-        elif item.key in template and _removable(item, found, bulk):
+        elif item.key in template and _removable(item, page):
             continue
         else:
             block = item.name in BLOCK
@@ -230,9 +288,9 @@ def main_text(root: Element, template: set[int]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def page_key(root: Element) -> int:
+def page_key(page: Page) -> int:
     """A 64-bit key of the page's text before any template is removed: pages are different when it is."""
-    return int.from_bytes(blake2b(main_text(root, set()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(blake2b(main_text(page).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _site(url_col: str, html_col: str) -> list[Column]:
@@ -246,14 +304,15 @@ def page_templates(df: DataFrame, url_col: str = "url", html_col: str = "html")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, pages, texts, keys, asked = [], [], [], [], []
-            for host, source, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for host, source, number in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 root = parse(source)
                 hash_tree(root)
-                own = candidate_keys(root)
-                removable = removable_keys(root)
+                page = Page(root)
+                own = candidate_keys(page)
+                removable = removable_keys(page)
                 hosts += [host] * len(own)
-                pages += [page] * len(own)
-                texts += [page_key(root)] * len(own)
+                pages += [number] * len(own)
+                texts += [page_key(page)] * len(own)
                 keys += own
                 asked += [k in removable for k in own]
             longs = [pa.array(x, pa.int64()) for x in (pages, texts, keys)]
@@ -278,22 +337,19 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
     """
     kept = [c for c in df.columns if c not in ("text", "n_chars", html_col)]
     templates = page_templates(df, url_col, html_col)
-    joined = df.select(*[F.col(f"`{c}`") for c in kept], *_site(url_col, html_col)).join(templates, ["_host", "_page"], "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in kept], "_html", "_template")
-    n = len(kept)
+    joined = folded(df, *_site(url_col, html_col), columns=kept).join(templates, ["_host", "_page"], "left").select("row", "_html", "_template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, template in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+            for source, template in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 root = parse(source)
                 if template:
                     hash_tree(root)
-                texts.append(main_text(root, set(template or ())))
+                texts.append(main_text(Page(root), set(template or ())))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=[*kept, "text", "n_chars"],
+                [batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"]
             )
 
-    schema = joined.select(*[F.col(f"`{c}`") for c in kept]).schema.add("text", "string").add("n_chars", "long")
-    return joined.mapInArrow(run, schema)
+    schema = joined.select("row").schema.add("text", "string").add("n_chars", "long")
+    return joined.mapInArrow(run, schema).select(*unfolded(kept), "text", "n_chars")

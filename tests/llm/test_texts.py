@@ -252,6 +252,10 @@ def test_files_round_trip(spark, documents, nothing, tmp_path):
 
 # page templates
 
+
+def text_of(html):
+    return templates.main_text(templates.Page(templates.parse(html)))
+
 SHARED = '<div>Our <b>shop</b> window</div>'
 
 
@@ -266,19 +270,19 @@ def test_text_of_one_page():
         "<!-- hidden <p>no</p> --><p>Last</article>",
         '<nav>menu</nav><header>head</header><div class="ad">buy</div>',
     )
-    assert templates.main_text(templates.parse(html), set()) == "Head & line\nOne two three four\nFive <b> A\na\nb\nLast"
+    assert text_of(html) == "Head & line\nOne two three four\nFive <b> A\na\nb\nLast"
 
 
 @pytest.mark.parametrize("html", ["", "plain & simple", "<p>cut off <b>here", "</p></div>x", "<", "<a", "<!-- open", "<article></article>y", "<p>a</span>b</p>", "<script>never closed"])
 def test_broken_pages(html):
-    text = templates.main_text(templates.parse(html), set())
+    text = text_of(html)
     assert "<script" not in text and "\n\n" not in text
 
 
 def test_deep_and_long_pages():
-    assert templates.main_text(templates.parse("<div>" * 50_000 + "x"), set()) == "x"
+    assert text_of("<div>" * 50_000 + "x") == "x"
     long = "word " * 100_000
-    assert templates.main_text(templates.parse(f"<article><p>{long}</p></article>"), set()) == long.strip()
+    assert text_of(f"<article><p>{long}</p></article>") == long.strip()
 
 
 def test_template_subtrees_go(spark):
@@ -301,9 +305,9 @@ def test_words_in_other_attributes_are_not_furniture():
     shown = ["a href='/hidden-gems'", "p style='overflow:hidden'", "span title='hidden'", "a href='/p?id=related'", "a href=/p?class=ad", "div data-id='share'", 'div data-class="ad"',
              "div data-hidden", 'p title="class=ad"', "p aria-hidden=false", "a href='/x?a=1&role=note'"]
     for tag in shown:
-        assert templates.main_text(templates.parse(f"<article>a <{tag}>word</{tag.split()[0]}> b</article>"), set()).split() == ["a", "word", "b"], tag
+        assert text_of(f"<article>a <{tag}>word</{tag.split()[0]}> b</article>").split() == ["a", "word", "b"], tag
     for tag in ("p hidden", "p HIDDEN=''", "div data-id=x id=related", "p class = 'ad'", 'p title="a b" class="ad"', "span aria-hidden=true", "div role=note", "p hidden title=x"):
-        assert templates.main_text(templates.parse(f"<article>a <{tag}>word</{tag.split()[0]}> b</article>"), set()).split() == ["a", "b"], tag
+        assert text_of(f"<article>a <{tag}>word</{tag.split()[0]}> b</article>").split() == ["a", "b"], tag
 
 
 def test_copies_of_a_page_are_one_page(spark):
@@ -335,3 +339,62 @@ def test_pages_query_equals_brute_force(spark):
         body = re.search(r"<article>(.*?)(?:</article>|$)", pages[r.page_id], re.DOTALL)[1]
         lines = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
         assert r.text == "\n".join(x for x in lines if x)
+
+
+BODY = "<h1>Title</h1><p>It's a text of some length, long enough.</p>"
+PLAIN = "Title\nIt's a text of some length, long enough."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body class="single right-sidebar"><article>{BODY}</article></body>',
+        f'<body class="no-sidebar">{BODY}</body>',
+        f'<body class="comments"><div id="content">{BODY}</div></body>',
+        f'<body><article class="post has-comments">{BODY}</article></body>',
+        f'<body><article class="post sponsored">{BODY}</article></body>',
+        f'<div class="layout with-sidebar"><main>{BODY}</main></div>',
+        f'<div class="sidebar"><div class="widget">{BODY}</div></div>',
+        f'<form id="aspnetForm"><div>{BODY}</div></form>',
+        f'<main role="main" class="site-main comments">{BODY}</main>',
+        f'<header>Site</header><div class="site-header">Slogan</div><div>{BODY}</div>',
+        f'<div class="header">Site</div><main>{BODY}</main>',
+        f'<main><article>{BODY}</article><article class="comment">First!</article><article>A teaser</article></main>',
+        f'<article>{BODY}<article>a reader says</article><div id="comments"><p>{"words of readers " * 20}</p></div></article>',
+        f'<article>{BODY}<section id="comments">nice</section><div class="comment-list">so nice</div><div itemprop=comment>oh</div></article>',
+        f'<article><header class="entry-header"><h1>Title</h1></header><p title=don\'t>It\'s a text of some length, long enough.</p></article>',
+        f'<div class="cookie-notice">We use cookies</div><div>{BODY}</div><div class="site-footer">(c)</div><ul class="nav navbar">a</ul>',
+        f'<article>{BODY}<div class="share-buttons">Share</div><p class="ad">buy</p></article>',
+        f'<article>{BODY}</article><div class="sidebar">{"links of other pages " * 40}</div>',
+    ],
+)
+def test_labels_never_take_the_text(html):
+    assert text_of(html) == PLAIN
+
+
+def test_labels_are_whole_words():
+    inside = '<p class="navy">blue</p><section id="cookies">About biscuits</section><div class="menus-of-rome">food</div><h2 id="notice">N</h2><div class="has-menu">x</div>'
+    assert text_of(f"<article>{BODY}{inside}</article>") == PLAIN + "\nblue\nAbout biscuits\nfood\nN\nx"
+
+
+def test_quotes_in_attributes():
+    assert text_of("<p title=don't>it's</p><p>that's all</p>") == "it's\nthat's all"
+    assert text_of('<a href="x>y">link</a> <b class="a>b">bold</b>') == "link bold"
+    assert text_of('<p title="never closed>text</p><p>more</p>') == "text\nmore"
+
+
+def test_pages_without_article_equal_brute_force(spark):
+    """Every page has its own paragraphs among blocks that recur on the host; what is left is the own text."""
+    rng = np.random.default_rng(3)
+    shared = [f"<div><b>Block {k}</b> of the site</div>" for k in range(6)]
+    rows, want = [], {}
+    for k in range(40):
+        own = [" ".join(f"w{rng.integers(0, 500)}" for _ in range(rng.integers(1, 30))) + f" {k}" for _ in range(rng.integers(1, 6))]
+        parts = [(rng.random(), f"<p>{t}</p>") for t in own]
+        html = "".join(x for _, x in sorted([*parts, *((rng.random(), b) for b in shared)]))
+        rows.append((k, "https://a.org/p", f'<body class="has-sidebar"><header>H</header>{html}<footer>F</footer></body>', "x", {"k": 1}))
+        want[k] = "\n".join(x[3:-4] for _, x in sorted(parts))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _template map<string,int>")
+    got = templates.extract(df)
+    assert got.columns == ["page_id", "url", "_host", "_template", "text", "n_chars"]
+    assert {r.page_id: r.text for r in got.collect()} == want
