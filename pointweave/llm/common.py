@@ -17,6 +17,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def folded(df: DataFrame, *own: Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """A caller's columns (all, or ``columns``) as one struct named ``row``, and an operator's ``own`` beside it.
+
+    So names an operator makes for itself cannot clash with a caller's, whatever these are.
+    """
+    names = df.columns if columns is None else columns
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *own)
+
+
+def unfolded(columns: Sequence[str], row: str = "row") -> list[Column]:
+    """The caller's columns again."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text as a long; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import folded, unfolded
 from pointweave.session import cut
 
 #: bits of one bitmap row, as Spark's bitmap functions have them
@@ -109,19 +110,19 @@ def classify_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns; same rule as ``classify_copies``.
+    """The rows of ``df`` that stay, with their columns, whatever their names and types; same rule as ``classify_copies``.
 
     Rows without a possible equal are passed on as they are. The others are
     grouped by digest, and partial aggregation keeps one row of a text per task
     before anything is shuffled, so a text with very many copies stays cheap.
+    An empty table stays empty.
     """
-    hashed = df.withColumn("_sha", digest(text_col))
-    bloom = repeat_filter(hashed.select(F.col("_sha").alias("text_sha256")))
-    flagged = flag_members(hashed, bloom, "_sha")
-    alone = flagged.where("not _maybe").select(*[F.col(f"`{c}`") for c in df.columns])
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    stay = flagged.where("_maybe").groupBy("_sha").agg(F.max_by(row, F.struct(F.col(id_col).isNotNull(), F.col(id_col))).alias("_row"))
-    return alone.unionByName(stay.select("_row.*"))
+    hashed = folded(df, F.col(id_col).alias("id"), digest(text_col).alias("sha"))
+    bloom = repeat_filter(hashed.select(F.col("sha").alias("text_sha256")))
+    flagged = flag_members(hashed, bloom, "sha")
+    alone = flagged.where("not _maybe").select("row")
+    stay = flagged.where("_maybe").groupBy("sha").agg(F.max_by("row", F.struct(F.col("id").isNotNull(), "id")).alias("row"))
+    return alone.unionByName(stay.select("row")).select(*unfolded(df.columns))
 
 
 ORACLE = """

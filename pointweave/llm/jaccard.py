@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.blocks import connected, forest_edges, run_groups, with_block_pairs
+from pointweave.llm.common import folded, unfolded
 from pointweave.llm.dedup import flag_members, member_filter
 from pointweave.llm.shingles import HASHES, distinct_sets, minhashes, shingle_arrays
 from pointweave.session import cut
@@ -248,13 +249,17 @@ def near_duplicates(
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the first, by id, of their class; same columns."""
-    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("_text_key").alias("_gone_key"))
+    """The rows of ``df`` that are the first, by id, of their class; same columns, whatever their names and types.
+
+    Null, empty and blank texts stay, and so do all rows that tie in id and text
+    with the first of their class; an empty table stays empty.
+    """
+    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone_id"), F.col("_text_key").alias("gone_key"))
     gone = cut(gone.distinct(), "gone")
-    keyed = df.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_sha", _row_digest(id_col, "_key"))
+    keyed = folded(df, F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     # rows that are certainly not among those pass straight on; the filter's size is bounded
-    flagged = flag_members(keyed, member_filter(gone.withColumn("_sha", _row_digest("_gone", "_gone_key")), "_sha"), "_sha")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    sure, maybe = flagged.where("not _maybe").select(*columns), flagged.where("_maybe")
-    left = maybe.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
-    return sure.unionByName(left.select(*columns))
+    bloom = member_filter(gone.withColumn("sha", _row_digest("gone_id", "gone_key")), "sha")
+    flagged = flag_members(keyed.withColumn("sha", _row_digest("id", "key")), bloom, "sha")
+    sure, maybe = flagged.where("not _maybe").select("row"), flagged.where("_maybe")
+    left = maybe.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    return sure.unionByName(left.select("row")).select(*unfolded(df.columns))

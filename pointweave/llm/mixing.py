@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import key_block, running_total, spread_key, word_count
+from pointweave.llm.common import folded, key_block, running_total, spread_key, unfolded, word_count
 from pointweave.session import cut
 
 #: no source and no document is used more often than this
@@ -110,22 +110,26 @@ def schedule(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: the rows of ``df``, each as often as the schedule takes it, with their columns."""
+    """The mixed corpus: the rows of ``df``, each as often as the schedule takes it, with their columns, whatever their names and types.
+
+    Null texts have no words, so the mix never takes them; null sources form one
+    source; an empty table stays empty. Rows that tie in id and text share their
+    turns: the one that comes last in JSON stands for all of them.
+    """
     plan = schedule(df, id_col, text_col, source_col)
     totals = cut(
-        plan.groupBy(F.col(id_col).alias("_id"), F.col("_text_key").alias("_tk"), F.col("size").alias("_size"))
-        .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-        .where("_times > 0"),
+        plan.groupBy(F.col(id_col).alias("total_id"), F.col("_text_key").alias("total_key"))
+        .agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+        .where("times > 0"),
         "totals",
     )
-    keyed = df.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = folded(df, F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     # the totals grow with the corpus, so they are never sent whole to the executors
-    found = keyed.join(totals.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    single = found.where("_rows = 1").select(*columns, "_times")
-    # rows that tie in id and text share their turns; one of them stands for all
-    tied = found.where("_rows > 1").groupBy("_id", "_tk").agg(F.max(F.struct(*columns)).alias("_row"), F.max("_times").alias("_times")).select("_row.*", "_times")
-    return single.unionByName(tied).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_turn", "_times")
+    found = keyed.join(totals.hint("merge"), F.col("id").eqNullSafe(F.col("total_id")) & (F.col("key") == F.col("total_key")))
+    single = found.where("rows = 1").select("row", "times")
+    tied = found.where("rows > 1").groupBy("id", "key").agg(F.max_by("row", F.to_json("row")).alias("row"), F.max("times").alias("times"))
+    turns = single.unionByName(tied.select("row", "times")).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return turns.select(*unfolded(df.columns))
 
 
 ORACLE = r"""

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import folded, unfolded
 from pointweave.session import cut
 
 #: labelled rows that are learned from, at most; a repeatable choice by hash
@@ -280,23 +281,23 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     made = ("score", "predicted", "toxic_clauses")
     kept = [c for c in df.columns if c not in made]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(text_col, F.lit("")).alias("_text"))
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", "double").add("predicted", "integer").add("toxic_clauses", "integer")
-    n, clauses = len(kept), FEATURES.index("clauses")
+    source = folded(df, F.coalesce(text_col, F.lit("")).alias("text"), columns=kept)
+    schema = source.select("row").schema.add("score", "double").add("predicted", "integer").add("toxic_clauses", "integer")
+    clauses = FEATURES.index("clauses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.lexicon)
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column(n).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
+            x = np.array([scorer.features(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
             p = model.probability(x)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:n],
+                    batch.column(0),
                     pa.array(p, pa.float64()),
                     pa.array((p >= 0.5).astype(np.int32), pa.int32()),
                     pa.array(np.rint(np.expm1(x[:, clauses])).astype(np.int32), pa.int32()),
                 ],
-                names=[*kept, *made],
+                names=["row", *made],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*unfolded(kept), *made)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import folded, unfolded
 from pointweave.session import cut
 
 #: fixed values: the rules of the registered query (verdict, host, path)
@@ -55,7 +56,7 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str =
     host, path = split_url(url_col)
     made = {"host", "path", "rule", "verdict"}
     kept = [c for c in df.columns if c not in made]
-    split = df.withColumn("_host", host).withColumn("_path", path)
+    split = folded(df, host.alias("_host"), path.alias("_path"), columns=kept)
     rules = cut(
         rules.where("rule_host is not null and rule_path is not null").select(
             "verdict",
@@ -105,7 +106,7 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str =
     )
     judged = split.join(cut(found, "verdicts"), ["_host", "_path"], "left")
     return judged.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *unfolded(kept),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("_best.rule").alias("rule"),
