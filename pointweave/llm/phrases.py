@@ -260,70 +260,114 @@ def _same_words(ids: np.ndarray, at: np.ndarray, group: np.ndarray, heads: np.nd
     return all(np.array_equal(ids[at + k], ids[heads[group] + k]) for k in range(n))
 
 
-def distinct_phrases(words: Words, n: int, at: np.ndarray, hashes: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the different phrases among those that begin at ``at``, and how often each occurs there.
+def distinct_phrases(words: Words, n: int, at: np.ndarray, hashes: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the different phrases among those that begin at ``at``, how often each occurs there, and its hash.
 
     Sorted by hash; the words themselves decide, so equal hashes of different phrases do no harm.
     """
     order = np.argsort(hashes, kind="stable")
     at, hashes = at[order], hashes[order]
     new = np.append(True, hashes[1:] != hashes[:-1])
-    heads, group = at[new], np.cumsum(new) - 1
+    heads, key, group = at[new], hashes[new], np.cumsum(new) - 1
     if not (_same_words(words.ids, at, group, heads, n) and np.array_equal(lang[words.doc[at]], lang[words.doc[heads[group]]])):
         rows = np.column_stack([lang[words.doc[at]], *[words.ids[at + k] for k in range(n)]])
         _, first, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
-        heads, group = at[first], group.ravel()
-    return heads, np.bincount(group, minlength=len(heads))
-
-
-def exact_counts(texts: DataFrame, longest: int, pairs, known, slice_of: tuple[int, int]) -> DataFrame:
-    """(lang, n, phrase, a) per task, for phrases whose keys may be in ``known`` and fall into the slice."""
+        heads, key, group = at[first], hashes[first], group.ravel()
+    return heads, np.bincount(group, minlength=len(heads)), key
+
+
+COUNTED = ["lang", "n", "phrase", "a"]
+
+
+def _summed(held: list[pa.RecordBatch], by: list[str]) -> pa.Table:
+    table = pa.Table.from_batches(held).group_by(by, use_threads=False).aggregate([("a", "sum")])
+    return table.select([*by, "a_sum"]).rename_columns([*by, "a"])
+
+
+def _in_bounds(found: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The batches' rows summed; more than one table only where more different rows than HELD come together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in found:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > HELD:
+            table = _summed(held, by)
+            held, rows = table.to_batches(), table.num_rows
+            if rows > HELD // 2:  # summing frees too little: what is there goes on
+                yield table
+                held, rows = [], 0
+    if held:
+        yield _summed(held, by)
+
+
+def _stretch_counts(batches: Iterator[pa.RecordBatch], longest: int, short: Filter, keep: Filter, number: int, slices: int, parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        salts = _salts(batch.column(0))
+        codes = batch.column(0).dictionary_encode()
+        lang_ids, lang_names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
+        for words in cut_words(batch.column(1), BETWEEN, ENDS, lower=True):
+            lang = lang_ids[words.rows]
+            for n, at, hashes in windows(words, salts[words.rows], longest, short):
+                keys = keys_of(hashes)
+                stays = keep(keys) & (keys % np.uint64(slices) == np.uint64(number))
+                if not stays.any():
+                    continue
+                heads, counts, key = distinct_phrases(words, n, at[stays], hashes[stays], lang)
+                taken = [words.vocabulary.take(pa.array(words.ids[heads + k])) for k in range(n)]
+                phrase = taken[0] if n == 1 else pc.binary_join_element_wise(*taken, " ")
+                part = ((keys_of(key) * np.uint64(parts)) >> np.uint64(KEY_BITS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part),
+                        lang_names.take(pa.array(lang[words.doc[heads]])),
+                        pa.array(np.full(len(heads), n, dtype=np.int32)),
+                        phrase.cast(pa.string()),
+                        pa.array(counts.astype(np.int64)),
+                    ],
+                    names=["part", *COUNTED],
+                )
+
+
+def exact_counts(texts: DataFrame, threshold: int, longest: int, parts: int, pairs, known, slice_of: tuple[int, int]) -> DataFrame:
+    """(lang, n, phrase, a) of the phrases with ``threshold`` occurrences whose keys may be in ``known`` and fall into the slice.
+
+    A task sums what it finds, phrase by phrase, and hands each hash partition
+    its part as one compressed piece; a partition adds the pieces up.
+    """
     number, slices = slice_of
-    names = ["lang", "n", "phrase", "a"]
 
-    def summed(held: list[pa.RecordBatch]) -> pa.Table:
-        table = pa.Table.from_batches(held).group_by(names[:3], use_threads=False).aggregate([("a", "sum")])
-        return table.select([*names[:3], "a_sum"]).rename_columns(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        short, keep = (Filter(np.frombuffer(x.value, dtype=np.uint8)) for x in (pairs, known))
+        for table in _in_bounds(_stretch_counts(batches, longest, short, keep, number, slices, parts), ["part", *COUNTED[:3]]):
+            table = table.sort_by("part").combine_chunks()
+            part = table["part"].to_numpy()
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+            pieces = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema.remove(0), options=options) as writer:
+                    writer.write_table(table.slice(a, b - a).drop_columns("part"))
+                pieces.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(pieces, pa.binary())], names=["part", "piece"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (x for batch in batches for piece in batch.column(1) for x in pa.ipc.open_stream(piece.as_buffer()))
         held: list[pa.RecordBatch] = []
-        for found in stretches(batches):
-            held.append(found)
-            if sum(x.num_rows for x in held) > HELD:
-                held = summed(held).to_batches()
-                if sum(x.num_rows for x in held) > HELD // 2:  # summing frees too little: what is there goes on to Spark's sums
-                    yield from held
-                    held = []
+        rows, limit = 0, HELD
+        for piece in pieces:
+            held.append(piece)
+            rows += piece.num_rows
+            if rows > limit:
+                table = _summed(held, COUNTED[:3])
+                held, rows = table.to_batches(), table.num_rows
+                limit = max(HELD, 2 * rows)
         if held:
-            yield from summed(held).to_batches()
+            total = _summed(held, COUNTED[:3])
+            yield from total.filter(pc.greater_equal(total["a"], threshold)).to_batches()
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, keep = (Filter(np.frombuffer(x.value, dtype=np.uint8)) for x in (pairs, known))
-        for batch in batches:
-            salts = _salts(batch.column(0))
-            codes = batch.column(0).dictionary_encode()
-            lang_ids, lang_names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
-            for words in cut_words(batch.column(1), BETWEEN, ENDS, lower=True):
-                lang = lang_ids[words.rows]
-                for n, at, hashes in windows(words, salts[words.rows], longest, short):
-                    keys = keys_of(hashes)
-                    stays = keep(keys) & (keys % np.uint64(slices) == np.uint64(number))
-                    if not stays.any():
-                        continue
-                    heads, counts = distinct_phrases(words, n, at[stays], hashes[stays], lang)
-                    taken = [words.vocabulary.take(pa.array(words.ids[heads + k])) for k in range(n)]
-                    phrase = taken[0] if n == 1 else pc.binary_join_element_wise(*taken, " ")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            lang_names.take(pa.array(lang[words.doc[heads]])),
-                            pa.array(np.full(len(heads), n, dtype=np.int32)),
-                            phrase.cast(pa.string()),
-                            pa.array(counts.astype(np.int64)),
-                        ],
-                        names=names,
-                    )
-
-    return texts.mapInArrow(run, "lang string, n int, phrase string, a long")
+    return texts.mapInArrow(count, "part int, piece binary").repartition("part").mapInArrow(add, "lang string, n int, phrase string, a long")
 
 
 def frequent_phrases(
@@ -350,10 +394,9 @@ def frequent_phrases(
     counted = None
     for number in range(slices):
         known = pairs if longest <= 2 and slices == 1 else shared_filter(keys.where(F.col("key") % slices == number))
-        part = exact_counts(texts, longest, pairs, known, (number, slices))
+        part = exact_counts(texts, threshold, longest, parts, pairs, known, (number, slices))
         counted = part if counted is None else counted.unionByName(part)
-    total = counted.groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= threshold)
-    return cut(total, "phrases"), cut(totals, "words")
+    return cut(counted, "phrases"), cut(totals, "words")
 
 
 def _words(of: str, start: Column, length: Column) -> Column:

@@ -127,7 +127,7 @@ def test_counters_are_packed_without_loss():
 
 def test_equal_hashes_of_different_phrases_do_no_harm():
     w = next(words.cut_words(pa.array(["a b a b c a b"]), phrases.BETWEEN, phrases.ENDS))
-    heads, counts = phrases.distinct_phrases(w, 2, np.arange(6), np.zeros(6, np.uint64), np.zeros(1, np.int64))
+    heads, counts, _ = phrases.distinct_phrases(w, 2, np.arange(6), np.zeros(6, np.uint64), np.zeros(1, np.int64))
     found = {tuple(w.vocabulary[int(w.ids[h + k])].as_py() for k in range(2)): int(c) for h, c in zip(heads, counts)}
     assert found == {("a", "b"): 3, ("b", "a"): 1, ("b", "c"): 1, ("c", "a"): 1}
 
