@@ -166,7 +166,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _salts(langs: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest((x or "und").encode()) for x in langs.to_pylist()], dtype=np.uint64)
+    # another seed than words have: the word "es" in "en" is not the word "en" in "es"
+    return np.array([xxhash.xxh3_64_intdigest((x or "und").encode(), seed=1) for x in langs.to_pylist()], dtype=np.uint64)
 
 
 def summaries(texts: DataFrame, lengths: range, parts: int, pairs=None) -> DataFrame:

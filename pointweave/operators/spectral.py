@@ -1,78 +1,169 @@
-"""Smallest eigenpairs of a working cloud's normalised Laplacian, and heat-kernel signatures.
+"""Smallest eigenpairs of a cloud's normalised Laplacian, and heat-kernel signatures.
 
-A working cloud is usually a sample (10,000 points), so its sparse matrix is a
-few megabytes: clouds are spread over tasks and each is solved inside one,
-whatever its size.
-Everything after the eigenpairs is Catalyst.
+Chebyshev-filtered subspace iteration for all clouds at once. A cloud's vectors
+are spread over row blocks of bounded size; a filter step is one exchange of
+vector rows between blocks, orthogonalisation and Ritz values come from Gram
+sums that Spark adds up, and only matrices of the subspace's width meet in one
+task. Everything after the eigenpairs is Catalyst.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DENSE_POINTS = 2500
-
-
-def _filtered_subspace(src, dst, val, n, k, tol=1e-8, rounds=200, degree=24):
-    """Smallest ``k`` eigenpairs by Chebyshev-filtered subspace iteration (spectrum in [0, 2]); raises where they don't settle."""
-    order = np.lexsort((dst, src))
-    src, dst, val = src[order], dst[order], val[order]
-    starts = np.searchsorted(src, np.arange(n))  # every row has its diagonal, so no row is empty
-
-    def apply(x):
-        out = np.empty_like(x)
-        for at in range(0, x.shape[1], 16):  # a few vectors at once, so the products stay small
-            out[:, at : at + 16] = np.add.reduceat(val[:, None] * x[dst, at : at + 16], starts, axis=0)
-        return out
-
-    width = min(n, k + max(10, k // 5))
-    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((n, width)))[0]
-    values = np.sort(np.linalg.eigvalsh(basis.T @ apply(basis)))
-    previous = None
-    for _ in range(rounds):
-        cut_at = min(max(values[-1] * 1.0, 1e-6), 1.9)
-        half, mid = (2.0 - cut_at) / 2.0, (2.0 + cut_at) / 2.0
-        a, b = basis, (apply(basis) - mid * basis) / half
-        for _ in range(degree - 1):
-            a, b = b, 2.0 * (apply(b) - mid * b) / half - a
-            scale = np.abs(b).max()
-            a, b = a / scale, b / scale
-        basis = np.linalg.qr(b)[0]
-        values, turn = np.linalg.eigh(basis.T @ apply(basis))
-        basis = basis @ turn
-        if previous is not None and np.abs(values[:k] - previous).max() <= tol:
-            return values[:k], basis[:, :k]
-        previous = values[:k]
-    raise ArithmeticError(f"the {k} smallest eigenvalues of {n} points did not settle in {rounds} rounds")
-
-
-def _eigen(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    ids, src = np.unique(pdf["src"].to_numpy(), return_inverse=True)
-    n = len(ids)
-    dst, val, k = np.searchsorted(ids, pdf["dst"].to_numpy()), pdf["value"].to_numpy(dtype=float), min(k, n - 1)
-    if n <= DENSE_POINTS:
-        dense = np.zeros((n, n))
-        np.add.at(dense, (src, dst), val)
-        values, vectors = np.linalg.eigh(dense)
-        values, vectors = values[:k], vectors[:, :k]
+from pointweave.operators import rowblocks as B
+from pointweave.session import cut, discard
+
+#: steps of a filter at most, how much it may favour the smallest value (so that Gram sums keep their digits), and rounds at most
+DEGREE, FAVOUR, ROUNDS = 40, 1e6, 80
+#: a cloud is done when the vectors before its last filter had residuals below this; the filter then cuts them much further
+TOLERANCE = 1e-5
+#: the first filter, on random vectors: steps, and what it damps
+FIRST_DEGREE, FIRST_HIGH = 8, 1.0
+#: first place of the terms that are sums of squared residuals
+RESIDUAL = -1
+
+
+def _width(n: int, k: int) -> int:
+    return min(n, k + max(10, k // 5))
+
+
+def _filter(k: int):
+    """A block's turn: rotate its vectors as ordered, go through the filter as far as messages allow, then hold its Gram terms."""
+
+    def turn(own: dict, messages: dict[int, np.ndarray], order) -> Iterator[tuple[int, int, bytes]]:
+        if order is not None:
+            vectors = own["vectors"] @ order["turn"]
+            if order["done"]:
+                own = {"block": own["block"], "result": {"ids": own["ids"], "values": order["values"], "vectors": vectors}}
+            else:
+                own.update(vectors=vectors, ritz=order["values"], degree=order["degree"], high=order["high"], step=0, residual=None)
+        elif "vectors" not in own and "result" not in own:
+            rng = np.random.default_rng([zlib.crc32(own["cloud"].encode()), own["block"]])
+            start = rng.standard_normal((len(own["ids"]), _width(own["n"], k)))
+            own.update(vectors=start, ritz=None, degree=FIRST_DEGREE, high=FIRST_HIGH, step=0, residual=None)
+        if "result" in own or own["step"] > own["degree"]:
+            yield B.keep(own)
+            return
+        half, mid = (2.0 - own["high"]) / 2.0, (2.0 + own["high"]) / 2.0
+        while not own["halo"] or messages:
+            x = own["vectors"]
+            y = B.product(own, x, messages)
+            if own["step"] == 0 and own["ritz"] is not None:
+                own["residual"] = ((y - x * own["ritz"]) ** 2).sum(axis=0)
+            own["step"] += 1
+            if own["step"] > own["degree"]:
+                own.update(before=None, gram=x.T @ x, energy=x.T @ y)
+                yield B.keep(own)
+                return
+            shifted = (y - mid * x) / half
+            own["before"], own["vectors"] = x, shifted if own["step"] == 1 else 2.0 * shifted - own["before"]
+            messages = {}
+        yield from B.send(own, own["vectors"])
+        yield B.keep(own)
+
+    return turn
+
+
+def _give(own: dict) -> Iterator[tuple]:
+    if "result" in own:
+        yield B.whole(B.RESULT, own["result"])
+        return
+    gram, energy = own.pop("gram"), own.pop("energy")
+    i, j = np.triu_indices(len(gram))
+    yield B.TERM, None, i, j, gram[i, j], energy[i, j]
+    if own["residual"] is not None:
+        n = len(own["residual"])
+        yield B.TERM, None, np.full(n, RESIDUAL), np.arange(n), own["residual"], np.zeros(n)
+    yield B.whole(B.STATE, own)
+
+
+def _ritz(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ritz values of one cloud from its summed Gram terms, and what its blocks do next."""
+    k, i, j = int(pdf["k"].iloc[0]), pdf["i"].to_numpy(), pdf["j"].to_numpy()
+    gram, own = np.zeros((2, pdf["j"].max() + 1, pdf["j"].max() + 1)), i >= 0
+    for m, c in zip(gram, ("g", "h")):
+        m[i[own], j[own]] = pdf[c].to_numpy()[own]
+        m[j[own], i[own]] = pdf[c].to_numpy()[own]
+    scale = 1.0 / np.sqrt(np.maximum(np.diag(gram[0]), 1e-300))
+    sizes, axes = np.linalg.eigh(gram[0] * scale[:, None] * scale)
+    alive = sizes > 1e-13 * sizes[-1]
+    basis = scale[:, None] * axes[:, alive] / np.sqrt(sizes[alive])
+    if basis.shape[1] < k:
+        raise ArithmeticError(f"the vectors of cloud {pdf['cloud_id'].iloc[0]} lost their independence")
+    values, turn = np.linalg.eigh(basis.T @ gram[1] @ basis)
+    squares = pdf["g"].to_numpy()[i == RESIDUAL][np.argsort(j[i == RESIDUAL])][:k]
+    worst = float(np.sqrt(np.maximum(squares, 0.0)).max(initial=0.0)) if (i == RESIDUAL).any() else math.inf
+    done = worst <= TOLERANCE
+    high = float(min(max(values[-1], 1e-6), 1.9))
+    degree = max(2, min(DEGREE, int(math.acosh(FAVOUR) / math.acosh((2.0 + high) / (2.0 - high)))))
+    kept = slice(k) if done else slice(None)
+    told = {"turn": (basis @ turn)[:, kept], "values": np.clip(values[kept], 0.0, 2.0), "done": done, "degree": degree, "high": high}
+    return pd.DataFrame({"cloud_id": [pdf["cloud_id"].iloc[0]], "component": [0], "data": [B.freeze(told)], "worst": [worst], "degree": [degree]})
+
+
+EIGENPAIRS = "cloud_id string, point_id long, lambdas array<double>, phi array<double>"
+
+
+def _point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cloud, data in zip(*(batch.column(c).to_pylist() for c in range(2))):
+            found = B.thaw(data)
+            n, k = found["vectors"].shape
+            lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, np.ascontiguousarray(x).ravel()) for x in (np.tile(found["values"], (n, 1)), found["vectors"])]
+            yield pa.RecordBatch.from_arrays([pa.array([cloud] * n), pa.array(found["ids"]), *lists], names=["cloud_id", "point_id", "lambdas", "phi"])
+
+
+def smallest_eigenpairs(laplacian: DataFrame, k: int = 100, points: DataFrame | None = None, block_rows: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """(cloud_id, point_id, lambdas, phi): the ``k`` smallest eigenvalues of the cloud (one fewer than its points at most) and this point's eigenvector entries.
+
+    ``laplacian`` is symmetric with a diagonal in every row and a spectrum in
+    [0, 2]. ``points`` (with x, y, z) lets blocks be pieces of space, so that
+    they exchange little; without it they are ranges of ids. Raises where a
+    cloud doesn't settle within ``rounds``.
+    """
+    component = F.lit(0).cast("long").alias("component")
+    entries = cut(laplacian.select("cloud_id", component, "src", "dst", "value"), "entries")
+    if points is None:
+        ordered = entries.select("cloud_id", "component", F.col("src").alias("point_id"), F.col("src").alias("at")).distinct()
+    else:
+        ordered = B.space_order(points).select("cloud_id", component, "point_id", "at")
+    table = B.build_blocks(entries, cut(B.row_places(cut(ordered, "ordered"), block_rows or B.BLOCK_ROWS), "places"))
+    blocks = cut(table.select(*B.KEY, "block", "blocks", F.least(F.col("n") - 1, F.lit(k)).cast("int").alias("k")), "block_list")
+    several, number = blocks.agg(F.max("blocks"), F.count(F.lit(1))).first()
+    wanted = blocks.groupBy(*B.KEY).agg(F.first("k").alias("k"))
+    rows, products, done, old = B.state(table), FIRST_DEGREE + 1, [], []
+    for _ in range(rounds if number else 0):
+        out = B.release(B.chain(rows, blocks, _filter(k), products if several > 1 else 0, B.task_count(number)), _give)
+        counts = {name: F.count(F.when(F.col("kind") == kind, 1)) for name, kind in (("going", B.STATE), ("ready", B.RESULT))}
+        out = cut(out, "round", **counts)
+        discard(*old)
+        if out.seen["ready"]:
+            done.append(out.where(F.col("kind") == B.RESULT).select("cloud_id", "data"))
+        old = [] if out.seen["ready"] else [out]
+        if not out.seen["going"]:
+            break
+        sums = out.where(F.col("kind") == B.TERM).groupBy(*B.KEY, "i", "j").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        solved = sums.join(wanted, B.KEY).groupBy(*B.KEY).applyInPandas(_ritz, "cloud_id string, component long, data binary, worst double, degree int")
+        told = cut(solved, "told", degree=F.max("degree"), worst=F.max("worst"))
+        products = told.seen["degree"] + 1
+        rows = B.state(out.where(F.col("kind") == B.STATE)).unionByName(B.orders(blocks, told))
     else:
-        values, vectors = _filtered_subspace(src, dst, val, n, k)
-    values = np.clip(values, 0.0, 2.0)
-    return pd.DataFrame(
-        {"cloud_id": pdf["cloud_id"].iloc[0], "point_id": ids, "lambdas": [values] * n, "phi": list(vectors)}
-    )
-
-
-def smallest_eigenpairs(laplacian: DataFrame, k: int = 100) -> DataFrame:
-    """(cloud_id, point_id, lambdas, phi): eigenvalues of the cloud and this point's eigenvector entries."""
-    return laplacian.groupBy("cloud_id").applyInPandas(
-        lambda pdf: _eigen(pdf, k), "cloud_id string, point_id long, lambdas array<double>, phi array<double>"
-    )
+        if number:
+            raise ArithmeticError(f"the {k} smallest eigenvalues did not settle in {rounds} rounds: residual {told.seen['worst']:.3g}")
+        return laplacian.sparkSession.createDataFrame([], EIGENPAIRS)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return cut(found.mapInArrow(_point_rows, EIGENPAIRS), "eigenpairs")
 
 
 def heat_signatures(pairs: DataFrame, scales: int = 3, eps: float = 1e-6) -> DataFrame:

@@ -104,10 +104,29 @@ def _scaled(spark, d):
 def hks_features(spark, d):
     p, e = _scaled(spark, d)
     lap = surface.normalized_laplacian(p, surface.gaussian_weights(e))
-    h = spectral.heat_signatures(spectral.smallest_eigenpairs(lap, Settings().eigenpairs))
+    h = spectral.heat_signatures(spectral.smallest_eigenpairs(lap, Settings().eigenpairs, p))
     return h.select(*IDS, *[r6(f"hks{i}").alias(f"hks{i}") for i in range(3)])
 
 
+@register("eigen_residuals", query([cloud("cust")], "SELECT cloud_id, least(60, count(*) - 1)::INT AS pairs, true AS rising, true AS solved, true AS orthonormal FROM p GROUP BY 1"))
+def eigen_residuals(spark, d):
+    """Eigenpairs by what defines them: L phi = lambda phi, and vectors of unit length at right angles (to those with near values)."""
+    p, e = _scaled(spark, d)
+    lap = cut(surface.normalized_laplacian(p, surface.gaussian_weights(e)), "laplacian")
+    pairs = spectral.smallest_eigenpairs(lap, 60, p)
+    rising = pairs.groupBy("cloud_id").agg(F.first(F.size("lambdas")).alias("pairs"), F.first(F.col("lambdas") == F.array_sort("lambdas")).alias("rising"))
+    entry = pairs.select(*IDS, F.posexplode(F.arrays_zip("lambdas", "phi")).alias("pair", "v")).select(*IDS, "pair", "v.lambdas", "v.phi")
+    image = lap.join(entry.select("cloud_id", F.col("point_id").alias("dst"), "pair", F.col("phi").alias("there")), ["cloud_id", "dst"])
+    image = image.groupBy("cloud_id", F.col("src").alias("point_id"), "pair").agg(F.sum(F.col("value") * F.col("there")).alias("image"))
+    miss = entry.join(image, [*IDS, "pair"]).withColumn("miss", F.col("image") - F.col("lambdas") * F.col("phi"))
+    worst = miss.groupBy("cloud_id", "pair").agg(F.sqrt(F.sum(F.col("miss") * F.col("miss"))).alias("r")).groupBy("cloud_id").agg((F.max("r") < 1e-6).alias("solved"))
+    products = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda o: F.zip_with("phi", F.slice("phi", o + 1, F.greatest(F.size("phi") - o, F.lit(0))), lambda a, b: a * b))
+    angle = pairs.select("cloud_id", F.posexplode(products).alias("offset", "v")).select("cloud_id", "offset", F.posexplode("v").alias("pair", "v")).where("v is not null")
+    angle = angle.groupBy("cloud_id", "offset", "pair").agg((F.abs(F.sum("v") - (F.col("offset") == 0).cast("int"))).alias("off"))
+    angle = angle.groupBy("cloud_id").agg((F.max("off") < 1e-8).alias("orthonormal"))
+    return rising.join(worst, "cloud_id").join(angle, "cloud_id")
+
+
 @register("restore_points")
 def restore_points(spark, d):
     p, e = _scaled(spark, d)

@@ -57,7 +57,7 @@ def evidence(st: Stages, s: Settings) -> Stages:
     varied = surface.normalized_laplacian(st.points, surface.variation_weights(st.edges, variation, s.va_gamma))
     hks = []
     for name, lap in (("p", pure), ("v", varied)):
-        h = spectral.heat_signatures(spectral.smallest_eigenpairs(lap, s.eigenpairs))
+        h = spectral.heat_signatures(spectral.smallest_eigenpairs(lap, s.eigenpairs, st.points))
         hks.append(cut(h.withColumnsRenamed({f"hks{i}": f"{name}{i}" for i in range(3)}), "hks"))
     rows = variation.withColumn("sv_up", F.sqrt(F.greatest("sv", F.lit(0.0)))).join(hks[0], IDS).join(hks[1], IDS)
     values = ["sv_up", "p0", "p1", "p2", "v0", "v1", "v2"]

@@ -96,17 +96,47 @@ def test_heat_signatures_match_dense_numpy(spark):
         assert np.allclose(h[f"hks{i}"], (phi**2) @ np.exp(-lam * t[i]), atol=1e-8)
 
 
-def test_filtered_subspace_matches_eigh():
-    rng = np.random.default_rng(7)
-    n = 300
-    a = np.triu((rng.random((n, n)) > 0.97).astype(float), 1)
+def _random_laplacian(spark, n, name="a", seed=7, share=0.97):
+    rng = np.random.default_rng(seed)
+    a = np.triu((rng.random((n, n)) > share).astype(float), 1)
     a[np.arange(n - 1), np.arange(1, n)] = 1
     a = a + a.T
     d = a.sum(1)
     m = np.eye(n) - a / np.sqrt(np.outer(d, d))
     s, t = np.nonzero(m)
-    values, _ = spectral._filtered_subspace(s, t, m[s, t], n, 20)
-    assert np.allclose(values, np.linalg.eigvalsh(m)[:20], atol=1e-6)
+    return m, spark.createDataFrame(pd.DataFrame({"cloud_id": name, "src": s, "dst": t, "value": m[s, t]}))
+
+
+@pytest.mark.parametrize("block_rows", [37, 4096])
+def test_filtered_subspace_matches_eigh(spark, block_rows):
+    big, a = _random_laplacian(spark, 300)
+    tiny, b = _random_laplacian(spark, 5, "tiny", share=0.5)
+    got = spectral.smallest_eigenpairs(a.unionByName(b), 20, block_rows=block_rows).toPandas().sort_values("point_id")
+    for name, m, k in (("a", big, 20), ("tiny", tiny, 4)):
+        rows = got[got.cloud_id == name]
+        values, vectors = np.array(rows.lambdas.iloc[0]), np.vstack(rows.phi)
+        assert len(rows) == len(m) and np.allclose(values, np.linalg.eigvalsh(m)[:k], atol=1e-8)
+        assert np.abs(m @ vectors - vectors * values).max() < 1e-6 and np.allclose(vectors.T @ vectors, np.eye(k), atol=1e-8)
+
+
+def test_eigenpairs_of_one_large_cloud(spark):
+    """50,000 points in four parts that nothing connects, spread over 13 blocks: the value 0 four times, then a gap."""
+    n, part = 50_000, 12_500
+    rng = np.random.default_rng(1)
+    at = np.arange(n)
+    pairs = np.concatenate([np.column_stack([at, at // part * part + rng.permutation(part)[at % part]]) for _ in range(6)])
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
+    degree = np.bincount(pairs[:, 0], minlength=n)
+    off = -1 / np.sqrt(degree[pairs[:, 0]] * degree[pairs[:, 1]])
+    rows = pd.DataFrame({"cloud_id": "a", "src": np.append(pairs[:, 0], at), "dst": np.append(pairs[:, 1], at), "value": np.append(off, np.ones(n))})
+    got = spectral.smallest_eigenpairs(cut(spark.createDataFrame(rows)), 4).toPandas().sort_values("point_id")
+    assert len(got) == n and np.allclose(got.lambdas.iloc[0], 0, atol=1e-9)
+    vectors = np.vstack(got.phi)
+    assert np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-8)
+    # vectors of the value 0 are the roots of the degrees times one number for each part
+    shares = vectors / np.sqrt(degree)[:, None]
+    assert all(np.ptp(shares[k : k + part], axis=0).max() < 1e-7 for k in range(0, n, part))
 
 
 def test_restoring_a_flat_patch_moves_nothing_and_solvers_agree(spark, monkeypatch):
@@ -127,27 +157,28 @@ def test_restoring_a_flat_patch_moves_nothing_and_solvers_agree(spark, monkeypat
     assert abs(d[66] - 0.3) < 0.1 and d.drop(66).max() < 0.1
 
 
-def test_iterative_solvers_raise_without_convergence():
+def test_iterative_solvers_raise_without_convergence(spark):
     n = 300
     i = np.arange(n - 1)
     d = np.full(n, 2.0)
     d[[0, -1]] = 1
     off = -1 / np.sqrt(d[:-1] * d[1:])
     s, t, v = np.concatenate([np.arange(n), i, i + 1]), np.concatenate([np.arange(n), i + 1, i]), np.concatenate([np.ones(n), off, off])
+    lap = spark.createDataFrame(pd.DataFrame({"cloud_id": "a", "src": s, "dst": t, "value": v}))
     with pytest.raises(ArithmeticError):
-        spectral._filtered_subspace(s, t, v, n, 20, rounds=1)
+        spectral.smallest_eigenpairs(lap, 20, rounds=1)
     # not definite: conjugate gradients have no step to take
     with pytest.raises(ArithmeticError):
         R._conjugate_gradient(np.array([0, 1]), np.array([1, 0]), np.ones(2), np.array([[1.0] * 3, [-2.0] * 3]), np.arange(2), np.arange(2), False, 0.5)
 
 
-def test_large_clouds_have_eigenpairs():
+def test_a_hub_of_many_points_has_eigenpairs(spark):
     n = 20_001  # a star: eigenvalues 0, 1, ..., 1, 2
     hub, leaf = np.zeros(n - 1, dtype=int), np.arange(1, n)
     off = np.full(n - 1, -1 / np.sqrt(n - 1))
-    pdf = pd.DataFrame({"src": np.concatenate([np.arange(n), hub, leaf]), "dst": np.concatenate([np.arange(n), leaf, hub]), "value": np.concatenate([np.ones(n), off, off])})
-    got = spectral._eigen(pdf.assign(cloud_id="a"), 2)
-    assert len(got) == n and np.allclose(got.lambdas.iloc[0], [0, 1], atol=1e-6)
+    rows = {"cloud_id": "a", "src": np.concatenate([np.arange(n), hub, leaf]), "dst": np.concatenate([np.arange(n), leaf, hub]), "value": np.concatenate([np.ones(n), off, off])}
+    got = spectral.smallest_eigenpairs(spark.createDataFrame(pd.DataFrame(rows)), 2)
+    assert got.count() == n and np.allclose(got.first().lambdas, [0, 1], atol=1e-6)
 
 
 def test_the_fallback_holds_at_all_sizes(monkeypatch):
