@@ -13,7 +13,7 @@ from pointweave.operators import restore as R
 from pointweave.operators import sampling, spectral, surface
 from pointweave.plans import baselines, batch, pipeline
 from pointweave.plans.registry import r6, register
-from pointweave.plans.sqltext import cloud, graph, labels, query, rnd
+from pointweave.plans.sqltext import cloud, graph, labels, query, rnd, top_mask
 from pointweave.session import cut
 from pointweave.sources import tables as T
 
@@ -136,6 +136,28 @@ def restore_points(spark, d):
     return fields.select("cloud_id", "component", "point_id", r6("displacement").alias("displacement"), r6("stress").alias("stress"))
 
 
+@register(
+    "restore_residuals",
+    query([*graph("cust", 8), top_mask("x", 0.8), labels("mask")], "SELECT cloud_id, component, count(*) AS points, true AS solved, true AS moved FROM comp GROUP BY 1, 2", True),
+)
+def restore_residuals(spark, d):
+    """Restored regions by what defines them: the energy |L x|^2 + eps |x|^2 has no slope at any unknown."""
+    p, e = _scaled(spark, d)
+    parts = cut(G.mask_components(cut(N.percentile_mask(p, "x", 80.0, "kept").where("kept").select(*IDS), "mask"), e), "parts")
+    restored = cut(R.restore_regions(p, e, parts), "restored")
+    key, lap = ["cloud_id", "component"], cut(R.graph_laplacian(R.restoration_weights(e)), "laplacian")
+    rows = G.dilate(parts, e, 1, ["component"]).select(*key, F.col("point_id").alias("r"))
+    entry = rows.join(lap.select("cloud_id", F.col("src").alias("r"), F.col("dst").alias("point_id"), "value"), ["cloud_id", "r"])
+    entry = cut(entry.join(restored, [*key, "point_id"], "left").join(p, IDS), "entry")
+    image = entry.groupBy(*key, "r").agg(*[F.sum(F.col("value") * F.coalesce(f"r{a}", a)).alias(f"i{a}") for a in "xyz"])
+    slope = entry.where("rx is not null").join(image, [*key, "r"]).groupBy(*key, "point_id")
+    slope = slope.agg(*[(F.sum(F.col("value") * F.col(f"i{a}")) + 1e-8 * F.first(f"r{a}")).alias(f"g{a}") for a in "xyz"], F.sum(F.col("value") * F.col("value")).alias("scale"))
+    worst = F.max(F.greatest(*[F.abs(f"g{a}") for a in "xyz"]) / (F.col("scale") + 1e-8))
+    count = restored.groupBy(*key).agg(F.count(F.lit(1)).alias("points"), (F.max(F.abs("rx")) >= 0).alias("moved"))
+    solved = slope.groupBy(*key).agg((worst < 1e-6).alias("solved"))
+    return count.join(solved, key, "left").select(*key, "points", F.coalesce("solved", F.lit(True)).alias("solved"), "moved")
+
+
 @register("region_growing")
 def region_growing(spark, d):
     return baselines.region_growing(T.customer_cloud(spark, d), 12, 1, 16, 12, 20.0, 0.05)
