@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import sq_dist
+from pointweave.operators.blocksearch import self_search
 from pointweave.operators.octree import (
     CELL,
     FINE,
@@ -100,19 +101,23 @@ def knn_join(
     cap = cap or max(32, k + 1)
     base = points.select("cloud_id", "point_id", "x", "y", "z")
     spot = ["cloud_id", "x", "y", "z"]
-    if is_empty(base.groupBy(*spot).count().where(F.col("count") > k + 1)):
-        index = build_index(base, cap)
-        ask = index.points if self_join else queries
-        ask = ask.select("cloud_id", F.col("point_id").alias("src"), *[F.col(a).alias("q" + a) for a in "xyz"])
-        found = _search(ask, index, k, skip)
+    alone = is_empty(base.groupBy(*spot).count().where(F.col("count") > k + 1))
+    if alone and self_join:
+        return self_search(base, k, skip).select("cloud_id", "src", "dst", F.sqrt("d2").alias("dist"), "rank")
+    if alone:
+        ask = queries.select("cloud_id", F.col("point_id").alias("src"), *[F.col(a).alias("q" + a) for a in "xyz"])
+        found = _search(ask, build_index(base, cap), k, skip)
     else:
         first = F.row_number().over(Window.partitionBy(*spot).orderBy("point_id"))
         kept = cut(base.withColumn("rn", first).where(F.col("rn") <= k + 1).drop("rn"), "kept")
-        index = build_index(kept, cap)
         members = base if self_join else queries.select("cloud_id", "point_id", "x", "y", "z")
         places = members.groupBy(*spot).agg(F.min("point_id").alias("src"))
-        ask = places.withColumnsRenamed({a: "q" + a for a in "xyz"})
-        shared = _search(ask, index, k + 1 if skip else k, False)
+        if self_join:
+            # the first of the copies answers for all of them
+            shared = self_search(kept, k + 1 if skip else k, False).drop("rank")
+        else:
+            ask = places.withColumnsRenamed({a: "q" + a for a in "xyz"})
+            shared = _search(ask, build_index(kept, cap), k + 1 if skip else k, False)
         shared = shared.join(places, ["cloud_id", "src"]).select(*spot, "dst", "d2")
         found = members.select(*spot, F.col("point_id").alias("src")).join(shared, spot)
         if skip:

@@ -2,7 +2,8 @@ import numpy as np
 from helpers import brute_knn, cloud
 from pyspark.sql import functions as F
 
-from pointweave.operators import balls, neighbors as NB
+from pointweave.operators import balls, blocksearch, neighbors as NB
+from pointweave.session import cut
 
 
 def got(df):
@@ -59,3 +60,25 @@ def test_radius_join_counts(spark):
     xyz = rng.normal(size=(200, 3))
     n = NB.radius_join(cloud(spark, xyz), 0.7).groupBy("src").agg(F.count("*").alias("n")).toPandas().sort_values("src").n
     assert (n.to_numpy() == ((((xyz[:, None] - xyz[None]) ** 2).sum(-1)) <= 0.49).sum(1)).all()
+
+
+def test_search_over_many_blocks_equals_brute_force(spark):
+    """Dense spots, an outlier, a flat cloud and a tiny one together; ties by id."""
+    rng = np.random.default_rng(5)
+    clouds = {
+        "dense": np.concatenate([rng.normal(size=(250, 3)) * 1e-4, rng.normal(size=(150, 3)), [[500.0, 0, 0]]]),
+        "grid": np.array([[i % 15, i // 15, 0.0] for i in range(225)]),
+        "tiny": rng.normal(size=(3, 3)),
+    }
+    df = None
+    for name, xyz in clouds.items():
+        one = cloud(spark, xyz, name, rng.permutation(len(xyz)))
+        df = one if df is None else df.unionByName(one)
+    found = blocksearch.self_search(cut(df), 6, True, block_points=40).toPandas().sort_values(["cloud_id", "src", "rank"])
+    for name, part in df.toPandas().groupby("cloud_id"):
+        part = part.sort_values("point_id")
+        want = brute_knn(part[["x", "y", "z"]].to_numpy(), 6)
+        have = found[found.cloud_id == name].groupby("src")["dst"].apply(list).to_dict()
+        assert all(have[i] == want[i][: len(part) - 1] for i in range(len(part)))
+    blocks = blocksearch.space_blocks(df, 40).toPandas()
+    assert blocks.groupby("cloud_id").size().to_dict() == {"dense": 11, "grid": 6, "tiny": 1}
