@@ -48,6 +48,22 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
+def prefix_sums(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """One row per value of ``order`` with the running totals ``sums`` (name -> column) up to and including it.
+
+    Rows of equal ``order`` are added first; range partitions are added up by
+    themselves and shifted by the totals of those before, so no task sees all rows.
+    """
+    distinct = df.groupBy(F.col(order)).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    ranged = cut(distinct.repartitionByRange(order).withColumn("slice", F.spark_partition_id()), "prefix")
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("slice").agg(*[F.sum(name).alias(f"_{name}") for name in sums])  # one row per range partition
+    offsets = totals.select("slice", *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0.0)).alias(f"_{name}") for name in sums])
+    inside = Window.partitionBy("slice").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = ranged.select(order, "slice", *[F.sum(name).over(inside).alias(name) for name in sums])
+    return run.join(offsets, "slice").select(order, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums])
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],

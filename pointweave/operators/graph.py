@@ -100,11 +100,14 @@ def hop_distance(
     group: Sequence[str] = (),
     allowed: DataFrame | None = None,
     blocked: DataFrame | None = None,
+    owners: DataFrame | None = None,
 ) -> DataFrame:
     """Multi-source breadth-first hops: sources have hop 0; unreached points are absent.
 
     With ``group`` every group spreads on its own. ``allowed`` and ``blocked``
     limit what may be entered; they carry cloud_id, point_id and any group columns.
+    ``owners`` (cloud_id, point_id, own_low, own_high) names points that only the
+    group of that name (the single one in ``group``) may enter.
     """
     group = list(group)
     key = ["cloud_id", *group, "point_id"]
@@ -117,8 +120,11 @@ def hop_distance(
             nxt = nxt.join(allowed, [c for c in key if c in allowed.columns], "left_semi")
         if blocked is not None:
             nxt = nxt.join(blocked, [c for c in key if c in blocked.columns], "left_anti")
+        if owners is not None:
+            mine = (F.col("own_low") == F.col(group[0])) & (F.col("own_high") == F.col(group[0]))
+            nxt = nxt.join(owners, POINT, "left").where(F.col("own_low").isNull() | mine).select(*key)
         # on an undirected graph only the last two shells can be met again; sources may be anywhere
-        seen = rounds[-2:] if blocked is None and allowed is None else rounds
+        seen = rounds[-2:] if blocked is None and allowed is None and owners is None else rounds
         nxt = nxt.join(reduce(DataFrame.unionByName, seen).select(*key), key, "left_anti")
         front = cut(nxt.withColumn("hop", F.lit(hop)), "hop", rows=F.count(F.lit(1)))
         if not front.seen["rows"]:
@@ -452,12 +458,10 @@ def expand_closed(
     """
     key = ["cloud_id", label, "point_id"]
     closed = cut(closed.select(*key), "closed")
-    blocked = None
+    owners = None
     if block_others:
-        named = candidates.select(*POINT, F.col(label).alias("_own"))
-        every = closed.select("cloud_id", label).distinct()
-        blocked = cut(named.join(every, "cloud_id").where(F.col("_own") != F.col(label)).select(*key), "blocked")
-    reach = hop_distance(closed, edges, hops, [label], blocked=blocked).where("hop > 0")
+        owners = cut(candidates.groupBy(*POINT).agg(F.min(label).alias("own_low"), F.max(label).alias("own_high")), "owners")
+    reach = hop_distance(closed, edges, hops, [label], owners=owners).where("hop > 0")
     fresh = reach.join(closed.select(*POINT), POINT, "left_anti")
     owner = fresh.groupBy(*POINT).agg(F.min(F.struct(F.col("hop"), F.col(label))).alias("o"))
     added = owner.select("cloud_id", F.col(f"o.{label}").alias(label), "point_id", F.col("o.hop").alias("distance"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import ratio_or_zero
-from pointweave.functions.order_stats import percentiles
+from pointweave.functions.order_stats import percentiles, prefix_sums
 from pointweave.session import cut
 
 
@@ -147,17 +147,59 @@ def select_threshold(objective: DataFrame) -> DataFrame:
 
 
 def breakpoints(values: DataFrame, value: str = "d_p90") -> DataFrame:
-    """Every threshold at which a decision ``value < t`` can change: 0 and the next double after each value."""
-    import numpy as np
-    import pandas as pd
+    """Every threshold at which a decision ``value < t`` can change: 0 and the next double after each finite value."""
+    steps = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(next_double(F.col(value)).alias("threshold"))
+    zero = values.sparkSession.range(1).select(F.lit(0.0).alias("threshold"))
+    return steps.unionByName(zero).distinct()
 
-    @F.pandas_udf("double")
-    def following(v: pd.Series) -> pd.Series:
-        return pd.Series(np.nextafter(v.to_numpy(), np.inf))
 
-    steps = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
-    zero = values.sparkSession.range(1).select(F.lit(0.0).alias("threshold"))
-    return steps.select(following("v").alias("threshold")).unionByName(zero).distinct()
+def next_double(v: Column) -> Column:
+    """The smallest double above a finite, non-negative ``v``: the next bit pattern."""
+    # a double just above is at most one unit in the last place away; adding half of it rounds to even, so a whole unit is added
+    exponent = F.greatest(F.floor(F.log2(F.greatest(v, F.lit(2.0**-1022)))), F.lit(-1022))
+    steps = [F.pow(F.lit(2.0), e - 52) for e in (exponent - 1, exponent, exponent + 1)]
+    ahead = [v + s for s in steps]
+    return F.coalesce(*[F.when(a > v, a) for a in ahead])
+
+
+def threshold_curve(components: DataFrame, samples: DataFrame) -> DataFrame:
+    """(threshold, f1, iou): the category-balanced scores at every threshold of the components' ``d_p90``.
+
+    ``samples`` (category, group_key, variant, positives) are the development
+    samples with their true points; ``components`` (category, group_key, variant,
+    component, d_p90, tp, fp) what is accepted at threshold 0. A component stays
+    while ``d_p90 >= threshold``, so raising the threshold only removes whole
+    components and a sample's scores are steps at its own values. Steps are
+    weighted (variants of a group, groups of a category and categories count
+    alike) and summed up over all thresholds at once; no threshold is replayed.
+    """
+    key = ["category", "group_key", "variant"]
+    groups = samples.groupBy("category", "group_key").agg(F.count(F.lit(1)).alias("variants"))
+    cats = groups.groupBy("category").agg(F.count(F.lit(1)).alias("groups"))
+    weight = samples.join(groups, key[:2]).join(cats, "category")
+    weight = weight.select(*key, "positives", (1.0 / (F.col("variants") * F.col("groups") * max(1, cats.count()))).alias("weight"))
+    usable = components.where(F.col("d_p90").isNotNull() & ~F.isnan("d_p90"))
+    steps = usable.groupBy(*key, "d_p90").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    # what is left once every component up to this value has gone; values of a sample are a sample's own
+    later = Window.partitionBy(*key).orderBy("d_p90").rowsBetween(1, Window.unboundedFollowing)
+    left = steps.select(*key, next_double(F.col("d_p90")).alias("threshold"), *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(c) for c in ("tp", "fp")])
+    whole = steps.groupBy(*key).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    start = samples.select(*key).join(whole, key, "left").select(*key, F.lit(0.0).alias("threshold"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp")])
+    states = left.unionByName(start).join(weight, key)
+    missed = F.col("positives") - F.col("tp")
+    f1 = F.when(2 * F.col("tp") + F.col("fp") + missed == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + missed))
+    iou = F.when(F.col("tp") + F.col("fp") + missed == 0, 0.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp") + missed))
+    scored = states.select(*key, "threshold", "weight", f1.alias("f1"), iou.alias("iou"))
+    before = Window.partitionBy(*key).orderBy("threshold")
+    events = scored.select("threshold", *[((F.col(c) - F.coalesce(F.lag(c).over(before), F.lit(0.0))) * F.col("weight")).alias(c) for c in ("f1", "iou")])
+    return prefix_sums(events, "threshold", {"f1": "f1", "iou": "iou"})
+
+
+def fit_threshold(components: DataFrame, samples: DataFrame) -> DataFrame:
+    """The threshold with the best balanced F1, then IoU, then the smallest (threshold, f1, iou); scores that agree to 12 digits tie."""
+    curve = threshold_curve(components, samples)
+    best = F.max_by(F.struct("threshold", "f1", "iou"), F.struct(F.round("f1", 12), F.round("iou", 12), -F.col("threshold"))).alias("best")
+    return curve.agg(best).where("best is not null").select("best.threshold", "best.f1", "best.iou")
 
 
 def compare_runs(now: DataFrame, before: DataFrame, keys=("dataset", "category", "sample_id")) -> DataFrame:

@@ -26,18 +26,27 @@ class Batch:
 
 
 def read_truth(points: DataFrame, rows: DataFrame) -> DataFrame:
-    """(cloud_id, point_id, defect) from label rows (cloud_id, row, values), told apart by their number of columns.
-
-    One column: a value per point or a list of indices. Three: coordinates of
-    defect points. Four or more: coordinates with the label last. A file whose
-    rows differ in width, or with two columns, gives no labels.
+    """(cloud_id, point_id, defect) from label rows (cloud_id, row, values), told apart by their shape and values.
+
+    One column, or one row of any width but three: a value per point or a list
+    of indices; a vector with as many values as the cloud has points counts as
+    values. Three columns: coordinates of defect points. Four or more:
+    coordinates with the label last where the last column looks like labels,
+    else coordinates of defect points. A file whose rows differ in width, or
+    with two columns, gives no labels.
     """
-    width = rows.groupBy("cloud_id").agg(F.min(F.size("values")).alias("w"), F.max(F.size("values")).alias("w1")).where("w = w1").drop("w1")
-    rows = cut(rows.join(width, "cloud_id"), "truth-rows")
+    width = rows.groupBy("cloud_id").agg(F.min(F.size("values")).alias("w"), F.max(F.size("values")).alias("w1"), F.count(F.lit(1)).alias("lines")).where("w = w1")
+    flat = (F.col("lines") == 1) & (F.col("w") != 3)
+    rows = cut(rows.join(width.select("cloud_id", F.when(flat, 1).otherwise(F.col("w")).alias("w"), flat.alias("flat")), "cloud_id"), "truth-rows")
     item = lambda i: F.get("values", F.lit(i))
-    vector = rows.where("w = 1").select("cloud_id", "row", item(0).alias("value"))
-    label = F.when(F.col("w") == 3, F.lit(1.0)).otherwise(F.element_at("values", -1))
-    spots = rows.where("w >= 3").select("cloud_id", *[item(i).alias(a) for i, a in enumerate("xyz")], label.alias("label"))
+    vector = rows.where("w = 1 and not flat").select("cloud_id", "row", item(0).alias("value"))
+    vector = vector.unionByName(rows.where("flat").select("cloud_id", F.posexplode("values").alias("row", "value")).withColumn("row", F.col("row").cast("long")))
+    last = F.element_at("values", -1)
+    wide = rows.where("w >= 4").withColumn("last", last)
+    marked = wide.join(L.looks_like_labels(wide, "last").where("is_label"), "cloud_id", "left_semi").select("cloud_id").distinct()
+    label = F.when(F.col("marked"), last).otherwise(F.lit(1.0))
+    spots = rows.where("w >= 3").join(marked.withColumn("marked", F.lit(True)), "cloud_id", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    spots = spots.select("cloud_id", *[item(i).alias(a) for i, a in enumerate("xyz")], label.alias("label"))
     by_place = points.join(spots.select("cloud_id").distinct(), "cloud_id", "left_semi")
     return L.from_vector(points.join(vector.select("cloud_id").distinct(), "cloud_id", "left_semi"), vector).unionByName(
         L.align_coordinates(by_place, spots)

@@ -13,6 +13,7 @@ from pointweave.plans import sweep
 from pointweave.plans.registry import r6, register
 from pointweave.plans.sqltext import cloud, query, rnd
 from pointweave.sources import discover
+from pointweave.session import cut
 from pointweave.sources import tables as T
 
 IDS = ["cloud_id", "point_id"]
@@ -360,6 +361,47 @@ def threshold_select(spark, d):
     return M.select_threshold(_objective(spark, d)).select("threshold", r6("f1").alias("f1"))
 
 
+FIT = (
+    "s AS (SELECT l_linenumber AS category, l_linestatus AS group_key, l_returnflag AS variant, l_suppkey % 9 AS component, "
+    "sum(round(l_discount * 100)::BIGINT) / count(*)::DOUBLE AS d_p90, count(*) FILTER (l_quantity > 25 - l_suppkey % 9) AS tp, count(*) FILTER (l_quantity <= 25 - l_suppkey % 9) AS fp FROM lineitem GROUP BY 1, 2, 3, 4)",
+    "dev AS (SELECT category, group_key, variant, sum(tp) + 5 AS positives FROM s GROUP BY 1, 2, 3)",
+    "t AS (SELECT 0.0::DOUBLE AS threshold UNION SELECT nextafter(d_p90, 'infinity'::DOUBLE) FROM s)",
+    "r AS (SELECT threshold, category, group_key, variant, positives, coalesce(sum(tp) FILTER (d_p90 >= threshold), 0) AS tp, "
+    "coalesce(sum(fp) FILTER (d_p90 >= threshold), 0) AS fp FROM t, dev JOIN s USING (category, group_key, variant) GROUP BY 1, 2, 3, 4, 5)",
+    "g AS (SELECT threshold, category, group_key, avg(2.0*tp/(tp+fp+positives)) AS f1, avg(tp/(fp+positives)) AS iou FROM r GROUP BY 1, 2, 3)",
+    "b AS (SELECT threshold, category, avg(f1) AS f1, avg(iou) AS iou FROM g GROUP BY 1, 2)",
+    "o AS (SELECT threshold, avg(f1) AS f1, avg(iou) AS iou FROM b GROUP BY 1)",
+)
+
+
+def _development(spark, d):
+    """Components of samples made of order lines: line numbers as categories, line states as groups, return flags as variants."""
+    key = ["category", "group_key", "variant"]
+    lines = T.table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("category"), F.col("l_linestatus").alias("group_key"), F.col("l_returnflag").alias("variant"),
+        (F.col("l_suppkey") % 9).alias("component"), "l_discount", (F.col("l_quantity") > 25 - F.col("l_suppkey") % 9).alias("hit"),
+    )
+    parts = cut(
+        lines.groupBy(*key, "component").agg((F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count(F.lit(1))).alias("d_p90"), F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp")), "parts"
+    )
+    return parts, parts.groupBy(*key).agg((F.sum("tp") + 5).alias("positives"))
+
+
+@register("threshold_curve", query(list(FIT), f"SELECT {rnd('threshold', 9)} AS threshold, {rnd('f1')} AS f1, {rnd('iou')} AS iou FROM o"))
+def threshold_curve(spark, d):
+    out = M.threshold_curve(*_development(spark, d))
+    return out.select((F.round("threshold", 9) + 0.0).alias("threshold"), r6("f1").alias("f1"), r6("iou").alias("iou"))
+
+
+@register(
+    "fitted_threshold",
+    query(list(FIT), f"SELECT {rnd('threshold', 9)} AS threshold, {rnd('f1')} AS f1, {rnd('iou')} AS iou FROM o ORDER BY round(o.f1, 12) DESC, round(o.iou, 12) DESC, o.threshold LIMIT 1"),
+)
+def fitted_threshold(spark, d):
+    out = M.fit_threshold(*_development(spark, d))
+    return out.select((F.round("threshold", 9) + 0.0).alias("threshold"), r6("f1").alias("f1"), r6("iou").alias("iou"))
+
+
 @register(
     "result_compare",
     query([JUDGED, *SCORED,
