@@ -59,6 +59,35 @@ def run_settings(raw: DataFrame, samples: DataFrame, truth: DataFrame, runs: lis
     return out
 
 
+def development_components(stages, samples: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a run at threshold 0 accepted, for ``fit_threshold``: its components with true and false points, and the samples' true points.
+
+    ``samples`` carries cloud_id, category, group_key and variant.
+    """
+    from pointweave.operators.labels import through_sample
+
+    name = ["category", "group_key", "variant"]
+    marks = cut(through_sample(truth, stages.points.select("cloud_id", "point_id")), "marks")
+    found = stages.final.select("cloud_id", "component", "point_id").join(marks, ["cloud_id", "point_id"])
+    parts = found.groupBy("cloud_id", "component").agg(F.count_if("defect").alias("tp"), F.count_if(~F.col("defect")).alias("fp"))
+    parts = parts.join(stages.regions.select("cloud_id", "component", "d_p90"), ["cloud_id", "component"]).join(samples.select("cloud_id", *name), "cloud_id")
+    positives = marks.groupBy("cloud_id").agg(F.count_if("defect").alias("positives")).join(samples.select("cloud_id", *name), "cloud_id")
+    return parts.select(*name, "component", "d_p90", "tp", "fp"), positives.select(*name, "positives")
+
+
+def fixed_threshold_settings(raw: DataFrame, samples: DataFrame, truth: DataFrame, base: Settings | None = None) -> Settings:
+    """The settings of the eighth mode: the fixed displacement threshold fitted on development samples in one run of the pipeline."""
+    from pointweave.operators.metrics import fit_threshold
+    from pointweave.plans.pipeline import run_pipeline
+
+    base = (base or Settings()).with_changes(**ABLATIONS["fixed_absolute_threshold_verification"])
+    stages = run_pipeline(raw, base.with_changes(absolute_threshold=0.0))
+    best = fit_threshold(*(cut(t, "development") for t in development_components(stages, samples, truth))).first()
+    if best is None:
+        raise ValueError("no development samples")
+    return base.with_changes(absolute_threshold=best.threshold)
+
+
 def ablation_settings(base: Settings | None = None) -> list[tuple[str, int, Settings]]:
     base = base or Settings()
     return [(name, 0, base.with_changes(**changes)) for name, changes in ABLATIONS.items()]

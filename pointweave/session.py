@@ -30,14 +30,19 @@ def local_session(cores: int | str = 8, app: str = "pointweave", **extra: str) -
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share for intermediate tables.
+    """The folder all executors share for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` decides. Where it is unset (tests, a laptop) the
-    tables go below the session's warehouse, which every executor of a
-    deployment reaches too; no machine-local temporary folder is ever used.
+    Only where driver and executors are one process (tests, a laptop) and it is
+    unset do the tables go below the session's warehouse; a cluster must name
+    its shared folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = named or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    root = named or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return root.rstrip("/")
 
 

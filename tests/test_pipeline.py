@@ -62,3 +62,24 @@ def test_a_mode_runs_and_all_differ(spark):
     assert all(r.success and r.num_points == n * n for r in rows.values())
     assert len({m[2].digest() for m in sweep.ablation_settings(small)}) == len(sweep.ABLATIONS)
     assert {m[0] for m in sweep.ablation_settings()} == set(sweep.ABLATIONS)
+
+
+def test_the_fixed_threshold_is_fitted_and_used(spark, monkeypatch):
+    from pointweave.plans import sweep
+
+    asked = []
+    points = spark.range(20).selectExpr("'a' as cloud_id", "id as point_id")
+    final = points.where("point_id < 12").selectExpr("*", "floor(point_id / 4) as component")
+    regions = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.1), ("a", 2, 0.2)], "cloud_id string, component long, d_p90 double")
+    truth = points.selectExpr("*", "point_id < 4 or point_id >= 18 as defect")
+    samples = spark.createDataFrame([("a", "c", "1", "base")], "cloud_id string, category string, group_key string, variant string")
+
+    def run(raw, settings):
+        asked.append(settings)
+        return pipeline.Stages(points, None, regions=regions, final=final)
+
+    monkeypatch.setattr(pipeline, "run_pipeline", run)
+    fitted = sweep.fixed_threshold_settings(points, samples, truth)
+    # the components at 0.1 and 0.2 hold no true point: the first threshold above both keeps the one at 0.5
+    assert fitted.classifier == "fixed" and fitted.absolute_threshold == np.nextafter(0.2, 1)
+    assert [s.absolute_threshold for s in asked] == [0.0]
