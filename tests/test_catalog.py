@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FAST = (
     "scale_isotropic q1q99_norm mahalanobis_3d rank_percentile knn_edges scale_rules y_vote adaptive_classify group_sets result_compare "
-    "random_rows sample_summary point_filter balanced_complete batch_good fpr_good runtime_summary feature_space_nearest displacement_mask fps_from_first"
+    "random_rows sample_summary point_filter balanced_complete batch_good fpr_good runtime_summary feature_space_nearest displacement_mask fps_from_first threshold_curve fitted_threshold"
 ).split()
 
 
