@@ -145,26 +145,75 @@ def test_query_equals_brute_force(spark):
 # clause grammar
 
 
+def sums(scorer, text):
+    return dict(zip(toxicity.FEATURES, np.expm1(scorer.features(text))))
+
+
 def test_readings_of_clauses():
     s = toxicity.Scorer({"fool": 3.0, "idio*": 2.0})
-    value = lambda text: dict(zip(toxicity.FEATURES, np.expm1(s.features(text))))
+    value = lambda text: sums(s, text)
     assert value("what a fool.")["plain"] == pytest.approx(3)
-    assert value("you fool.")["directed"] == pytest.approx(3)
-    assert value("not a fool.")["negated"] == pytest.approx(3)
-    assert value("he said fool.")["reported"] == pytest.approx(3)
-    assert value('the word "fool" is old.')["reported"] == pytest.approx(3)
+    assert value("you fool.")["directed"] == pytest.approx(3 * toxicity.DIRECTED)
+    assert value("not a fool.")["negated"] == pytest.approx(3 * toxicity.NEGATED)
+    assert value("he said fool.")["reported"] == pytest.approx(3 * toxicity.SAID * toxicity.DIRECTED)
+    assert value('the word "fool" is old.')["reported"] == pytest.approx(3 * toxicity.QUOTED)
     assert value("not here. fool")["plain"] == pytest.approx(3)  # another clause
-    assert value("I will kill you.")["threat"] == 0 or value("fool. I will kill you.")["threat"] == 1
     assert value("we kill time.")["threat"] == 0
     assert value("idiotic idiotic")["plain"] == pytest.approx(3)  # 2 and half of 2
     assert value("clean words")["clauses"] == 0 and value("")["clauses"] == 0
 
 
+def test_threats_inflections_and_targets_on_both_sides():
+    s = toxicity.Scorer({"idio*": 2.0})
+    full = toxicity.THREAT_WEIGHT * toxicity.DIRECTED
+    for text in ("you, he kills", "I am killing you", "I will strangle you", "I will kill you", "ich töte dich", "te mataré a ti"):
+        assert sums(s, text)["threat"] == pytest.approx(full), text
+    for text in ("I won't kill you", "I won’t kill you", "I will not kill you"):
+        got = sums(s, text)
+        assert got["threat"] == 0 and got["negated"] == pytest.approx(full * toxicity.NEGATED)
+        assert got["density"] < sums(s, "I will kill you")["density"]
+    assert sums(s, "he isn’t an idiot")["negated"] > 0 and sums(s, "he isn’t an idiot")["directed"] == 0
+    assert sums(s, "idiot that you are")["directed"] == pytest.approx(2 * toxicity.DIRECTED)
+    assert sums(s, "an idiot of no interest to anyone at all but you")["plain"] == pytest.approx(2)  # too far
+    assert sums(s, 'they said "we will kill you"')["reported"] == pytest.approx(full * toxicity.SAID * toxicity.QUOTED)
+    learned = toxicity.Scorer({"kill": 5.0})
+    assert sums(learned, "a kill")["plain"] == pytest.approx(5) and sums(learned, "kill you")["threat"] == pytest.approx(5 * toxicity.DIRECTED)
+
+
+def plain_reading(scorer, clause):
+    """(word, reading, value) by looking around every match: no transducers."""
+    kinds = [toxicity.QUOTE if p in toxicity.QUOTES else scorer.symbol(p)[0] for p in clause]
+    for i, (piece, kind) in enumerate(zip(clause, kinds)):
+        if kind not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+        reach = toxicity.TARGET_REACH if kind == toxicity.INSULT else toxicity.THREAT_REACH
+        near = toxicity.TARGET in kinds[max(0, i - reach):i + reach + 1]
+        negated = toxicity.NEGATOR in kinds[max(0, i - toxicity.NEGATION_REACH):i]
+        said, quoted = toxicity.SAY in kinds[:i], kinds[:i].count(toxicity.QUOTE) % 2 == 1
+        value = scorer.symbol(piece)[1]
+        if kind == toxicity.THREAT and near:
+            value = max(value, toxicity.THREAT_WEIGHT)
+        value *= (toxicity.DIRECTED if near else 1) * (toxicity.NEGATED if negated else 1)
+        value *= (toxicity.SAID if said else 1) * (toxicity.QUOTED if quoted else 1)
+        if value:
+            near_reading = "threat" if kind == toxicity.THREAT else "directed"
+            yield piece, "negated" if negated else "reported" if said or quoted else near_reading if near else "plain", pytest.approx(value)
+
+
+def test_machine_against_looking_around():
+    rng = np.random.default_rng(3)
+    scorer = toxicity.Scorer({"fool": 3.0, "idio*": 2.0, "hurts": 4.0})
+    words = ["fool", "idiots", "hurts", "kill", "you", "not", "won't", "said", '"', *["plain"] * 8]
+    for n in rng.integers(1, 30, 3000):
+        clause = list(rng.choice(words, n))
+        assert list(scorer.matches(clause)) == list(plain_reading(scorer, clause)), clause
+
+
 def test_machine_is_a_composition():
     m = toxicity.grammar()
     states = {s for s, _ in m.arcs}
     assert all((s, x) in m.arcs for s in states for x in toxicity.SYMBOLS)
-    assert len(states) <= 4 * 7 * 2 * 2
+    assert len(states) <= (toxicity.THREAT_REACH + 1) * (toxicity.NEGATION_REACH + 1) * 2 * 2
 
 
 def test_held_out_accuracy(spark):
