@@ -301,6 +301,90 @@ def energy_growth(
         state = grown.seen
 
 
+def capacity_within(seeds: DataFrame, energy: DataFrame, edges: DataFrame, max_hops: int, label: str = "component") -> DataFrame:
+    """(cloud_id, label, point_id, capacity): the largest floor at which the seeds of ``label`` still reach the point.
+
+    That is the best minimum energy over all walks of at most ``max_hops`` hops,
+    ends included (infinite at a seed). Growth above any floor is then a filter
+    ``capacity >= floor``. Round h sends on what round h - 1 improved; rounds are
+    only appended. Points without a finite energy are not entered.
+    """
+    key = ["cloud_id", label, "point_id"]
+    into = energy.where(F.abs("energy") < float("inf")).select("cloud_id", F.col("point_id").alias("dst"), F.col("energy").alias("e1"))
+    arc = edges.select("cloud_id", F.col("src").alias("point_id"), "dst").join(into, ["cloud_id", "dst"])
+    front = cut(seeds.select(*key).distinct().withColumn("capacity", F.lit(float("inf"))), "capacity")
+    rounds = [front]
+    for _ in range(max_hops):
+        offers = front.join(arc, POINT).select("cloud_id", label, F.col("dst").alias("point_id"), F.least("capacity", "e1").alias("offer"))
+        known = reduce(DataFrame.unionByName, rounds)
+        met = offers.unionByName(known, allowMissingColumns=True).groupBy(*key).agg(F.max("offer").alias("offer"), F.max("capacity").alias("known"))
+        better = met.where(F.col("offer").isNotNull() & (F.col("known").isNull() | (F.col("offer") > F.col("known"))))
+        front = cut(better.select(*key, F.col("offer").alias("capacity")), "capacity", rows=F.count(F.lit(1)))
+        if not front.seen["rows"]:
+            break
+        rounds.append(front)
+    best = cut(reduce(DataFrame.unionByName, rounds).groupBy(*key).agg(F.max("capacity").alias("capacity")), "capacity")
+    discard(*rounds)
+    return best
+
+
+def adaptive_growth(
+    seeds: DataFrame, energy: DataFrame, edges: DataFrame, alphas: Sequence[float], max_size: DataFrame | int, support_min: float,
+    max_hops: int = 9, seed_fraction: float = 0.9, background_fraction: float = 0.5, label: str = "component",
+) -> DataFrame:
+    """Grow every seed component above the first of several floors that keeps it within ``max_size`` points.
+
+    The floor of an alpha lies that share of the way from the level around the
+    component to the seeds' own level (a quantile each; the level around is that
+    of all points within ``max_hops``, or of the cloud where there are none), at
+    least ``support_min`` and at most 0.95 of the seeds' level. Where every alpha
+    grows too far the smallest result stays, marked ``oversized`` (ties: the
+    earlier alpha). All alphas are sized by one table of capacities, so none is
+    tried by itself. ``max_size`` is a number or (cloud_id, max_size).
+
+    Gives (cloud_id, label, point_id, alpha, floor, size, oversized). Without
+    alphas the seeds come back with a null alpha. Components whose seeds have no
+    energy have no floor and stay as their seeds, again with a null alpha.
+    """
+    key = ["cloud_id", label]
+    energy = energy.select(*POINT, F.col("energy").cast("double").alias("energy"))
+    sound = energy.where(F.abs("energy") < float("inf"))
+    reach = capacity_within(seeds, energy, edges, max_hops, label)
+    if not alphas:
+        only = reach.where(F.col("capacity") == float("inf"))
+        none = [F.lit(None).cast("double").alias(n) for n in ("alpha", "floor")]
+        count = only.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+        return only.join(count, key).select(*key, "point_id", *none, "size", F.lit(False).alias("oversized"))
+    own = percentiles(seeds.select(*key, "point_id").distinct().join(sound, POINT), key, "energy", [seed_fraction], ["seed_level"])
+    around = percentiles(reach.where(F.col("capacity") < float("inf")).join(sound, POINT), key, "energy", [background_fraction], ["near_level"])
+    whole = percentiles(sound, ["cloud_id"], "energy", [background_fraction], ["cloud_level"])
+    levels = own.join(around, key, "left").join(whole, "cloud_id")
+    level, seed, least = F.coalesce("near_level", "cloud_level"), F.col("seed_level"), F.lit(float(support_min))
+    floors = [F.least(F.greatest(level + F.lit(float(a)) * (seed - level), least), F.greatest(seed * 0.95, least)).alias(f"floor_{i}") for i, a in enumerate(alphas)]
+    levels = cut(levels.select(*key, *floors), "floors")
+    sizes = reach.join(levels, key).groupBy(*key).agg(
+        *[F.count_if(F.col("capacity") >= F.col(f"floor_{i}")).alias(f"size_{i}") for i in range(len(alphas))]
+    )
+    limit = sizes.join(max_size.select("cloud_id", "max_size"), "cloud_id") if isinstance(max_size, DataFrame) else sizes.withColumn("max_size", F.lit(max_size))
+    return _first_that_fits(reach, levels, limit, list(alphas), key)
+
+
+def _first_that_fits(reach: DataFrame, levels: DataFrame, sizes: DataFrame, alphas: list[float], key: list[str]) -> DataFrame:
+    """The points of every component at its chosen floor, with the report of that choice."""
+    report = [
+        F.struct(F.col(f"size_{i}").alias("size"), F.lit(i).alias("turn"), F.lit(float(a)).alias("alpha"), F.col(f"floor_{i}").alias("floor"))
+        for i, a in enumerate(alphas)
+    ]
+    tried = sizes.join(levels, key).withColumn("tried", F.array(*report))
+    fits = F.get(F.filter("tried", lambda r: r.size <= F.col("max_size")), F.lit(0))
+    chosen = tried.withColumn("by", F.coalesce(fits, F.array_min("tried"))).select(*key, "by.*", (F.col("by.size") > F.col("max_size")).alias("oversized"))
+    seeds = F.count_if(F.col("capacity") == float("inf"))
+    count = reach.groupBy(*key).agg(seeds.alias("seed_count"))
+    grown = reach.join(count.join(chosen, key, "left"), key)
+    grown = grown.where((F.col("capacity") == float("inf")) | (F.col("capacity") >= F.col("floor")))
+    return grown.select(*key, "point_id", "alpha", "floor", F.coalesce("size", "seed_count").alias("size"), F.coalesce("oversized", F.lit(False)).alias("oversized"))
+
+
 def widest_paths(sources: DataFrame, response: DataFrame, edges: DataFrame) -> DataFrame:
     """(cloud_id, point_id, capacity, path_hops) from ``sources`` over ``response`` in [0, 1].
 

@@ -751,6 +751,44 @@ def seed_relative_growth(spark, d):
     return G.energy_growth(c, energy, e, floor, 3, descend="any").select("cloud_id", "component", "point_id", "hop")
 
 
+ALPHAS, ALPHA_SIZE = (0.2, 0.4, 0.6, 0.8), 40
+
+
+@register(
+    "adaptive_alpha_growth",
+    query(
+        CUST
+        + [
+            top_mask("z", 0.97), labels("mask"), hops("comp", 3, group="component"),
+            "s AS (SELECT c.cloud_id, component, quantile_cont(z, 0.9) AS s FROM comp c JOIN p USING (cloud_id, point_id) GROUP BY 1, 2)",
+            "b AS (SELECT h.cloud_id, component, quantile_cont(z, 0.5) AS b FROM h JOIN p USING (cloud_id, point_id) WHERE hop > 0 GROUP BY 1, 2)",
+            "c0 AS (SELECT cloud_id, quantile_cont(z, 0.5) AS b0 FROM p GROUP BY 1)",
+            "lv AS (SELECT s.cloud_id, s.component, s, coalesce(b, b0) AS b FROM s LEFT JOIN b ON b.cloud_id = s.cloud_id AND b.component = s.component "
+            "JOIN c0 ON c0.cloud_id = s.cloud_id)",
+            f"f AS (SELECT cloud_id, component, i, a, least(greatest(b + a * (s - b), 20), greatest(s * 0.95::DOUBLE, 20)) AS floor FROM lv, "
+            f"(VALUES {', '.join(f'({i}, {a}::DOUBLE)' for i, a in enumerate(ALPHAS))}) v(i, a))",
+            # every alpha grown by itself
+            "w(cloud_id, component, i, point_id, hop) AS (SELECT c.cloud_id, c.component, i, point_id, 0 FROM comp c JOIN f ON f.cloud_id = c.cloud_id AND "
+            "f.component = c.component UNION SELECT w.cloud_id, w.component, w.i, e.dst, hop + 1 FROM w JOIN e ON e.cloud_id = w.cloud_id AND e.src = w.point_id "
+            "JOIN p ON p.cloud_id = e.cloud_id AND p.point_id = e.dst JOIN f ON f.cloud_id = w.cloud_id AND f.component = w.component AND f.i = w.i "
+            "WHERE hop < 3 AND z >= floor)",
+            "g AS (SELECT DISTINCT cloud_id, component, i, point_id FROM w)",
+            "n AS (SELECT cloud_id, component, i, count(*) AS size FROM g GROUP BY 1, 2, 3)",
+            f"pick AS (SELECT cloud_id, component, coalesce(min(i) FILTER (WHERE size <= {ALPHA_SIZE}), min({{'s': size, 'i': i}}).i) AS i FROM n GROUP BY 1, 2)",
+        ],
+        f"SELECT g.cloud_id, g.component, g.point_id, a AS alpha, {rnd('floor')} AS floor, size, size > {ALPHA_SIZE} AS oversized FROM pick JOIN g "
+        "USING (cloud_id, component, i) JOIN n USING (cloud_id, component, i) JOIN f USING (cloud_id, component, i)",
+        True,
+    ),
+)
+def adaptive_alpha_growth(spark, d):
+    p, e = cust(spark, d)
+    c = cut(G.mask_components(top(p, "z", 97.0), e), "comp")
+    energy = p.select(*IDS, F.col("z").alias("energy"))
+    grown = G.adaptive_growth(c, energy, e, ALPHAS, ALPHA_SIZE, 20.0, max_hops=3)
+    return grown.select("cloud_id", "component", "point_id", "alpha", r6("floor").alias("floor"), "size", "oversized")
+
+
 @register(
     "energy_descent_growth",
     query(

@@ -106,3 +106,51 @@ def test_holes_per_component(spark):
     got = {(r.component, r.point_id) for r in G.fill_holes(members, e).collect()}
     assert got == {(0, i) for i in range(10)} | {(20, 20)}
     assert {r.point_id for r in G.fill_holes(members, e, max_ratio=1.1).collect()} == {*range(8), 20}
+
+
+def grown_above(seeds, s, nb, floor, hops):
+    seen = front = set(seeds)
+    for _ in range(hops):
+        front = {b for a in front for b in nb[a] if s[b] >= floor} - seen
+        seen = seen | front
+    return seen
+
+
+def test_adaptive_growth_equals_trying_every_alpha(spark):
+    rng = np.random.default_rng(8)
+    n, hops, least, alphas = 150, 3, 0.1, (0.1, 0.3, 0.5, 0.9)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (380, 2)) if a != b})
+    nb = [[] for _ in range(n)]
+    for a, b in pairs:
+        nb[a].append(b)
+        nb[b].append(a)
+    s = np.round(rng.random(n), 2)
+    seeds = {3: [3, 4], 50: [50], 77: [77, 78, 79], 140: [140]}
+    for other in nb:
+        if 140 in other:
+            other.remove(140)
+    nb[140] = []  # no neighbours: the cloud's own level
+    rows = [(i, c) for c, own in seeds.items() for i in own]
+    energy = points(spark, range(n), energy=[float(v) for v in s])
+    e = edges(spark, [p for p in pairs if 140 not in p])
+    start = points(spark, [i for i, _ in rows], component=[c for _, c in rows])
+    for limit in (2, 12, 40, 1000):
+        want = {}
+        for c, own in seeds.items():
+            near = sorted(grown_above(own, s, nb, -1, hops) - set(own))
+            level, seed = np.quantile(s[near] if near else s, 0.5), np.quantile(s[own], 0.9)
+            tried = []
+            for a in alphas:
+                floor = min(max(level + a * (seed - level), least), max(seed * 0.95, least))
+                tried.append((a, grown_above(own, s, nb, floor, hops)))
+            a, got = next((t for t in tried if len(t[1]) <= limit), min(tried, key=lambda t: len(t[1])))
+            want |= {(c, i): (a, len(got), len(got) > limit) for i in got}
+        rows = G.adaptive_growth(start, energy, e, alphas, limit, least, hops).collect()
+        assert {(r.component, r.point_id): (r.alpha, r.size, r.oversized) for r in rows} == want
+    none = G.adaptive_growth(start, energy, e, (), 5, least, hops).collect()
+    assert {(r.component, r.point_id) for r in none} == {(c, i) for c, own in seeds.items() for i in own}
+    assert {r.alpha for r in none} == {None} and {r.size for r in none if r.component == 77} == {3}
+    unknown = energy.withColumn("energy", F.when(F.col("point_id") != 50, F.col("energy")).otherwise(float("nan")))
+    lone = [r for r in G.adaptive_growth(start, unknown, e, alphas, 40, least, hops).collect() if r.component == 50]
+    assert [(r.point_id, r.alpha, r.size, r.oversized) for r in lone] == [(50, None, 1, False)]
+    assert G.adaptive_growth(start.limit(0), energy, e, alphas, 40, least, hops).count() == 0
