@@ -751,7 +751,7 @@ def seed_relative_growth(spark, d):
     return G.energy_growth(c, energy, e, floor, 3, descend="any").select("cloud_id", "component", "point_id", "hop")
 
 
-ALPHAS, ALPHA_SIZE = (0.2, 0.4, 0.6, 0.8), 40
+ALPHAS, ALPHA_SIZE = (0.2, 0.4, 0.6, 0.8), 5
 
 
 @register(
