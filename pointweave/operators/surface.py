@@ -16,7 +16,9 @@ _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")
 
 
 def offsets(points: DataFrame, pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Neighbour offsets (dx, dy, dz) from the source of every pair."""
+    """Neighbour offsets (dx, dy, dz) from the source of every pair; ``pairs`` may bring them."""
+    if "dx" in pairs.columns:
+        return pairs.select("cloud_id", "src", "dst", *keep, "dx", "dy", "dz")
     a = points.select("cloud_id", F.col("point_id").alias("src"), *[F.col(c).alias("s" + c) for c in "xyz"])
     b = points.select("cloud_id", F.col("point_id").alias("dst"), "x", "y", "z")
     both = pairs.select("cloud_id", "src", "dst", *keep).join(a, ["cloud_id", "src"]).join(b, ["cloud_id", "dst"])

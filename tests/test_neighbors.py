@@ -82,3 +82,33 @@ def test_search_over_many_blocks_equals_brute_force(spark):
         assert all(have[i] == want[i][: len(part) - 1] for i in range(len(part)))
     blocks = blocksearch.space_blocks(df, 40).toPandas()
     assert blocks.groupby("cloud_id").size().to_dict() == {"dense": 11, "grid": 6, "tiny": 1}
+
+
+def test_search_brings_the_way_and_what_is_mutual(spark):
+    """Over many blocks; without blocks of its own a neighbour leaves ``back`` open."""
+    rng = np.random.default_rng(9)
+    xyz = np.round(rng.normal(size=(300, 3)), 2)
+    found = blocksearch.self_search(cut(cloud(spark, xyz)), 5, True, block_points=40).toPandas()
+    way = xyz[found.dst] - xyz[found.src]
+    assert (found[["dx", "dy", "dz"]].to_numpy() == way).all()
+    pairs = set(zip(found.src, found.dst))
+    known = found[found.back.notna()]
+    assert 0 < len(known) < len(found)
+    assert all(back == ((dst, src) in pairs) for src, dst, back in zip(known.src, known.dst, known.back))
+
+
+def test_mutual_edges_of_repeated_places_and_ids(spark):
+    """Copies are searched once, edges and their ways equal brute force; an id that repeats takes the general way."""
+    rng = np.random.default_rng(10)
+    xyz = rng.integers(0, 4, size=(260, 3)).astype(float)
+    want = brute_knn(xyz, 3)
+    d = [{j: ((xyz[i] - xyz[j]) ** 2).sum() ** 0.5 for j in want[i]} for i in range(len(xyz))]
+    assert got(NB.knn_join(cloud(spark, xyz), 3)) == dict(enumerate(want))
+    distances = [v for row in d for v in row.values() if v > 0]
+    cap = 1.2 * sum(distances) / len(distances) if distances else 0
+    edges = NB.mutual_knn(cloud(spark, xyz), 3, 1.2, ["dx", "dy", "dz"]).toPandas()
+    assert set(zip(edges.src, edges.dst)) == {(i, j) for i in range(len(xyz)) for j in want[i] if i in want[j] and 0 < d[i][j] <= cap}
+    assert (edges[["dx", "dy", "dz"]].to_numpy() == xyz[edges.dst] - xyz[edges.src]).all()
+    line = cloud(spark, [[0, 0, 0], [1, 0, 0], [3, 0, 0]])
+    twice = NB.mutual_knn(line.unionByName(line.where("point_id < 2")), 2, 9.0).toPandas()
+    assert {(0, 1), (1, 0)} <= set(zip(twice.src, twice.dst))
