@@ -77,9 +77,10 @@ def grow_regions(feats: DataFrame, near: DataFrame, angle_deg: float, max_curvat
             F.coalesce(better, F.lit(False)).alias("better"),
         )
         merged = cut(merged, "label", changed=F.count_if("better"))
-        label, front = merged.drop("better"), merged.where("better").drop("better")
+        label = merged.drop("better")
         if not merged.seen["changed"]:
             break
+        front = cut(merged.where("better").drop("better"), "front", rows=F.count(F.lit(1)))
     rest = cut(f.join(label, ["cloud_id", "point_id"], "left_anti").select("cloud_id", "point_id", "rank"), "rest")
     among = links.where(F.col("src_rank") < F.col("dst_rank"))
     among = among.join(rest.select("cloud_id", F.col("point_id").alias("src")), ["cloud_id", "src"], "left_semi")

@@ -154,3 +154,27 @@ def test_adaptive_growth_equals_trying_every_alpha(spark):
     lone = [r for r in G.adaptive_growth(start, unknown, e, alphas, 40, least, hops).collect() if r.component == 50]
     assert [(r.point_id, r.alpha, r.size, r.oversized) for r in lone] == [(50, None, 1, False)]
     assert G.adaptive_growth(start.limit(0), energy, e, alphas, 40, least, hops).count() == 0
+
+
+def test_hops_on_one_way_edges_and_within_limits(spark):
+    """A ring of one-way edges comes back to its source; limits do not bring an earlier shell back."""
+    ring = spark.createDataFrame([("a", i, (i + 1) % 6) for i in range(6)] + [("a", i, max(0, i - 3)) for i in range(6)], "cloud_id string, src long, dst long")
+    hops = {r.point_id: r.hop for r in G.hop_distance(points(spark, [0]), ring, directed=True).collect()}
+    assert hops == {i: i for i in range(6)}
+    both = [(a, b) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))] + [(0, 4), (4, 0)]
+    line = spark.createDataFrame([("a", a, b) for a, b in both], "cloud_id string, src long, dst long")
+    allowed = points(spark, [1, 2, 3, 5, 6, 7])
+    rows = G.hop_distance(points(spark, [0, 4]), line, allowed=allowed).collect()
+    assert sorted((r.point_id, r.hop) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 1), (4, 0), (5, 1), (6, 2), (7, 3)]
+
+
+def test_loops_are_planned_by_sizes_in_memory(spark):
+    """A loop's write sees its tables larger than their files; afterwards the session's own setting counts again."""
+    key, seen = "spark.sql.sources.fileCompressionFactor", []
+    before = spark.conf.get(key)
+
+    from pointweave import session
+
+    with session._true_sizes(spark):
+        seen.append(float(spark.conf.get(key)))
+    assert seen[0] >= 8 and spark.conf.get(key) == before
