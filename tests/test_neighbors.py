@@ -112,3 +112,17 @@ def test_mutual_edges_of_repeated_places_and_ids(spark):
     line = cloud(spark, [[0, 0, 0], [1, 0, 0], [3, 0, 0]])
     twice = NB.mutual_knn(line.unionByName(line.where("point_id < 2")), 2, 9.0).toPandas()
     assert {(0, 1), (1, 0)} <= set(zip(twice.src, twice.dst))
+
+
+def test_points_without_a_coordinate_ask_for_nothing(spark):
+    """Their runs look no farther than the other points' balls, and these find all their neighbours over many blocks."""
+    rng = np.random.default_rng(12)
+    xyz = rng.random((300, 3))
+    xyz[::20, 2] = np.nan
+    low, high = blocksearch._boxes(xyz, np.where(np.isfinite(xyz[:, 2]), 0.01, np.inf), 1.0)
+    assert (high - low).max() < 1.3
+    df = cut(cloud(spark, xyz).withColumn("z", F.nanvl("z", F.lit(None).cast("double"))))
+    have = got(blocksearch.self_search(df, 4, True, block_points=40))
+    whole = np.flatnonzero(np.isfinite(xyz[:, 2]))
+    want = brute_knn(xyz[whole], 4)
+    assert have == {int(whole[i]): [int(whole[j]) for j in want[i]] for i in range(len(whole))}
