@@ -126,3 +126,24 @@ def test_points_without_a_coordinate_ask_for_nothing(spark):
     whole = np.flatnonzero(np.isfinite(xyz[:, 2]))
     want = brute_knn(xyz[whole], 4)
     assert have == {int(whole[i]): [int(whole[j]) for j in want[i]] for i in range(len(whole))}
+
+
+def test_balls_over_many_blocks_equal_brute_force_and_no_pair_is_formed(spark, monkeypatch):
+    """Sums, contrasts and ring medians by blocks; lists of pairs and the walk down the cells are not needed."""
+    rng = np.random.default_rng(13)
+    xyz = np.concatenate([rng.random((500, 3)) * [10, 2, 5], rng.normal(size=(200, 3)) * 0.01, [[300.0, 0, 0]]])
+    v = np.round(rng.normal(size=len(xyz)), 1)
+    df = cut(cloud(spark, xyz).join(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "point_id long, v double"), "point_id"))
+    monkeypatch.setattr(balls, "radius_join", None)
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    sums = df.join(balls.ball_sums(df, ["v"], [0.5, 3.0], cap=50), ["cloud_id", "x", "y", "z"]).toPandas().sort_values(["radius", "point_id"])
+    assert len(sums) == 2 * len(xyz)
+    for r, part in sums.groupby("radius"):
+        assert (part.weight.to_numpy() == (d2 <= r * r).sum(1)).all() and np.allclose(part.sum_v, (d2 <= r * r) @ v)
+    got_z = balls.local_robust_z(df, "v", 0.4, 2.0, 4, "out", cap=50).toPandas().sort_values("point_id").out.to_numpy()
+    d = np.sqrt(d2)
+    for i in range(len(xyz)):
+        ring = v[(d[i] > 0.4) & (d[i] <= 2.0)]
+        med = np.median(ring) if len(ring) else 0
+        want = (v[i] - med) / (np.median(np.abs(ring - med)) * 1.4826 + 1e-12) if len(ring) >= 4 else 0.0
+        assert np.isclose(got_z[i], want), i
