@@ -250,7 +250,8 @@ def self_search(points: DataFrame, k: int, skip_self: bool, block_points: int =
         ]
         spread = spread.withColumn(f"c{axis}", F.explode(F.sequence(*slot)))
     meets = [F.col(f"t{a}0") <= F.col(f"{a}1") for a in "xyz"] + [F.col(f"{a}0") <= F.col(f"t{a}1") for a in "xyz"]
-    pairs = spread.join(held, ["cloud_id", *cell]).where((F.col("target") != F.col("block")))
+    # a row for every point at most: files of this size look small, in a broadcast it is not
+    pairs = spread.join(held.hint("merge"), ["cloud_id", *cell]).where((F.col("target") != F.col("block")))
     for test in meets:
         pairs = pairs.where(test)
     # a block has at most rows / RUN_POINTS runs, so a set is small

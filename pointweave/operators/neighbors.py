@@ -261,12 +261,10 @@ def seed_graph(points: DataFrame, seeds: DataFrame, k: int = 8, scale_k: int = 6
     ``factor`` times the geometric mean of the two local scales (median of the
     first ``scale_k`` positive distances)."""
     seeds = seeds.select("cloud_id", "point_id")
-    if ids_repeat(points):
-        ask = points.join(seeds, ["cloud_id", "point_id"], "left_semi")
-        wide = knn_join(points, max(k, scale_k), queries=ask, skip_same_id=True)
-    else:  # the search of all points among themselves is cheaper than one with queries
-        wide = knn_join(points, max(k, scale_k), repeated=False).join(seeds.withColumnRenamed("point_id", "src"), ["cloud_id", "src"], "left_semi")
-    wide = cut(wide, "seedknn")
+    if not ids_repeat(points):
+        return _seed_edges(knn_join(points, max(k, scale_k), repeated=False), seeds, k, scale_k, factor)
+    ask = points.join(seeds, ["cloud_id", "point_id"], "left_semi")
+    wide = cut(knn_join(points, max(k, scale_k), queries=ask, skip_same_id=True), "seedknn")
     nth = F.row_number().over(Window.partitionBy("cloud_id", "src").orderBy("rank"))
     scale = wide.where(F.col("dist") > 0).withColumn("nth", nth).where(F.col("nth") <= scale_k)
     scale = scale.groupBy("cloud_id", "src").agg(F.percentile("dist", F.lit(0.5)).alias("scale"))
@@ -278,6 +276,31 @@ def seed_graph(points: DataFrame, seeds: DataFrame, k: int = 8, scale_k: int = 6
     return both.where(keep).select("cloud_id", "src", "dst", "dist")
 
 
+def _seed_edges(near: DataFrame, seeds: DataFrame, k: int, scale_k: int, factor: float) -> DataFrame:
+    """The edges of :func:`seed_graph` by two groupings and no join, so nothing of the seeds' size is broadcast.
+
+    A point's neighbours and its mark as a seed meet in one row, which has its
+    scale; every neighbour brings the scale to its pair, where both ends meet.
+    """
+    entry = F.struct("rank", "dst", "dist")
+    none = F.lit(None).cast(near.select(entry.alias("e")).schema["e"].dataType)
+    rows = near.select("cloud_id", "src", entry.alias("e"), F.lit(False).alias("seed"))
+    rows = rows.unionByName(seeds.select("cloud_id", F.col("point_id").alias("src"), none.alias("e"), F.lit(True).alias("seed")))
+    # one list of at most max(k, scale_k) neighbours a point
+    lists = rows.groupBy("cloud_id", "src").agg(F.max("seed").alias("seed"), F.array_sort(F.collect_list("e")).alias("near")).where("seed")
+    first = F.array_sort(F.slice(F.transform(F.filter("near", lambda e: e["dist"] > 0), lambda e: e["dist"]), 1, scale_k))
+    n = F.size("first")
+    middle = (F.get("first", F.floor((n - 1) / 2).cast("int")) + F.get("first", F.floor(n / 2).cast("int"))) / 2
+    lists = lists.withColumn("first", first).select("cloud_id", "src", F.when(n > 0, middle).alias("scale"), F.explode("near").alias("e"))
+    lists = lists.where(F.col("e.rank") <= k).select("cloud_id", "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"), "scale")
+    ends = lists.groupBy("cloud_id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"))
+    met = ends.agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("dist"), F.min("scale").alias("s0"), F.max("scale").alias("s1"), F.count("scale").alias("scales"))
+    pair = F.sqrt(F.col("s0") * F.col("s1"))
+    kept = met.where((F.col("n") == 2) & (F.col("scales") == 2) & (pair > 0) & (F.col("dist") <= pair * factor))
+    both = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("low", "high"), ("high", "low"))])
+    return kept.select("cloud_id", F.explode(both).alias("e"), "dist").select("cloud_id", "e.src", "e.dst", "dist")
+
+
 #: pivots of the feature-space search, at most
 PIVOTS = 256
 

@@ -147,3 +147,20 @@ def test_balls_over_many_blocks_equal_brute_force_and_no_pair_is_formed(spark, m
         med = np.median(ring) if len(ring) else 0
         want = (v[i] - med) / (np.median(np.abs(ring - med)) * 1.4826 + 1e-12) if len(ring) >= 4 else 0.0
         assert np.isclose(got_z[i], want), i
+
+
+def test_seed_graph_joins_nothing_of_the_seeds_size(spark):
+    """Equal to brute force; its plan holds no join after the search, so no table of seeds or scales can be broadcast."""
+    rng = np.random.default_rng(14)
+    xyz = np.concatenate([rng.normal(size=(150, 3)), np.zeros((3, 3))])
+    df, seeds = cloud(spark, xyz), np.flatnonzero(rng.random(len(xyz)) < 0.5)
+    mask = cut(df.where(F.col("point_id").isin([int(i) for i in seeds])))
+    near = cut(NB.knn_join(df, 8, repeated=False))
+    plan = NB._seed_edges(near, mask, 8, 6, 1.6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    have = NB.seed_graph(df, mask).toPandas()
+    want, d = brute_knn(xyz, 8), np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    scale = {i: np.median([d[i, j] for j in want[i] if d[i, j] > 0][:6]) for i in seeds}
+    pairs = {(i, j) for i in seeds for j in want[i] if j in scale and i in want[j] and d[i, j] <= 1.6 * np.sqrt(scale[i] * scale[j])}
+    assert set(zip(have.src, have.dst)) == pairs and len(have) == len(pairs)
+    assert np.allclose(have.dist, d[have.src, have.dst])
