@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import sq_dist
 from pointweave.operators.blocksearch import self_search
+from pointweave.operators.featureblocks import nearest_sq
 from pointweave.operators.octree import (
     CELL,
     FINE,
@@ -301,17 +303,16 @@ def _seed_edges(near: DataFrame, seeds: DataFrame, k: int, scale_k: int, factor:
     return kept.select("cloud_id", F.explode(both).alias("e"), "dist").select("cloud_id", "e.src", "e.dst", "dist")
 
 
-#: pivots of the feature-space search, at most
+#: rows whose distances give the feature-space search its first bounds, at most
 PIVOTS = 256
 
 
 def baseline_distance(rows: DataFrame, baseline: DataFrame, values: list[str]) -> DataFrame:
     """Squared distance of every row to its nearest baseline row, all features z-scored by the baseline.
 
-    Exact in any number of dimensions. Baseline rows are dealt to the nearest of
-    about sqrt(n) pivots. A row's distance to the members of its own pivot's
-    cell bounds the answer; then only cells that the triangle inequality
-    (distance to the pivot less the cell's radius) does not rule out are searched.
+    Exact in any number of dimensions: equal rows are searched once, by blocks of
+    the feature space (see :func:`pointweave.operators.featureblocks.nearest_sq`).
+    A row that lacks a feature has no distance and is left out.
     """
     stats = baseline.agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(v).alias("m_" + v) for v in values], *[F.stddev_pop(v).alias("s_" + v) for v in values]
@@ -325,22 +326,20 @@ def baseline_distance(rows: DataFrame, baseline: DataFrame, values: list[str]) -
             axes.append(((F.col(v) - F.lit(stats["m_" + v])) / F.lit(std)).cast("double"))
         return df.select("cloud_id", "point_id", F.array(*axes).alias("f"))
 
-    def gap(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    def finite(f):
+        return F.forall(f, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
-    base = cut(scaled(baseline).select("f").distinct(), "baseline")  # equal rows are searched once
+    whole = F.forall("f", lambda x: x.isNotNull())
+    number = F.monotonically_increasing_id().alias("id")
+    base = cut(scaled(baseline).where(whole & finite("f")).select("f").distinct().select(number, "f"), "baseline")
+    spots = cut(scaled(rows).where(whole).groupBy("f").agg(F.min("point_id").alias("_any")).select(number, "f"), "spots")
     chosen = base.orderBy(F.xxhash64("f")).limit(min(PIVOTS, max(1, int((stats["n"] or 0) ** 0.5)))).collect()  # at most PIVOTS rows
-    pivots = F.array(*[F.struct(F.lit(k).alias("cell"), F.array(*[F.lit(float(x)) for x in r.f]).alias("at")) for k, r in enumerate(chosen)])
-    near = F.transform(pivots, lambda p: F.struct(F.sqrt(gap(p["at"], F.col("f"))).alias("d"), p["cell"].alias("cell")))
-    homes = cut(base.withColumn("p", F.array_min(near)).select("f", "p.cell", "p.d"), "homes")
-    radius = homes.groupBy("cell").agg(F.max("d").alias("radius"))
-    spots = cut(scaled(rows).groupBy("f").agg(F.min("point_id").alias("_any")).select(F.monotonically_increasing_id().alias("spot"), "f"), "spots")
-    reach = cut(spots.withColumn("p", F.explode(near)).select("spot", "f", "p.cell", "p.d").join(radius, "cell"), "reach")
-    first = reach.groupBy("spot").agg(F.min_by(F.struct("cell", "f"), F.struct("d", "cell")).alias("c")).select("spot", "c.*")
-    members = homes.select("cell", F.col("f").alias("g"))
-    bound = cut(first.join(members, "cell").groupBy("spot").agg(F.min(gap(F.col("f"), F.col("g"))).alias("d2")), "bound")
-    # a small allowance for rounding only adds cells
-    open_ = reach.join(bound, "spot").where(F.col("d") - F.col("radius") <= F.sqrt("d2") * (1 + 1e-9) + 1e-9)
-    found = open_.join(members, "cell").groupBy("spot").agg(F.min(gap(F.col("f"), F.col("g"))).alias("score"))
-    answers = cut(spots.join(found, "spot").select("f", "score"), "answers")
+    # a feature that is not a number or not finite leaves no nearest row
+    lost = spots.where(~finite("f")).select("f", F.when(F.exists("f", lambda x: F.isnan(x)), float("nan")).otherwise(float("inf")).alias("score"))
+    if not chosen:
+        return scaled(rows).join(lost, "f").select("cloud_id", "point_id", "score")
+    box = base.agg(*[f(F.get("f", F.lit(k))).alias(f"{n}{k}") for n, f in (("low", F.min), ("high", F.max)) for k in range(len(values))]).first()
+    low, high = (np.array([box[f"{n}{k}"] for k in range(len(values))]) for n in ("low", "high"))
+    found = nearest_sq(base, spots.where(finite("f")), np.array([r.f for r in chosen]), low, high)
+    answers = cut(spots.join(found, "id").select("f", "score").unionByName(lost), "answers")
     return scaled(rows).join(answers, "f").select("cloud_id", "point_id", "score")

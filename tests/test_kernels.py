@@ -272,6 +272,27 @@ def test_baseline_distance_uses_every_feature(spark):
     assert len(got) == 80 and all(abs(got[i] - want[i]) < 1e-9 for i in range(80))
 
 
+def test_baseline_rows_that_lack_a_feature_are_nobodys_nearest(spark):
+    from pointweave.operators.neighbors import baseline_distance
+
+    frame = lambda rows: spark.createDataFrame([("a", i, *r) for i, r in enumerate(rows)], "cloud_id string, point_id long, f double, g double")
+    base = [(float(i), None) for i in range(30)] + [(0.0, 0.0), (9.0, 2.0)]
+    got = {r.point_id: r.score for r in baseline_distance(frame([(0.0, 0.0), (9.0, 2.0), (1.0, None), (9.0, 3.0)]), frame(base), ["f", "g"]).collect()}
+    assert got.keys() == {0, 1, 3} and got[0] == got[1] == 0.0 and got[3] == pytest.approx(1.0)
+
+
+def test_feature_blocks_find_the_nearest_of_all(spark):
+    from pointweave.operators.featureblocks import nearest_sq
+
+    rng = np.random.default_rng(12)
+    base = np.concatenate([rng.normal(size=(700, 5)), rng.normal(size=(300, 5)) * 1e-3 + 2])
+    ask = np.concatenate([rng.normal(size=(300, 5)) * 3, base[:40]])
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "id long, f array<double>")
+    found = nearest_sq(frame(base), frame(ask), base[:5], base.min(0), base.max(0), block_rows=16).toPandas().sort_values("id")
+    assert found.id.tolist() == list(range(len(ask)))
+    assert np.allclose(found.score, ((ask[:, None] - base[None]) ** 2).sum(-1).min(1), rtol=1e-12, atol=0)
+
+
 def test_strain_of_points_without_edges(spark):
     from helpers import edges
 
