@@ -293,6 +293,36 @@ def test_feature_blocks_find_the_nearest_of_all(spark):
     assert np.allclose(found.score, ((ask[:, None] - base[None]) ** 2).sum(-1).min(1), rtol=1e-12, atol=0)
 
 
+def test_factor_of_a_region_by_levels_and_by_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 700
+    pairs = np.array([(i, j) for i in range(n) for j in (i + 1, i + 25) if j < n and not 300 <= i < 326])
+    dense = np.zeros((n, n))
+    dense[pairs[:, 0], pairs[:, 1]] = dense[pairs[:, 1], pairs[:, 0]] = -rng.random(len(pairs))
+    dense += np.diag(0.1 - dense.sum(axis=1))
+    row, col = np.nonzero(dense)
+    full, starts = np.unique(row, return_index=True)
+    own = {"ids": np.arange(n), "row": full, "starts": starts, "col": col, "value": dense[row, col]}
+    x = rng.normal(size=(n, 3))
+    factor = R._Factor(own)
+    assert len(factor.inverse) > 3 and np.allclose(dense @ factor.solve(x), x)
+    monkeypatch.setattr(R, "FACTOR_BYTES", 0)
+    monkeypatch.setattr(R, "PIECE_UNKNOWNS", 100)
+    got, edge = R._Factor(own).solve(x), np.linspace(0, n, 8).astype(int)
+    assert all(np.allclose(dense[a:b, a:b] @ got[a:b], x[a:b]) for a, b in zip(edge, edge[1:]))
+
+
+def test_products_of_a_system_of_one_block():
+    from pointweave.operators.rowblocks import products_alone
+
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((60, 60)) < rng.random((60, 1)), rng.normal(size=(60, 60)), 0.0) + 9 * np.eye(60)
+    row, col = np.nonzero(dense)
+    full, starts = np.unique(row, return_index=True)
+    x = rng.normal(size=(60, 7))
+    assert np.allclose(products_alone({"row": full, "starts": starts, "col": col, "value": dense[row, col]})(x), dense @ x)
+
+
 def test_strain_of_points_without_edges(spark):
     from helpers import edges
 
