@@ -1,8 +1,9 @@
 """Smallest eigenpairs of a cloud's normalised Laplacian, and heat-kernel signatures.
 
-Chebyshev-filtered subspace iteration for all clouds at once. A cloud's vectors
-are spread over row blocks of bounded size; a filter step is one exchange of
-vector rows between blocks, orthogonalisation and Ritz values come from Gram
+Chebyshev-filtered subspace iteration for all clouds at once. A cloud of bounded
+size is one block and goes through a filter in its task; the vectors of a larger one
+are spread over row blocks, where a filter step is one exchange of
+vector rows between blocks. Orthogonalisation and Ritz values come from Gram
 sums that Spark adds up, and only matrices of the subspace's width meet in one
 task. Everything after the eigenpairs is Catalyst.
 """
@@ -28,6 +29,10 @@ DEGREE, FAVOUR, ROUNDS = 40, 1e6, 80
 TOLERANCE = 1e-5
 #: the first filter, on random vectors: steps, and what it damps
 FIRST_DEGREE, FIRST_HIGH = 8, 1.0
+#: rows of a cloud that one block holds at most, and the bytes of its vectors at most; larger clouds are spread over blocks
+WHOLE_ROWS, WHOLE_BYTES = 1 << 18, 1 << 27
+#: vectors that go through the filter at once, points that leave at once
+PANEL, POINTS = 16, 4096
 #: first place of the terms that are sums of squared residuals
 RESIDUAL = -1
 
@@ -54,7 +59,11 @@ def _filter(k: int):
             yield B.keep(own)
             return
         half, mid = (2.0 - own["high"]) / 2.0, (2.0 + own["high"]) / 2.0
-        while not own["halo"] or messages:
+        if not own["halo"]:
+            _filter_alone(own, half, mid)
+            yield B.keep(own)
+            return
+        while messages:
             x = own["vectors"]
             y = B.product(own, x, messages)
             if own["step"] == 0 and own["ritz"] is not None:
@@ -73,6 +82,25 @@ def _filter(k: int):
     return turn
 
 
+def _filter_alone(own: dict, half: float, mid: float) -> None:
+    """The whole filter where nothing is exchanged, on a few vectors at once, so that only those need room for a step."""
+    x, ritz, times = own["vectors"], own["ritz"], B.products_alone(own)
+    panels = [slice(at, at + PANEL) for at in range(0, x.shape[1], PANEL)]
+    residual, energy = None if ritz is None else np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
+    for some in panels:
+        before, now = None, np.ascontiguousarray(x[:, some])
+        for step in range(own["degree"]):
+            y = times(now)
+            if step == 0 and ritz is not None:
+                residual[some] = ((y - now * ritz[some]) ** 2).sum(axis=0)
+            shifted = (y - mid * now) / half
+            before, now = now, shifted if step == 0 else 2.0 * shifted - before
+        x[:, some] = now
+    for some in panels:
+        energy[:, some] = x.T @ times(np.ascontiguousarray(x[:, some]))
+    own.update(step=own["degree"] + 1, residual=residual, gram=x.T @ x, energy=energy)
+
+
 def _give(own: dict) -> Iterator[tuple]:
     if "result" in own:
         yield B.whole(B.RESULT, own["result"])
@@ -117,9 +145,11 @@ def _point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cloud, data in zip(*(batch.column(c).to_pylist() for c in range(2))):
             found = B.thaw(data)
-            n, k = found["vectors"].shape
-            lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, np.ascontiguousarray(x).ravel()) for x in (np.tile(found["values"], (n, 1)), found["vectors"])]
-            yield pa.RecordBatch.from_arrays([pa.array([cloud] * n), pa.array(found["ids"]), *lists], names=["cloud_id", "point_id", "lambdas", "phi"])
+            for at in range(0, len(found["ids"]), POINTS):
+                ids, vectors = found["ids"][at : at + POINTS], found["vectors"][at : at + POINTS]
+                n, k = vectors.shape
+                lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, np.ascontiguousarray(x).ravel()) for x in (np.tile(found["values"], (n, 1)), vectors)]
+                yield pa.RecordBatch.from_arrays([pa.array([cloud] * n), pa.array(ids), *lists], names=["cloud_id", "point_id", "lambdas", "phi"])
 
 
 def smallest_eigenpairs(laplacian: DataFrame, k: int = 100, points: DataFrame | None = None, block_rows: int = 0, rounds: int = ROUNDS) -> DataFrame:
@@ -136,7 +166,9 @@ def smallest_eigenpairs(laplacian: DataFrame, k: int = 100, points: DataFrame |
         ordered = entries.select("cloud_id", "component", F.col("src").alias("point_id"), F.col("src").alias("at")).distinct()
     else:
         ordered = B.space_order(points).select("cloud_id", component, "point_id", "at")
-    table = B.build_blocks(entries, cut(B.row_places(cut(ordered, "ordered"), block_rows or B.BLOCK_ROWS), "places"))
+    whole = min(WHOLE_ROWS, WHOLE_BYTES // (8 * _width(WHOLE_ROWS, k)))
+    most = F.when(F.col("n") <= whole, whole).otherwise(B.BLOCK_ROWS)
+    table = B.build_blocks(entries, cut(B.row_places(cut(ordered, "ordered"), block_rows or most), "places"))
     blocks = cut(table.select(*B.KEY, "block", "blocks", F.least(F.col("n") - 1, F.lit(k)).cast("int").alias("k")), "block_list")
     several, number = blocks.agg(F.max("blocks"), F.count(F.lit(1))).first()
     wanted = blocks.groupBy(*B.KEY).agg(F.first("k").alias("k"))

@@ -115,11 +115,13 @@ def eigen_residuals(spark, d):
     lap = cut(surface.normalized_laplacian(p, surface.gaussian_weights(e)), "laplacian")
     pairs = spectral.smallest_eigenpairs(lap, 60, p)
     rising = pairs.groupBy("cloud_id").agg(F.first(F.size("lambdas")).alias("pairs"), F.first(F.col("lambdas") == F.array_sort("lambdas")).alias("rising"))
-    entry = pairs.select(*IDS, F.posexplode(F.arrays_zip("lambdas", "phi")).alias("pair", "v")).select(*IDS, "pair", "v.lambdas", "v.phi")
-    image = lap.join(entry.select("cloud_id", F.col("point_id").alias("dst"), "pair", F.col("phi").alias("there")), ["cloud_id", "dst"])
-    image = image.groupBy("cloud_id", F.col("src").alias("point_id"), "pair").agg(F.sum(F.col("value") * F.col("there")).alias("image"))
-    miss = entry.join(image, [*IDS, "pair"]).withColumn("miss", F.col("image") - F.col("lambdas") * F.col("phi"))
-    worst = miss.groupBy("cloud_id", "pair").agg(F.sqrt(F.sum(F.col("miss") * F.col("miss"))).alias("r")).groupBy("cloud_id").agg((F.max("r") < 1e-6).alias("solved"))
+    # all pairs of a point stay one row: entries of the matrix are not multiplied by pairs
+    there = lap.join(pairs.select("cloud_id", F.col("point_id").alias("dst"), "phi"), ["cloud_id", "dst"])
+    terms = there.groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.collect_list(F.struct("value", "phi")).alias("terms"))
+    image = F.aggregate("terms", F.transform("phi", lambda v: F.lit(0.0)), lambda total, t: F.zip_with(total, t["phi"], lambda a, v: a + t["value"] * v))
+    miss = F.zip_with(image, F.zip_with("lambdas", "phi", lambda v, p: v * p), lambda a, b: (a - b) * (a - b))
+    miss = pairs.join(terms, IDS).select("cloud_id", F.posexplode(miss).alias("pair", "miss"))
+    worst = miss.groupBy("cloud_id", "pair").agg(F.sqrt(F.sum("miss")).alias("r")).groupBy("cloud_id").agg((F.max("r") < 1e-6).alias("solved"))
     products = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda o: F.zip_with("phi", F.slice("phi", o + 1, F.greatest(F.size("phi") - o, F.lit(0))), lambda a, b: a * b))
     angle = pairs.select("cloud_id", F.posexplode(products).alias("offset", "v")).select("cloud_id", "offset", F.posexplode("v").alias("pair", "v")).where("v is not null")
     angle = angle.groupBy("cloud_id", "offset", "pair").agg((F.abs(F.sum("v") - (F.col("offset") == 0).cast("int"))).alias("off"))
