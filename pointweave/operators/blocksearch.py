@@ -12,12 +12,12 @@ are shuffled are proportional to the points, whatever the number of neighbours.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,9 @@ from pointweave.operators.rowblocks import freeze, space_order, thaw
 from pointweave.session import cut
 
 #: points of a block and of a run of queries, distances computed at once (they stay in a core's cache), points of other blocks merged at once
-BLOCK_POINTS, RUN_POINTS, CHUNK, MERGED = 1024, 64, 1 << 16, 1 << 14
+BLOCK_POINTS, RUN_POINTS, CHUNK, MERGED = 4096, 64, 1 << 16, 1 << 14
+#: parts of a block that a slice of the curve is cut into
+PIECES = 8
 #: levels of cells: every second one is used, so few of them are
 DEEPEST = 20
 BOX = ["x0", "y0", "z0", "x1", "y1", "z1"]
@@ -35,33 +37,86 @@ POST = "cloud_id string, to int, kind int, sender int, data binary, boxes array<
 
 
 def space_blocks(points: DataFrame, rows: int, values: Sequence[str] = ()) -> DataFrame:
-    """Written (cloud_id, block, blocks, data): the points of a cloud in blocks of about equal size, at most ``rows``, along the curve.
+    """Written (cloud_id, block, blocks, data): the points of a cloud in blocks of about equal size, ``rows`` and a piece at most, along the curve.
 
     ``data`` holds their ids and coordinates, and their ``values`` where some are named.
+    A slice of the curve packs its points into small pieces, and pieces are dealt
+    into blocks, so points are rows only once.
     """
     placed = space_order(points, "x", "y", "z", *values).select("cloud_id", "at", "x", "y", "z", *values)
     ranged = placed.repartitionByRange("cloud_id", "at").sortWithinPartitions("cloud_id", "at")
+    ranged = ranged.select("cloud_id", F.col("at.id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *values)])
+    width = max(1, rows // PIECES)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice (task) counts its rows; those of one cloud follow each other."""
+        place, number = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode()
+            code = names.indices.to_numpy(zero_copy_only=False)
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            if batch.column(1).null_count:
+                raise ValueError("a point of a block has no id")
+            numbers = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(2, batch.num_columns)]).astype(float)
+            ends = [*(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            low, out = 0, []
+            for end in ends:
+                for at in range(low, end, width):
+                    part = slice(at, min(at + width, end))
+                    held = (ids[part].copy(), numbers[part, :3].copy())
+                    data = freeze((*held, numbers[part, 3:].copy()) if values else held)
+                    out.append((names.dictionary[int(code[at])].as_py(), number, place + at, part.stop - at, data))
+                low = end
+            place += batch.num_rows
+            columns = list(zip(*out))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cloud_id", "slice", "place", "rows", "data"])
 
-    # a slice (task) numbers its rows; those of one cloud follow each other
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = cut(ranged.select("cloud_id", F.col("at.id").alias("point_id"), "x", "y", "z", *values, F.spark_partition_id().alias("slice"), place.alias("place")), "curve")
-    slices = numbered.groupBy("cloud_id", "slice").agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"))
+    cut_up = cut(ranged.mapInArrow(pieces, "cloud_id string, slice int, place long, rows long, data binary"), "pieces")
+    slices = cut_up.groupBy("cloud_id", "slice").agg(F.sum("rows").alias("rows"), F.min("place").alias("first"))
     over = Window.partitionBy("cloud_id")
     offsets = slices.select(
         "cloud_id", "slice", (F.sum("rows").over(over.orderBy("slice")) - F.col("rows") - F.col("first")).alias("before"), F.sum("rows").over(over).alias("n")
     )
     blocks = F.ceil(F.col("n") / rows)
     block = F.least(F.floor((F.col("before") + F.col("place")) / F.ceil(F.col("n") / blocks)), blocks - 1).cast("int")
-    dealt = numbered.join(cut(offsets, "offsets"), ["cloud_id", "slice"])
-    dealt = dealt.select("cloud_id", "point_id", "x", "y", "z", *values, block.alias("block"), (F.col("before") + F.col("place")).alias("place"), blocks.cast("int").alias("blocks"))
+    dealt = cut_up.join(cut(offsets, "offsets"), ["cloud_id", "slice"])
+    dealt = dealt.select("cloud_id", block.alias("block"), blocks.cast("int").alias("blocks"), (F.col("before") + F.col("place")).alias("place"), "data")
+    dealt = dealt.repartition("cloud_id", "block").sortWithinPartitions("cloud_id", "block", "place")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cloud, block), letters in groupby(_letters(batches), key=lambda r: r[:2]):
+            letters = list(letters)  # the pieces of one block
+            data = freeze(tuple(np.concatenate(c) for c in zip(*[thaw(r[4]) for r in letters])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([cloud], pa.string()), pa.array([block], pa.int32()), pa.array([letters[0][2]], pa.int32()), pa.array([data], pa.binary())],
+                names=["cloud_id", "block", "blocks", "data"],
+            )
+
+    return cut(dealt.mapInArrow(join, "cloud_id string, block int, blocks int, data binary"), "blocks")
+
+
+def _about(xyz: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by one product of matrices, and by how much those of a query may be off."""
+    centre = np.nan_to_num(queries[len(queries) // 2])
+    p, q = xyz - centre, queries - centre
+    p2, q2 = (np.einsum("ij,ij->i", v, v) for v in (p, q))
+    left, right = np.column_stack([q, q2, np.ones(len(q))]), np.vstack([-2.0 * p.T, np.ones(len(p)), p2])
+    return left @ right, 64 * np.finfo(float).eps * (q2 + np.nanmax(p2, initial=0.0))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        held = (pdf["point_id"].to_numpy(np.int64), pdf[["x", "y", "z"]].to_numpy(float))
-        data = freeze((*held, pdf[list(values)].to_numpy(float)) if values else held)
-        return pd.DataFrame({"cloud_id": [pdf["cloud_id"].iloc[0]], "block": [int(pdf["block"].iloc[0])], "blocks": [int(pdf["blocks"].iloc[0])], "data": [data]})
 
-    return cut(dealt.groupBy("cloud_id", "block").applyInPandas(pack, "cloud_id string, block int, blocks int, data binary"), "blocks")
+def _within(ids: np.ndarray, xyz: np.ndarray, queries: np.ndarray, bound: np.ndarray, own: np.ndarray | None):
+    """(query, place, d2) of the points within the finite ``bound`` of every query."""
+    about, slack = _about(xyz, queries)
+    row, col = np.divmod(np.flatnonzero(about <= (bound + slack)[:, None]), max(1, len(xyz)))
+    gap = [xyz[col, a] - queries[row, a] for a in range(3)]
+    d2 = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+    close = d2 <= bound[row]
+    if own is not None:
+        close &= ids[col] != own[row]
+    return row[close], col[close], d2[close]
 
 
 def nearest(ids: np.ndarray, xyz: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray | None = None, own: np.ndarray | None = None):
@@ -70,6 +125,10 @@ def nearest(ids: np.ndarray, xyz: np.ndarray, queries: np.ndarray, k: int, bound
     step = max(1, CHUNK // max(1, len(ids)))
     for low in range(0, len(queries), step):
         part = slice(low, low + step)
+        if bound is not None and np.isfinite(bound[part]).all():
+            row, col, d2 = _within(ids, xyz, queries[part], bound[part], None if own is None else own[part])
+            out.append(_best(row + low, col, ids[col], d2, k))
+            continue
         gap = [xyz[None, :, a] - queries[part, a, None] for a in range(3)]
         d2 = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
         if own is not None:
@@ -99,14 +158,20 @@ def _places(row: np.ndarray) -> np.ndarray:
     return np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
 
 
-def _bounds(found: tuple, n: int, k: int) -> np.ndarray:
-    """Squared distance of the k-th answer of every query; infinite where there are fewer."""
-    bound = np.full(n, np.inf)
-    full = np.bincount(found[0], minlength=n) >= k
-    last = np.flatnonzero(np.append(found[0][1:] != found[0][:-1], True)) if len(found[0]) else found[0]
-    bound[found[0][last]] = found[2][last]
-    bound[~full] = np.inf
-    return bound
+def _kth(ids: np.ndarray, xyz: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Squared distance of the k-th nearest point of every query or a little more, without its ``own`` id where given; infinite where there are fewer."""
+    out = np.full(len(queries), np.inf)
+    if len(ids) < k:
+        return out
+    step = max(1, CHUNK // len(ids))
+    for low in range(0, len(queries), step):
+        part = slice(low, low + step)
+        d2, slack = _about(xyz, queries[part])
+        if own is not None:
+            d2[ids[None, :] == own[part, None]] = np.inf
+        out[part] = np.maximum(np.partition(d2, k - 1, axis=1)[:, k - 1], 0.0) + slack
+    out[np.isnan(out)] = np.inf
+    return out
 
 
 def _boxes(xyz: np.ndarray, bound: np.ndarray, ext: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,26 +190,33 @@ def _inside(xyz: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return inside
 
 
-def _own_bounds(ids: np.ndarray, xyz: np.ndarray, k: int, own: np.ndarray | None, ext: float) -> np.ndarray:
-    """How far the points of a block have to look: first among their run and those beside it, then in its boxes within the block."""
-    bound = np.full(len(ids), np.inf)
-    for at in range(0, len(ids), RUN_POINTS):
-        run, wide = slice(at, at + RUN_POINTS), slice(max(0, at - RUN_POINTS), at + 2 * RUN_POINTS)
-        bound[run] = _bounds(nearest(ids[wide], xyz[wide], xyz[run], k, own=None if own is None else own[run]), len(ids[run]), k)
-    for n, (low, high) in enumerate(zip(*_boxes(xyz, bound, ext))):
-        run = slice(n * RUN_POINTS, (n + 1) * RUN_POINTS)
-        near = _inside(xyz, low, high)
-        bound[run] = _bounds(nearest(ids[near], xyz[near], xyz[run], k, bound[run], None if own is None else own[run]), len(ids[run]), k)
+def _own_bounds(ids: np.ndarray, xyz: np.ndarray, queries: np.ndarray, at: np.ndarray, k: int, own: np.ndarray | None, ext: float, reach: float) -> np.ndarray:
+    """How far the queries of a block have to look, ``reach`` at most: first among the points beside their run, then in its boxes within the block.
+
+    ``at`` is the place of every query among the points along the curve.
+    """
+    bound = np.full(len(queries), np.inf)
+    for low in range(0, len(queries), RUN_POINTS):
+        run = slice(low, low + RUN_POINTS)
+        wide = slice(max(0, int(at[run][0]) - RUN_POINTS), int(at[run][-1]) + RUN_POINTS + 1)
+        bound[run] = _kth(ids[wide], xyz[wide], queries[run], k, None if own is None else own[run])
+    bound = np.minimum(bound, reach * reach)
+    if len(queries):
+        for n, (low, high) in enumerate(zip(*_boxes(queries, bound, ext))):
+            run = slice(n * RUN_POINTS, (n + 1) * RUN_POINTS)
+            near = _inside(xyz, low, high)
+            bound[run] = np.minimum(bound[run], _kth(ids[near], xyz[near], queries[run], k, None if own is None else own[run]))
     return bound
 
 
 class _Block:
-    """A block's points and the best answers so far; ``more`` brings points of other blocks."""
+    """A block's points, its queries and the best answers so far; ``more`` brings points of other blocks."""
 
     def __init__(self, data: bytes, k: int, skip_self: bool):
-        self.ids, self.xyz, self.bound, self.ext = thaw(data)
+        self.ids, self.xyz, self.asks, self.places, self.bound, self.ext = thaw(data)
         self.k, self.skip_self = k, skip_self
-        self.low, self.high = _boxes(self.xyz, self.bound, self.ext)
+        if len(self.asks):
+            self.low, self.high = _boxes(self.places, self.bound, self.ext)
         self.waiting, self.size, self.best = [(self.ids, self.xyz, True)], len(self.ids), None
 
     def more(self, data: bytes) -> None:
@@ -158,11 +230,11 @@ class _Block:
         ids, xyz = (np.concatenate([w[c] for w in self.waiting]) for c in (0, 1))
         mine = np.concatenate([np.arange(len(w[0])) if w[2] else np.full(len(w[0]), -1) for w in self.waiting])
         self.waiting, self.size = [], 0
-        parts = []
-        for n, at in enumerate(range(0, len(self.ids), RUN_POINTS)):
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for n, at in enumerate(range(0, len(self.asks), RUN_POINTS)):
             run = slice(at, at + RUN_POINTS)
             near = np.flatnonzero(_inside(xyz, self.low[n], self.high[n]))
-            row, col, d2 = nearest(ids[near], xyz[near], self.xyz[run], self.k, self.bound[run], self.ids[run] if self.skip_self else None)
+            row, col, d2 = nearest(ids[near], xyz[near], self.places[run], self.k, self.bound[run], self.asks[run] if self.skip_self else None)
             parts.append((row + at, near[col], d2))
         row, col, d2 = (np.concatenate(c) for c in zip(*parts))
         found = (row, ids[col], mine[col], xyz[col], d2)
@@ -178,32 +250,64 @@ class _Block:
         return self.best
 
 
-def self_search(points: DataFrame, k: int, skip_self: bool, block_points: int = 0, repeated: bool = False) -> DataFrame:
+#: what a search gives where no digest is asked for
+ANSWERS = "cloud_id string, src long, dst long, d2 double, rank int, dx double, dy double, dz double, back boolean"
+
+
+def _answers(ids: np.ndarray, row: np.ndarray, found: np.ndarray, d2: np.ndarray, way: np.ndarray, back: np.ndarray, inside: np.ndarray) -> list[pa.Array]:
+    return [pa.array(ids[row]), pa.array(found), pa.array(d2), pa.array((_places(row) + 1).astype(np.int32)), *[pa.array(way[:, a]) for a in range(3)], pa.array(back, mask=~inside)]
+
+
+def self_search(
+    points: DataFrame, k: int, skip_self: bool, block_points: int = 0, repeated: bool = False, queries: DataFrame | None = None, reach: float = float("inf"),
+    digest: Callable[..., list[pa.Array]] = _answers, schema: str = ANSWERS,
+) -> DataFrame:
     """(cloud_id, src, dst, d2, rank, dx, dy, dz, back): the k nearest points of every point, ties by id.
 
     ``skip_self`` leaves out the point's own id. ``dx``.. is the way from the
     point to its neighbour. ``back`` says whether the point is among its
     neighbour's answers too; null where the neighbour is in another block. Where
     ids are ``repeated`` it says nothing, and a row counts once for every row of its id.
+
+    With ``queries`` (their ids are not null) these ask, not the points, and none
+    looks farther than about ``reach``; ``back`` says nothing then.
+
+    Where only something made of the answers is wanted, ``digest`` makes the
+    columns of ``schema`` after cloud_id from those of a block (ids of those that
+    ask; per answer, by row and rank: row, id found, d2, way, back and whether
+    that is known), so answers need not leave it.
     """
     rows = max(block_points or BLOCK_POINTS, 4 * (k + 1))
     base = points.select("cloud_id", "point_id", "x", "y", "z").where(F.col("point_id").isNotNull())
     if repeated:
         base = base.join(base.select("cloud_id", "point_id"), ["cloud_id", "point_id"])
-    table = space_blocks(base, rows)
+    foreign = queries is not None
+    if foreign:
+        asking = queries.select("cloud_id", "point_id", "x", "y", "z", F.lit(1.0).alias("asks"))
+        base = base.withColumn("asks", F.lit(0.0)).unionByName(asking)
+    table = space_blocks(base, rows, ["asks"] if foreign else [])
+
+    def parts(data: bytes) -> tuple[np.ndarray, ...]:
+        """A block's points, those that ask, and the places of these among the points."""
+        ids, xyz, *asks = thaw(data)
+        if not asks:
+            return ids, xyz, ids, xyz, np.arange(len(ids))
+        asks = asks[0][:, 0] > 0
+        return ids[~asks], xyz[~asks], ids[asks], xyz[asks], np.cumsum(~asks)[asks]
+
     frame = cut(frame_of(base).select("cloud_id", "ox", "oy", "oz", "ext"), "frame")
     framed = table.join(frame, "cloud_id").select("cloud_id", "block", "blocks", "ox", "oy", "oz", "ext", "data")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block with how far its points have to look (run -1), and its runs with the boxes of their balls."""
         for cloud, block, blocks, *_, ext, data in _letters(batches):
-            ids, xyz = thaw(data)
-            bound = np.full(len(ids), np.inf)
-            if blocks > 1:
-                bound = _own_bounds(ids, xyz, k, ids if skip_self else None, ext)
-            out = [(-1, 0, *np.fmin.reduce(xyz, axis=0), *np.fmax.reduce(xyz, axis=0), freeze((ids, xyz, bound, ext)))]
-            if blocks > 1:
-                for run, (low, high) in enumerate(zip(*_boxes(xyz, bound, ext))):
+            ids, xyz, asks, places, at = parts(data)
+            bound = _own_bounds(ids, xyz, places, at, k, asks if skip_self else None, ext, reach)
+            # the pickle keeps points that ask once
+            box = [f.reduce(xyz, axis=0, initial=v) for f, v in ((np.fmin, np.inf), (np.fmax, -np.inf))]
+            out = [(-1, 0, *box[0], *box[1], freeze((ids, xyz, asks, places, bound, ext)))]
+            if blocks > 1 and len(asks):
+                for run, (low, high) in enumerate(zip(*_boxes(places, bound, ext))):
                     side = float((high - low).max())
                     level = int(np.clip(np.floor(np.log2(ext / side)) if side > 0 else DEEPEST, 0, DEEPEST)) // 2 * 2
                     out.append((run, level, *low, *high, None))
@@ -226,7 +330,7 @@ def self_search(points: DataFrame, k: int, skip_self: bool, block_points: int =
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells of every wanted level that a block's points lie in."""
         for cloud, block, ox, oy, oz, ext, levels, data in _letters(batches):
-            xyz = thaw(data)[1]
+            xyz = parts(data)[1]
             xyz = xyz[np.isfinite(xyz).all(axis=1)]
             for level in levels:
                 at = np.clip(np.floor((xyz - (ox, oy, oz)) / ext * 2.0**level), 0, 2**level - 1).astype(np.int64)
@@ -266,7 +370,7 @@ def self_search(points: DataFrame, k: int, skip_self: bool, block_points: int =
             ids = xyz = None
             for _, to, kind, sender, data, boxes in letters:
                 if kind == 0:
-                    ids, xyz = thaw(data)
+                    ids, xyz = parts(data)[:2]
                     continue
                 held = np.zeros(len(ids), dtype=bool)
                 for box in boxes:
@@ -285,22 +389,16 @@ def self_search(points: DataFrame, k: int, skip_self: bool, block_points: int =
             row, found, mine, place, d2 = block.answers()
             n, inside = len(block.ids), mine >= 0
             pair = row * n + mine
-            back = np.isin(mine * n + row, pair[inside])
-            way = place - block.xyz[row]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([cloud] * len(row), pa.string()), pa.array(block.ids[row]), pa.array(found), pa.array(d2), pa.array((_places(row) + 1).astype(np.int32)),
-                    *[pa.array(way[:, a]) for a in range(3)], pa.array(back, mask=~inside),
-                ],
-                names=["cloud_id", "src", "dst", "d2", "rank", "dx", "dy", "dz", "back"],
-            )
+            back = inside & False if foreign else np.isin(mine * n + row, pair[inside])
+            columns = digest(block.asks, row, found, d2, place - block.places[row], back, back if foreign else inside)
+            yield pa.RecordBatch.from_arrays([pa.array([cloud] * len(columns[0]), pa.string()), *columns], names=[c.split()[0] for c in schema.split(", ")])
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("cloud_id", "to").sortWithinPartitions("cloud_id", "to", "kind")
 
     answers = dealt(home.unionByName(mail)).mapInArrow(answer, POST)
     mine = own.select("cloud_id", F.col("block").alias("to"), F.lit(0).alias("kind"), F.lit(-1).alias("sender"), "data", none)
-    return dealt(mine.unionByName(answers)).mapInArrow(finish, "cloud_id string, src long, dst long, d2 double, rank int, dx double, dy double, dz double, back boolean")
+    return dealt(mine.unionByName(answers)).mapInArrow(finish, schema)
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

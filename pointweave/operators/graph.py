@@ -202,10 +202,12 @@ def rings(components_: DataFrame, edges: DataFrame, hops: int = 3, label: str =
 
 def adjacent_components(labels: DataFrame, edges: DataFrame, label: str = "component") -> DataFrame:
     """Distinct pairs (a < b) of components that an edge connects."""
+    # both directions are stored, so one of them is enough
+    edges = edges.where(F.col("src") <= F.col("dst"))
     left = labels.select("cloud_id", F.col("point_id").alias("src"), F.col(label).alias("a"))
     right = labels.select("cloud_id", F.col("point_id").alias("dst"), F.col(label).alias("b"))
     pairs = edges.select("cloud_id", "src", "dst").join(left, ["cloud_id", "src"]).join(right, ["cloud_id", "dst"])
-    return pairs.where(F.col("a") < F.col("b")).select("cloud_id", "a", "b").distinct()
+    return pairs.where(F.col("a") != F.col("b")).select("cloud_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def gap_groups(labels: DataFrame, edges: DataFrame, max_gap: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +95,11 @@ def ids_repeat(points: DataFrame) -> bool:
     return not is_empty(points.groupBy("cloud_id", "point_id").count().where(F.col("count") > 1))
 
 
+def copies_crowd(points: DataFrame, k: int) -> bool:
+    """Whether a coordinate has so many points that its copies fill the k nearest of one of them."""
+    return not is_empty(points.groupBy("cloud_id", "x", "y", "z").count().where(F.col("count") > k + 1))
+
+
 def knn_join(
     points: DataFrame, k: int, queries: DataFrame | None = None, cap: int | None = None, skip_same_id: bool | None = None,
     extra: Sequence[str] = (), repeated: bool | None = None,
@@ -120,7 +126,7 @@ def knn_join(
         repeated = ids_repeat(base)
     if repeated:
         extra, self_join = [], queries is None
-    alone = is_empty(base.groupBy(*spot).count().where(F.col("count") > k + 1))
+    alone = not copies_crowd(base, k)
     if alone and self_join:
         return self_search(base, k, skip, repeated=repeated).select("cloud_id", "src", "dst", F.sqrt("d2").alias("dist"), "rank", *extra)
     if alone:
@@ -189,6 +195,51 @@ def mutual(directed: DataFrame) -> DataFrame:
     return directed.join(back, ["cloud_id", "src", "dst"]).select("cloud_id", "src", "dst", "dist")
 
 
+#: sums of the offsets to the nearest neighbours and of their products, as :func:`pointweave.operators.surface.scatter_aggs` names them
+MOMENTS = "cloud_id string, point_id long, n long, " + ", ".join(f"s{c} double" for c in ("x", "y", "z", "xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+def knn_moments(points: DataFrame, k: int) -> DataFrame | None:
+    """Count, sums and second moments of the offsets to every point's k nearest, summed where they are found.
+
+    None where ids repeat or copies crowd a coordinate: then only the listed neighbours tell.
+    """
+    base = points.select("cloud_id", "point_id", "x", "y", "z")
+    if ids_repeat(base) or copies_crowd(base, k):
+        return None
+
+    def sums(ids: np.ndarray, row: np.ndarray, found: np.ndarray, d2: np.ndarray, way: np.ndarray, back: np.ndarray, inside: np.ndarray) -> list[pa.Array]:
+        n = np.bincount(row, minlength=len(ids))
+        some = n > 0
+        terms = [*(way[:, a] for a in range(3)), *(way[:, a] * way[:, b] for a in range(3) for b in range(a, 3))]
+        return [pa.array(ids[some]), pa.array(n[some]), *[pa.array(np.bincount(row, t, minlength=len(ids))[some]) for t in terms]]
+
+    return self_search(base, k, True, digest=sums, schema=MOMENTS)
+
+
+def _mutual_pairs(points: DataFrame, k: int, way: Sequence[str]) -> DataFrame:
+    """What a block knows of mutual pairs (cloud_id, src, dst, dist, back, dx, dy, dz), longer than 0, by the search itself.
+
+    A pair inside a block comes once, with src below dst and ``back`` true, if it
+    is mutual; an answer in another block comes with ``back`` null. A row without
+    ``src`` holds the number (dst) and the sum (dist) of all the block's positive distances.
+    """
+    ways = ["dx", "dy", "dz"] if way else []
+
+    def pairs(ids: np.ndarray, row: np.ndarray, found: np.ndarray, d2: np.ndarray, way: np.ndarray, back: np.ndarray, inside: np.ndarray) -> list[pa.Array]:
+        dist, src = np.sqrt(d2), ids[row]
+        apart = dist > 0
+        keep = apart & (~inside | (back & (src < found)))
+        rows = [pa.array(np.append(v[keep], last)) for v, last in ((src, 0), (found, apart.sum()), (dist, dist[apart].sum()))]
+        none = np.append(np.zeros(keep.sum(), dtype=bool), True)
+        rows[0] = pa.array(np.append(src[keep], 0), mask=none)
+        known = pa.array(np.append(back[keep], False), mask=np.append(~inside[keep], True))
+        return [*rows, known, *[pa.array(np.append(way[keep, a], 0.0)) for a in range(len(ways))]]
+
+    schema = "cloud_id string, src long, dst long, dist double, back boolean" + "".join(f", {c} double" for c in ways)
+    return self_search(points.select("cloud_id", "point_id", "x", "y", "z"), k, True, digest=pairs, schema=schema)
+
+
 def mutual_knn(points: DataFrame, k: int = 16, cap_factor: float = 2.5, way: Sequence[str] = ()) -> DataFrame:
     """Edges between points that are among each other's k nearest, stored in both directions.
 
@@ -198,14 +249,21 @@ def mutual_knn(points: DataFrame, k: int = 16, cap_factor: float = 2.5, way: Seq
     """
     if ids_repeat(points):
         return mutual(radius_cap(cut(knn_join(points, k, repeated=True), "knn"), cap_factor))
-    near = radius_cap(cut(knn_join(points, k, extra=[*way, "back"], repeated=False).drop("rank"), "knn"), cap_factor)
+    if copies_crowd(points, k):
+        near = radius_cap(cut(knn_join(points, k, extra=[*way, "back"], repeated=False).drop("rank"), "knn"), cap_factor)
+    else:
+        found = cut(_mutual_pairs(points, k, way), "knn")
+        mean = found.where("src is null").groupBy("cloud_id").agg((F.sum("dist") / F.sum("dst")).alias("mean_dist"))
+        near = found.where("src is not null").join(mean, "cloud_id").where(F.col("dist") <= F.col("mean_dist") * cap_factor).drop("mean_dist")
     forward = F.col("src") < F.col("dst")
     turned = [F.when(forward, F.col(c)).otherwise(-F.col(c)).alias(c) for c in way]
     pairs = near.where(F.col("back").isNull()).select("cloud_id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), "dist", *turned)
     met = pairs.groupBy("cloud_id", "low", "high").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("dist", *way)]).where("n = 2")
-    ends = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), *[(s * F.col(c)).alias(c) for c in way]) for a, b, s in (("low", "high", F.lit(1.0)), ("high", "low", F.lit(-1.0)))]
-    met = met.select("cloud_id", "dist", F.explode(F.array(*ends)).alias("e")).select("cloud_id", "e.src", "e.dst", "dist", *[f"e.{c}" for c in way])
-    return near.where("back").select("cloud_id", "src", "dst", "dist", *way).unionByName(met)
+    # a pair inside a block is here once, or in both directions where answers were listed
+    known = near.where("back").where(forward).select("cloud_id", F.col("src").alias("low"), F.col("dst").alias("high"), "dist", *way)
+    both = known.unionByName(met.select("cloud_id", "low", "high", "dist", *way))
+    ends = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), *[v(F.col(c)).alias(c) for c in way]) for a, b, v in (("low", "high", lambda c: c), ("high", "low", lambda c: 0.0 - c))]
+    return both.select("cloud_id", "dist", F.explode(F.array(*ends)).alias("e")).select("cloud_id", "e.src", "e.dst", "dist", *[f"e.{c}" for c in way])
 
 
 def mutual_from_knn(knn: DataFrame, k: int, cap_factor: float) -> DataFrame:
@@ -241,12 +299,22 @@ def radius_join(points: DataFrame, radius: float, inner: float | None = None, in
 
 def nearest_within(points: DataFrame, queries: DataFrame, tolerance: float | DataFrame) -> DataFrame:
     """Nearest point of every query, kept when it is within the tolerance (a number or a per-cloud table)."""
-    one = knn_join(points, 1, queries=queries, skip_same_id=False)
     if isinstance(tolerance, DataFrame):
+        one = knn_join(points, 1, queries=queries, skip_same_id=False)
         one = one.join(tolerance, "cloud_id").where(F.col("dist") <= F.col("tolerance"))
-    else:
-        one = one.where(F.col("dist") <= tolerance)
-    return one.select("cloud_id", "src", "dst", "dist")
+        return one.select("cloud_id", "src", "dst", "dist")
+    # points and queries lie in the same blocks and none looks farther than it may; a place answers by its first id (null: the first of all)
+    lost = F.lit(np.iinfo(np.int64).min)
+    asks = queries.select("cloud_id", F.coalesce("point_id", lost).alias("point_id"), "x", "y", "z")
+    spots = points.groupBy("cloud_id", "x", "y", "z").agg(F.min(F.coalesce("point_id", lost)).alias("point_id"))
+    found = self_search(spots, 1, False, queries=asks, reach=float(tolerance) * (1 + 1e-9), digest=_one_answer, schema="cloud_id string, src long, dst long, d2 double")
+    # an id that several queries share has one answer
+    one = found.groupBy("cloud_id", "src").agg(F.min(F.struct("d2", "dst")).alias("e")).select("cloud_id", "src", "e.dst", F.sqrt("e.d2").alias("dist"))
+    return one.where(F.col("dist") <= tolerance).select("cloud_id", F.nullif("src", lost).alias("src"), F.nullif("dst", lost).alias("dst"), "dist")
+
+
+def _one_answer(ids: np.ndarray, row: np.ndarray, found: np.ndarray, d2: np.ndarray, way: np.ndarray, back: np.ndarray, inside: np.ndarray) -> list[pa.Array]:
+    return [pa.array(ids[row]), pa.array(found), pa.array(d2)]
 
 
 def degrees(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import add_eigenvalues, add_low_vector
@@ -82,9 +82,27 @@ def surface_variation(points: DataFrame, knn: DataFrame, scales: Sequence[int] =
     return points.select(*POINT).join(out, POINT, "left").select(*POINT, F.coalesce("sv", F.lit(0.0)).alias("sv"))
 
 
+def moments_of(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The :func:`scatter_aggs` of every point's neighbourhood."""
+    return offsets(points, pairs).groupBy("cloud_id", F.col("src").alias("point_id")).agg(*scatter_aggs())
+
+
+def nearest_moments(points: DataFrame, k: int) -> DataFrame:
+    """The same of the k nearest of every point; the search sums them itself where it can, so no neighbours are listed."""
+    from pointweave.operators.neighbors import knn_join, knn_moments
+
+    moments = knn_moments(points, k)
+    return moments_of(points, knn_join(points, k, extra=["dx", "dy", "dz"])) if moments is None else moments
+
+
 def pca_features(points: DataFrame, pairs: DataFrame, min_neighbors: int = 3, divisor: str = "k") -> DataFrame:
     """Normals (nx, ny, nz), curvature, centroid and neighbour count of every point's neighbourhood."""
-    moments = offsets(points, pairs).groupBy("cloud_id", F.col("src").alias("point_id")).agg(*scatter_aggs())
+    # written out, because a later filter on a normal would be pushed down through every stage and inlined there
+    return cut(features_of(moments_of(points, pairs), min_neighbors, divisor), "features")
+
+
+def features_of(moments: DataFrame, min_neighbors: int = 3, divisor: str = "k", keep: Sequence[str] = ()) -> DataFrame:
+    """:func:`pca_features` from the moments; ``keep`` columns ride along."""
     moments = moments.where(F.col("n") >= min_neighbors)
     count = F.col("n") if divisor == "k" else F.greatest(F.col("n") - 1, F.lit(1))
     entries = ["m" + a + b for a, b in _PAIRS]
@@ -94,8 +112,9 @@ def pca_features(points: DataFrame, pairs: DataFrame, min_neighbors: int = 3, di
     moments = moments.withColumn("low0", F.greatest("low", F.lit(0.0))).withColumn(
         "total", F.col("low0") + F.greatest("mid", F.lit(0.0)) + F.greatest("high", F.lit(0.0))
     )
-    features = moments.select(
+    return moments.select(
         *POINT,
+        *keep,
         F.col("n").alias("neighbors"),
         "nx",
         "ny",
@@ -103,8 +122,6 @@ def pca_features(points: DataFrame, pairs: DataFrame, min_neighbors: int = 3, di
         F.when(F.col("total") > 1e-15, F.col("low0") / F.nullif("total", F.lit(0.0))).alias("curvature"),
         *[(F.col("s" + a) / F.col("n")).alias("m" + a) for a in "xyz"],
     )
-    # written out, because a later filter on a normal would be pushed down through every stage and inlined there
-    return cut(features, "features")
 
 
 def plane_smooth(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -140,34 +157,35 @@ def open_boundary(
     points: DataFrame, edges: DataFrame, angle_deg: float = 110.0, min_neighbors: int = 8, low_policy: str = "boundary"
 ) -> DataFrame:
     """(cloud_id, point_id, degree, max_gap, boundary): widest empty angle around a point in its tangent plane."""
-    normals = pca_features(points, edges, min_neighbors=3)
-    normals = normals.where(F.col("nx").isNotNull()).select(
-        "cloud_id", F.col("point_id").alias("src"), "neighbors", "nx", "ny", "nz"
+    # all edges of a point meet once, in one row with its list: its moments, its normal and its angles come from there
+    way = F.struct("dx", "dy", "dz")
+    lists = offsets(points, edges).groupBy("cloud_id", F.col("src").alias("point_id"))
+    lists = lists.agg(*scatter_aggs(), F.collect_list(way).alias("ways"))
+    # written out, because a filter on a normal would be pushed down through every stage and inlined there
+    normals = cut(features_of(lists, 3, keep=["ways"]), "normals").where(F.col("nx").isNotNull())
+    few = F.col("neighbors") < min_neighbors
+    frames = add_tangent_basis(normals.select(*POINT, "neighbors", "nx", "ny", "nz", F.when(~few, F.col("ways")).alias("ways")))
+    flat = F.transform(
+        "ways",
+        lambda e: F.struct(
+            (e["dx"] * F.col("ux") + e["dy"] * F.col("uy") + e["dz"] * F.col("uz")).alias("px"),
+            (e["dx"] * F.col("vx") + e["dy"] * F.col("vy") + e["dz"] * F.col("vz")).alias("py"),
+        ),
     )
-    frames = cut(add_tangent_basis(normals.where(F.col("neighbors") >= min_neighbors)), "tangents")
-    rows = offsets(points, edges).join(frames, ["cloud_id", "src"])
-    px = F.col("dx") * F.col("ux") + F.col("dy") * F.col("uy") + F.col("dz") * F.col("uz")
-    py = F.col("dx") * F.col("vx") + F.col("dy") * F.col("vy") + F.col("dz") * F.col("vz")
-    flat = rows.select("cloud_id", "src", px.alias("px"), py.alias("py"))
-    flat = flat.where(F.col("px") * F.col("px") + F.col("py") * F.col("py") > 1e-18)
+    frames = frames.select(*POINT, "neighbors", flat.alias("flat"))
+    seen = F.filter("flat", lambda e: e["px"] * e["px"] + e["py"] * e["py"] > 1e-18)
     two_pi = 2.0 * math.pi
-    turned = flat.select("cloud_id", "src", F.pmod(F.atan2("py", "px"), F.lit(two_pi)).alias("angle"))
-    w = Window.partitionBy("cloud_id", "src").orderBy("angle")
-    turned = turned.withColumn("gap", F.col("angle") - F.lag("angle").over(w))
-    gaps = turned.groupBy("cloud_id", "src").agg(
-        F.count(F.lit(1)).alias("seen"),
-        F.greatest(
-            F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(two_pi) - F.max("angle") + F.min("angle")
-        ).alias("max_gap"),
-    )
-    gaps = gaps.where(F.col("seen") >= 2).select("cloud_id", F.col("src").alias("point_id"), "max_gap")
-    known = normals.select("cloud_id", F.col("src").alias("point_id"), "neighbors")
+    angles = F.array_sort(F.transform(seen, lambda e: F.pmod(F.atan2(e["py"], e["px"]), F.lit(two_pi))))
+    turned = frames.select(*POINT, "neighbors", angles.alias("a"))
+    n = F.size("a")
+    gaps = F.zip_with(F.slice("a", 2, F.greatest(n - 1, F.lit(0))), F.slice("a", 1, F.greatest(n - 1, F.lit(0))), lambda high, low: high - low)
+    widest = F.greatest(F.coalesce(F.array_max(gaps), F.lit(0.0)), F.lit(two_pi) - F.get("a", n - 1) + F.get("a", F.lit(0)))
+    known = turned.select(*POINT, "neighbors", F.when(n >= 2, widest).alias("max_gap"))
     low = (F.col("neighbors") < min_neighbors) if low_policy == "boundary" else F.lit(False)
     wide = F.coalesce(F.col("max_gap") > math.radians(angle_deg), F.lit(False))
     return (
         points.select(*POINT)
         .join(known, POINT, "left")
-        .join(gaps, POINT, "left")
         .select(
             *POINT,
             F.coalesce("neighbors", F.lit(0)).cast("long").alias("degree"),

@@ -297,7 +297,7 @@ EIGEN = [
 )
 def surface_moments(spark, d):
     p = cut(T.events_cloud(spark, d), "cloud")
-    m = surface.offsets(p, NB.knn_join(p, 8, extra=WAY)).groupBy("cloud_id", F.col("src").alias("point_id")).agg(*surface.scatter_aggs())
+    m = surface.nearest_moments(p, 8)
     names = ["xx", "xy", "xz", "yy", "yz", "zz"]
     entries = [F.round(v / (F.col("n") - 1), 8).alias(n) for v, n in zip(surface.scatter_matrix(), names)]
     return m.select(*IDS, "n", *entries)
@@ -335,7 +335,7 @@ def surface_variation(spark, d):
 )
 def curvature(spark, d):
     p = cut(T.events_cloud(spark, d), "cloud")
-    return surface.pca_features(p, NB.knn_join(p, 8, extra=WAY)).select(*IDS, r6("curvature").alias("curvature"))
+    return surface.features_of(surface.nearest_moments(p, 8)).select(*IDS, r6("curvature").alias("curvature"))
 
 
 NORMALS = [
@@ -358,7 +358,7 @@ NORMALS = [
 def pca_normals(spark, d):
     """Normals without their arbitrary sign: entries of n n^T."""
     p = cut(T.events_cloud(spark, d), "cloud")
-    f = surface.pca_features(p, NB.knn_join(p, 8, extra=WAY))
+    f = cut(surface.features_of(surface.nearest_moments(p, 8)), "features")
     nx, ny = F.col("nx"), F.col("ny")
     return f.select(*IDS, r6(nx * nx, 4).alias("nxx"), r6(ny * ny, 4).alias("nyy"), r6(nx * ny, 4).alias("nxy"))
 
@@ -384,8 +384,7 @@ def pca_normals(spark, d):
 def open_boundary(spark, d):
     """Widest angular gap; five neighbours are enough in this sparse graph."""
     p = cut(T.events_cloud(spark, d), "cloud")
-    e = cut(NB.mutual_knn(p, 8, 2.5, WAY), "edges")
-    b = surface.open_boundary(p, e, 110.0, 5)
+    b = surface.open_boundary(p, NB.mutual_knn(p, 8, 2.5, WAY), 110.0, 5)  # reads the edges once
     return b.select(*IDS, r6("max_gap", 4).alias("max_gap"), "boundary")
 
 

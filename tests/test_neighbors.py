@@ -2,7 +2,7 @@ import numpy as np
 from helpers import brute_knn, cloud
 from pyspark.sql import functions as F
 
-from pointweave.operators import balls, blocksearch, neighbors as NB
+from pointweave.operators import balls, blocksearch, graph, neighbors as NB, surface
 from pointweave.session import cut
 
 
@@ -164,3 +164,61 @@ def test_seed_graph_joins_nothing_of_the_seeds_size(spark):
     pairs = {(i, j) for i in seeds for j in want[i] if j in scale and i in want[j] and d[i, j] <= 1.6 * np.sqrt(scale[i] * scale[j])}
     assert set(zip(have.src, have.dst)) == pairs and len(have) == len(pairs)
     assert np.allclose(have.dist, d[have.src, have.dst])
+
+
+def test_nearest_within_goes_through_the_blocks(spark, monkeypatch):
+    """Equal to brute force with shared ids, copies, ties, a null id and a missing coordinate; the cell walk is not needed."""
+    monkeypatch.setattr(NB, "_search", None)
+    rng = np.random.default_rng(15)
+    base, ask = rng.integers(0, 6, size=(300, 3)).astype(float), rng.random((200, 3)) * 8
+    points = cloud(spark, base).withColumn("point_id", F.expr("nullif(point_id, 7)"))
+    asks = cloud(spark, ask, ids=np.arange(200) // 2).withColumn("z", F.expr("if(x < 0.5, null, z)"))
+    have = {r.src: (r.dst, r.dist) for r in NB.nearest_within(points, asks, 1.0).collect()}
+    d = np.sqrt(((ask[:, None] - base[None]) ** 2).sum(-1))
+    d[ask[:, 0] < 0.5] = np.inf
+    order = np.array([-1 if i == 7 else i for i in range(300)])
+    for src in range(100):
+        rows = d[2 * src : 2 * src + 2]
+        if rows.min() > 1.0:
+            assert src not in have
+            continue
+        dist = rows.min()
+        best = order[np.flatnonzero((rows == dist).any(axis=0))].min()
+        assert have[src] == (None if best < 0 else best, dist)
+
+
+def test_search_sums_moments_where_neighbours_are_found(spark):
+    """The same sums as from listed neighbours, over many blocks too; none where ids repeat or copies crowd a place."""
+    rng = np.random.default_rng(16)
+    df = cut(cloud(spark, rng.normal(size=(300, 3))))
+    names = ["n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz"]
+    want = surface.moments_of(df, NB.knn_join(df, 6)).toPandas().sort_values("point_id")
+    have = NB.knn_moments(df, 6).toPandas().sort_values("point_id")
+    assert np.allclose(have[["point_id", *names]].to_numpy(float), want[["point_id", *names]].to_numpy(float))
+    assert NB.knn_moments(df.unionByName(df.where("point_id < 2")), 6) is None
+    assert NB.knn_moments(cloud(spark, np.zeros((9, 3))), 6) is None
+
+
+def test_mutual_pairs_leave_a_block_once(spark):
+    """No directed neighbour lists are written: pairs inside a block come once, and only if they are mutual."""
+    rng = np.random.default_rng(17)
+    xyz = rng.normal(size=(200, 3))
+    rows = NB._mutual_pairs(cloud(spark, xyz), 5, []).toPandas()
+    pairs = rows[rows.src.notna()]
+    want = brute_knn(xyz, 5)
+    assert set(zip(pairs.src, pairs.dst)) == {(i, j) for i in range(200) for j in want[i] if i < j and i in want[j]} and len(rows) == len(pairs) + 1
+    assert rows[rows.src.isna()].dst.item() == 1000
+
+
+def test_open_boundary_and_adjacency_read_an_edge_once(spark):
+    """The edges of a point meet in one grouping, and an undirected edge is asked for its two components once."""
+    rng = np.random.default_rng(18)
+    df = cut(cloud(spark, rng.normal(size=(60, 3))))
+    edges = cut(NB.mutual_knn(df, 5, way=["dx", "dy", "dz"]))
+    names = cut(df.select("cloud_id", "point_id", (F.col("point_id") % 4).alias("component")))
+    plan = graph.adjacent_components(names, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(src" in plan and "<= dst" in plan
+    have = {(r.a, r.b) for r in graph.adjacent_components(names, edges).collect()}
+    assert have == {(r.src % 4, r.dst % 4) for r in edges.collect() if r.src % 4 < r.dst % 4}
+    plan = surface.open_boundary(df, edges, 110.0, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
