@@ -371,15 +371,15 @@ def _seed_edges(near: DataFrame, seeds: DataFrame, k: int, scale_k: int, factor:
     return kept.select("cloud_id", F.explode(both).alias("e"), "dist").select("cloud_id", "e.src", "e.dst", "dist")
 
 
-#: rows whose distances give the feature-space search its first bounds, at most
-PIVOTS = 256
+#: rows of the sample whose planes cut the feature space, at most
+PIVOTS = 4096
 
 
 def baseline_distance(rows: DataFrame, baseline: DataFrame, values: list[str]) -> DataFrame:
     """Squared distance of every row to its nearest baseline row, all features z-scored by the baseline.
 
-    Exact in any number of dimensions: equal rows are searched once, by blocks of
-    the feature space (see :func:`pointweave.operators.featureblocks.nearest_sq`).
+    Exact in any number of dimensions: equal baseline rows count once, the search goes by
+    blocks of the feature space (see :func:`pointweave.operators.featureblocks.nearest_sq`).
     A row that lacks a feature has no distance and is left out.
     """
     stats = baseline.agg(
@@ -398,16 +398,16 @@ def baseline_distance(rows: DataFrame, baseline: DataFrame, values: list[str]) -
         return F.forall(f, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
     whole = F.forall("f", lambda x: x.isNotNull())
-    number = F.monotonically_increasing_id().alias("id")
-    base = cut(scaled(baseline).where(whole & finite("f")).select("f").distinct().select(number, "f"), "baseline")
-    spots = cut(scaled(rows).where(whole).groupBy("f").agg(F.min("point_id").alias("_any")).select(number, "f"), "spots")
+    base = cut(scaled(baseline).where(whole & finite("f")).select("f").distinct(), "baseline")
+    asks = scaled(rows).where(whole)
     chosen = base.orderBy(F.xxhash64("f")).limit(min(PIVOTS, max(1, int((stats["n"] or 0) ** 0.5)))).collect()  # at most PIVOTS rows
     # a feature that is not a number or not finite leaves no nearest row
-    lost = spots.where(~finite("f")).select("f", F.when(F.exists("f", lambda x: F.isnan(x)), float("nan")).otherwise(float("inf")).alias("score"))
+    score = F.when(F.exists("f", lambda x: F.isnan(x)), float("nan")).otherwise(float("inf")).alias("score")
+    lost = asks.where(~finite("f")).select("cloud_id", "point_id", score)
     if not chosen:
-        return scaled(rows).join(lost, "f").select("cloud_id", "point_id", "score")
+        return lost
     box = base.agg(*[f(F.get("f", F.lit(k))).alias(f"{n}{k}") for n, f in (("low", F.min), ("high", F.max)) for k in range(len(values))]).first()
     low, high = (np.array([box[f"{n}{k}"] for k in range(len(values))]) for n in ("low", "high"))
-    found = nearest_sq(base, spots.where(finite("f")), np.array([r.f for r in chosen]), low, high)
-    answers = cut(spots.join(found, "id").select("f", "score").unionByName(lost), "answers")
-    return scaled(rows).join(answers, "f").select("cloud_id", "point_id", "score")
+    numbered = asks.where(finite("f")).select(F.monotonically_increasing_id().alias("id"), "f", "cloud_id", "point_id")
+    found = nearest_sq(base, numbered, np.array([r.f for r in chosen]), low, high)
+    return found.select("cloud_id", "point_id", "score").unionByName(lost)

@@ -293,6 +293,25 @@ def test_feature_blocks_find_the_nearest_of_all(spark):
     assert np.allclose(found.score, ((ask[:, None] - base[None]) ** 2).sum(-1).min(1), rtol=1e-12, atol=0)
 
 
+def test_feature_search_sends_far_rows_to_few_blocks(spark, monkeypatch):
+    from pointweave.operators import featureblocks as B
+
+    rng = np.random.default_rng(5)
+    base, ask = rng.random((20_000, 5)), rng.random((4_000, 5)) * 3 + 1
+    frame = lambda m: spark.createDataFrame(pd.DataFrame({"id": np.arange(len(m)), "f": list(m)}))
+    real, sent = B._visits, []
+
+    def visits(blocks, rows):
+        sent.append(rows.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0])
+        return real(blocks, rows)
+
+    monkeypatch.setattr(B, "_visits", visits)
+    found = B.nearest_sq(frame(base), frame(ask), base[:150], base.min(0), base.max(0), block_rows=512).toPandas().sort_values("id")
+    want = np.concatenate([((part[:, None] - base[None]) ** 2).sum(-1).min(1) for part in np.array_split(ask, 40)])
+    assert np.allclose(found.score, want, rtol=1e-12, atol=0)
+    assert sent[1] < 2 * sent[0]
+
+
 def test_factor_of_a_region_by_levels_and_by_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     n = 700
