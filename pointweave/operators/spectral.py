@@ -1,7 +1,8 @@
 """Smallest eigenpairs of a cloud's normalised Laplacian, and heat-kernel signatures.
 
 Chebyshev-filtered subspace iteration for all clouds at once. A cloud of bounded
-size is one block and goes through a filter in its task; the vectors of a larger one
+size is one block and goes through a filter in its task, or is solved there to the end
+where it is not small (see :mod:`pointweave.operators.krylov`); the vectors of a larger one
 are spread over row blocks, where a filter step is one exchange of
 vector rows between blocks. Orthogonalisation and Ritz values come from Gram
 sums that Spark adds up, and only matrices of the subspace's width meet in one
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.operators import rowblocks as B
+from pointweave.operators import krylov, rowblocks as B
 from pointweave.session import cut, discard
 
 #: steps of a filter at most, how much it may favour the smallest value (so that Gram sums keep their digits), and rounds at most
@@ -30,7 +31,9 @@ TOLERANCE = 1e-5
 #: the first filter, on random vectors: steps, and what it damps
 FIRST_DEGREE, FIRST_HIGH = 8, 1.0
 #: rows of a cloud that one block holds at most, and the bytes of its vectors at most; larger clouds are spread over blocks
-WHOLE_ROWS, WHOLE_BYTES = 1 << 18, 1 << 27
+WHOLE_ROWS, WHOLE_BYTES = 1 << 18, 3 << 28
+#: vectors that a cloud solved in its task holds beside those of a subspace, about, and rows from which on it is solved there
+BASES, KRYLOV_ROWS = 3, 8192
 #: vectors that go through the filter at once, points that leave at once
 PANEL, POINTS = 16, 4096
 #: first place of the terms that are sums of squared residuals
@@ -141,15 +144,38 @@ def _ritz(pdf: pd.DataFrame) -> pd.DataFrame:
 EIGENPAIRS = "cloud_id string, point_id long, lambdas array<double>, phi array<double>"
 
 
+def _pairs(cloud: str, ids: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    n, k = vectors.shape
+    lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, np.ascontiguousarray(x).ravel()) for x in (np.tile(values, (n, 1)), vectors)]
+    return pa.RecordBatch.from_arrays([pa.array([cloud] * n), pa.array(ids), *lists], names=["cloud_id", "point_id", "lambdas", "phi"])
+
+
 def _point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cloud, data in zip(*(batch.column(c).to_pylist() for c in range(2))):
             found = B.thaw(data)
             for at in range(0, len(found["ids"]), POINTS):
-                ids, vectors = found["ids"][at : at + POINTS], found["vectors"][at : at + POINTS]
-                n, k = vectors.shape
-                lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, np.ascontiguousarray(x).ravel()) for x in (np.tile(found["values"], (n, 1)), vectors)]
-                yield pa.RecordBatch.from_arrays([pa.array([cloud] * n), pa.array(ids), *lists], names=["cloud_id", "point_id", "lambdas", "phi"])
+                yield _pairs(cloud, found["ids"][at : at + POINTS], found["values"], found["vectors"][at : at + POINTS])
+
+
+def _alone(k: int):
+    """The pairs of every cloud that is one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = B.thaw(batch.column(0)[r].as_py())
+                cloud, ids = block["cloud"], block["ids"]
+                row = np.repeat(block["row"], np.diff(np.append(block["starts"], len(block["col"]))))
+                matrix = krylov.Matrix(row, block["col"], block["value"], len(ids))
+                values, pieces = krylov.smallest(matrix, min(k, len(ids) - 1), zlib.crc32(cloud.encode()))
+                ids = ids[matrix.order]
+                at = 0
+                for vectors in pieces:
+                    yield _pairs(cloud, ids[at : at + len(vectors)], values, vectors)
+                    at += len(vectors)
+
+    return run
 
 
 def smallest_eigenpairs(laplacian: DataFrame, k: int = 100, points: DataFrame | None = None, block_rows: int = 0, rounds: int = ROUNDS) -> DataFrame:
@@ -166,20 +192,30 @@ def smallest_eigenpairs(laplacian: DataFrame, k: int = 100, points: DataFrame |
         ordered = entries.select("cloud_id", "component", F.col("src").alias("point_id"), F.col("src").alias("at")).distinct()
     else:
         ordered = B.space_order(points).select("cloud_id", component, "point_id", "at")
-    whole = min(WHOLE_ROWS, WHOLE_BYTES // (8 * _width(WHOLE_ROWS, k)))
+    whole = min(WHOLE_ROWS, WHOLE_BYTES // (8 * BASES * _width(WHOLE_ROWS, k)))
     most = F.when(F.col("n") <= whole, whole).otherwise(B.BLOCK_ROWS)
     table = B.build_blocks(entries, cut(B.row_places(cut(ordered, "ordered"), block_rows or most), "places"))
-    blocks = cut(table.select(*B.KEY, "block", "blocks", F.least(F.col("n") - 1, F.lit(k)).cast("int").alias("k")), "block_list")
+    blocks = cut(table.select(*B.KEY, "block", "blocks", "n", F.least(F.col("n") - 1, F.lit(k)).cast("int").alias("k")), "block_list")
+    alone = (F.col("blocks") == 1) & (F.col("n") > KRYLOV_ROWS)
+    single = blocks.where(alone).count()
+    blocks, done = blocks.where(~alone).drop("n"), []
+    if single:
+        # one cloud a task
+        large = table.where(alone).repartitionByRange(single, "cloud_id").select("data")
+        done.append(cut(large.mapInArrow(_alone(k), EIGENPAIRS), "eigenpairs"))
+    table = table.where(~alone)
     several, number = blocks.agg(F.max("blocks"), F.count(F.lit(1))).first()
+    if not number:
+        return done[0] if done else laplacian.sparkSession.createDataFrame([], EIGENPAIRS)
     wanted = blocks.groupBy(*B.KEY).agg(F.first("k").alias("k"))
-    rows, products, done, old = B.state(table), FIRST_DEGREE + 1, [], []
-    for _ in range(rounds if number else 0):
+    rows, products, small, old = B.state(table), FIRST_DEGREE + 1, [], []
+    for _ in range(rounds):
         out = B.release(B.chain(rows, blocks, _filter(k), products if several > 1 else 0, B.task_count(number)), _give)
         counts = {name: F.count(F.when(F.col("kind") == kind, 1)) for name, kind in (("going", B.STATE), ("ready", B.RESULT))}
         out = cut(out, "round", **counts)
         discard(*old)
         if out.seen["ready"]:
-            done.append(out.where(F.col("kind") == B.RESULT).select("cloud_id", "data"))
+            small.append(out.where(F.col("kind") == B.RESULT).select("cloud_id", "data"))
         old = [] if out.seen["ready"] else [out]
         if not out.seen["going"]:
             break
@@ -189,13 +225,12 @@ def smallest_eigenpairs(laplacian: DataFrame, k: int = 100, points: DataFrame |
         products = told.seen["degree"] + 1
         rows = B.state(out.where(F.col("kind") == B.STATE)).unionByName(B.orders(blocks, told))
     else:
-        if number:
-            raise ArithmeticError(f"the {k} smallest eigenvalues did not settle in {rounds} rounds: residual {told.seen['worst']:.3g}")
-        return laplacian.sparkSession.createDataFrame([], EIGENPAIRS)
-    found = done[0]
-    for more in done[1:]:
+        raise ArithmeticError(f"the {k} smallest eigenvalues did not settle in {rounds} rounds: residual {told.seen['worst']:.3g}")
+    found = small[0]
+    for more in small[1:]:
         found = found.unionByName(more)
-    return cut(found.mapInArrow(_point_rows, EIGENPAIRS), "eigenpairs")
+    done.append(cut(found.mapInArrow(_point_rows, EIGENPAIRS), "eigenpairs"))
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
 
 
 def heat_signatures(pairs: DataFrame, scales: int = 3, eps: float = 1e-6) -> DataFrame:

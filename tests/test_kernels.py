@@ -351,3 +351,30 @@ def test_strain_of_points_without_edges(spark):
     assert got[0] == pytest.approx(0.5) and got[1] == pytest.approx(0.5) and got[2] == float("inf")
     kept = R.strain_veto(points(spark, range(3)), R.edge_strain(p, back, edges(spark, [(0, 1)])), 0.6)
     assert sorted(r.point_id for r in kept.collect()) == [0, 1]
+
+
+def test_eigenpairs_of_a_cloud_that_goes_through_in_its_task(spark):
+    """A cloud of 15,000 points with 40 more parts of their own, so the value 0 comes 41 times: more often than a block has vectors."""
+    from pointweave.operators import krylov
+
+    rng = np.random.default_rng(3)
+    n, lone, part = 15_000, 40, 12
+    at = np.arange(n)
+    pairs = [np.column_stack([at[:-1], at[1:]]), np.column_stack([at, rng.permutation(n)])]
+    pairs += [n + part * c + np.column_stack([np.arange(part - 1), np.arange(1, part)]) for c in range(lone)]
+    pairs = np.concatenate(pairs)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
+    total = n + lone * part
+    degree = np.bincount(pairs[:, 0], minlength=total)
+    row, col = np.append(pairs[:, 0], np.arange(total)), np.append(pairs[:, 1], np.arange(total))
+    value = np.append(-1 / np.sqrt(degree[pairs[:, 0]] * degree[pairs[:, 1]]), np.ones(total))
+    lap = cut(spark.createDataFrame(pd.DataFrame({"cloud_id": "a", "src": row, "dst": col, "value": value})))
+    got = spectral.smallest_eigenpairs(lap, 60).toPandas().sort_values("point_id")
+    values, vectors = np.array(got.lambdas.iloc[0]), np.vstack(got.phi)
+    # a path of 12 points has the values 1 - cos(pi j / 11)
+    assert len(got) == total and np.allclose(values[:41], 0, atol=1e-9) and np.allclose(values[41:], 1 - np.cos(np.pi / 11), atol=1e-9)
+    assert np.allclose(vectors.T @ vectors, np.eye(60), atol=1e-9)
+    matrix = krylov.Matrix(row, col, value, total)
+    image = np.hstack([matrix.times(np.ascontiguousarray(vectors[matrix.order, a : a + 16])) for a in range(0, 60, 16)])
+    assert np.abs(image - vectors[matrix.order] * values).max() < 1e-7
